@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,7 +166,7 @@ def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def batches(of: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text each, one row at least."""
-    size = np.asarray(pa.compute.binary_length(of.column(column)).fill_null(0)).astype(np.int64)
+    size = np.asarray(pc.binary_length(of.column(column)).fill_null(0)).astype(np.int64)
     group = np.cumsum(size) // most
     edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(size)])) if len(size) else []
     for lo, hi in zip(edges[:-1], edges[1:], strict=True) if len(size) else ():
