@@ -63,9 +63,9 @@ def hash_mod(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
-def _table_for(separators: bytes) -> np.ndarray:
+def _table_for(separators: bytes, lower: bool) -> np.ndarray:
     out = np.arange(256, dtype=np.uint8)
-    out[65:91] += 32
+    out[65:91] += 32 * lower
     out[list(separators)] = 0
     return out
 
@@ -73,13 +73,13 @@ def _table_for(separators: bytes) -> np.ndarray:
 class Words:
     """The words of a column of texts, without a Python object for each.
 
-    hashes: a 64-bit hash for each word, ASCII letters in either case alike; start, end: its bytes within data;
+    hashes: a 64-bit hash for each word, if lower ASCII letters in either case alike; start, end: its bytes within data;
     first: for each text (and once more, at the end), the index of its first word. Null is an empty text.
     """
 
     _powers = np.ones(1, np.uint64)
 
-    def __init__(self, texts: pa.Array, separators: bytes = SPACES, hashed: bool = True):
+    def __init__(self, texts: pa.Array, separators: bytes = SPACES, hashed: bool = True, lower: bool = True):
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         texts = texts.cast(pa.large_string())
         if texts.null_count:
@@ -89,7 +89,7 @@ class Words:
         self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
         n = len(self.data)
-        fold = _table_for(separators)
+        fold = _table_for(separators, lower)
         borders = np.zeros(n + 1, bool)
         borders[self.offsets] = True
         starts, ends, hashes = [], [], []
