@@ -96,7 +96,7 @@ def vector() -> list[Column]:
     """The transformed statistics: word length, symbols, lines and passages that repeat, richness of words, capitals."""
     return [
         F.log((F.col("q_chars") + 250) / (F.col("q_words") + 50)),
-        _share("q_symbols", "q_chars", 100),
+        _share("q_symbols", "q_words", 50),
         _share("q_dup_lines", "q_lines", 10),
         _share("q_repeat_words", "q_words", 50),
         4 * F.log(F.col("q_distinct") + 20) / F.log(F.col("q_words") + 20),

@@ -1,6 +1,10 @@
 """The queries of this subpackage, and SQL for those that it can express."""
 
-from docloom.llm import decontaminate
+from docloom.llm import decontaminate, langid, quality_rules
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_langid": langid.op5_langid,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
+}
 SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
