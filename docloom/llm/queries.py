@@ -1,12 +1,13 @@
 """The queries of this subpackage, and SQL for those that it can express."""
 
-from docloom.llm import decontaminate, langid, near_duplicates, quality_classifier, quality_rules
+from docloom.llm import decontaminate, langid, language_model, near_duplicates, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op5_langid": langid.op5_langid,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
+    "op9_language_model": language_model.op9_language_model,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op6_near_duplicates": near_duplicates.OP6_SQL}
