@@ -27,10 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: the one with the least doc_id; of rows with that same id,
-    one. Documents without an id all stay."""
+    one. Documents without an id stay, one for each text."""
     leaders = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]).select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights: how often each document is taken; those never taken go."""
-    taken = mixed(docs).where("copies > 0").select("doc_id", "copies", "source", "size")
-    return taken
+    """Sources are mixed to their target weights. Each document that is taken, and how often (copies)."""
+    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))))
+    taken = mixed(keyed, id="key").where("copies > 0").select("key", "copies")
+    return keyed.join(taken, "key").select(*COLUMNS, "copies")
 
 
 STAGES = [("quality classifier", quality), ("near duplicates", deduplicate), ("benchmark decontamination", benchmark), ("secret scans", secrets), ("mixing", mix)]
