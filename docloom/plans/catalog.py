@@ -1,9 +1,7 @@
 """The registry of this library's own queries."""
 
-from collections.abc import Callable
+from docloom.plans import chunking
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "flagship"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "chunk_fixed_overlap"
+QUERIES = {**chunking.QUERIES}
+SQL = {**chunking.SQL}
