@@ -32,7 +32,7 @@ def score(metric: str, a: Column, b: Column) -> Column:
     if metric == "inner_product":
         return dot(a, b)
     if metric == "l2":
-        return -l2(a, b)
+        return F.lit(0.0) - l2(a, b)
     raise ValueError(f"no such metric: {metric}")
 
 

@@ -1,7 +1,8 @@
 """The registry of this library's own queries."""
 
-from docloom.plans import chunking
+from docloom.plans import chunking, searching
 
-FLAGSHIP = "chunk_fixed_overlap"
-QUERIES = {**chunking.QUERIES}
-SQL = {**chunking.SQL}
+FLAGSHIP = "hybrid_search"
+_PARTS = (chunking, searching)
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+SQL = {k: sql for part in _PARTS for k, sql in part.SQL.items()}
