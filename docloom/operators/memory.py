@@ -33,9 +33,9 @@ def extracted_facts(events: DataFrame, keys: list[str], content: str) -> DataFra
     return events.select(*keys, F.posexplode(facts(F.col(content))).alias("fact_seq", "fact"))
 
 
-def superseded(rows: DataFrame, by: list[str], order: list[str], start: str) -> DataFrame:
+def superseded(rows: DataFrame, by: list[str], start: str) -> DataFrame:
     """rows with effective_to, the start of the next row of the same key, and retracted, whether there is one that begins later."""
-    later = F.min(F.col(start)).over(W.partitionBy(*by).orderBy(F.col(start).cast("timestamp").cast("double")).rangeBetween(1e-6, W.unboundedFollowing))
+    later = F.min(F.col(start)).over(W.partitionBy(*by).orderBy(F.unix_micros(F.col(start).cast("timestamp"))).rangeBetween(1, W.unboundedFollowing))
     return rows.withColumn("effective_to", later).withColumn("retracted", F.col("effective_to").isNotNull())
 
 
