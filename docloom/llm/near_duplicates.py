@@ -82,10 +82,9 @@ def _dealt(rows: DataFrame, group: str, size: str, block: int, pack: int) -> Dat
     """rows with `task`: small groups share tasks; of a large one, each row goes to its block's pairs with all blocks."""
     blocks = F.ceil(F.col(size) / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws(" ", F.hex(group), F.least(mine, j).cast("string"), F.greatest(mine, j).cast("string")))
-    small = rows.where(F.col(size) <= block).withColumn("task", F.pmod(F.xxhash64(group), F.lit(pack)).cast("string"))
-    large = rows.where(F.col(size) > block).withColumn("task", F.explode(pair))
-    return small.unionByName(large)
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws(" ", F.hex(group), F.least(mine, j).cast("string"), F.greatest(mine, j).cast("string")))
+    shared = F.array(F.pmod(F.xxhash64(group), F.lit(pack)).cast("string"))
+    return rows.withColumn("task", F.explode(F.when(F.col(size) <= block, shared).otherwise(pairs)))
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -114,6 +113,7 @@ def _ties(of: pa.Table) -> pa.Table:
     for rows in _groups(of.column("bucket")):
         if len(rows) < 2:
             continue
+        rows = sorted(rows, key=nodes.__getitem__)  # so that stars of the same nodes have the same center
         s = np.frombuffer(b"".join(signatures[r] for r in rows), np.uint8).reshape(len(rows), -1)
         like = np.stack([(s == one).sum(1) for one in s]) * 2 >= s.shape[1]
         for i, root in enumerate(_roots(like)):
@@ -150,7 +150,7 @@ def _verifier(threshold: float):
         cross = len(alone) == 3 and alone[1] != alone[2]
         for rows in _groups(of.column("component")):
             found, first = [], {}
-            for r in rows:  # the same node comes twice where rows repeat
+            for r in sorted(rows, key=nodes.__getitem__):  # the same node comes twice where rows repeat
                 if nodes[r] not in first:
                     first[nodes[r]] = r
                     found.append(r)
@@ -177,12 +177,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", n:
     sketches = cut(sketch(docs, text, id, n, bands, rows), "sketches")
     nodes = sketches.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.min(F.struct("text_key", "id")).alias("example"))
     nodes = cut(nodes, "nodes")
-    # one row of each node bears its bands: that of its example
-    single = sketches.where("node IS NOT NULL").groupBy("node", "bands", "signature").agg(F.lit(1).alias("_"))
-    banded = single.select("node", "signature", F.explode("bands").alias("bucket"))
+    single = cut(sketches.where("node IS NOT NULL").groupBy("node", "bands", "signature").agg(F.lit(1).alias("_")), "signatures")
+    banded = single.select("node", F.explode("bands").alias("bucket"))
     met = cut(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     total = met.agg(F.sum("size")).first()[0] or 0
-    members = banded.join(met, "bucket").select("node", "signature", "bucket", "size")
+    # only nodes that meet another are joined with their signatures
+    members = banded.join(met.hint("merge"), "bucket").join(single.select("node", "signature").hint("merge"), "node")
     ties = _dealt(members, "bucket", "size", block, total // 8000 + 1).groupBy("task").applyInArrow(_ties, "a binary, b binary")
     tied = components(ties)
     sized = tied.groupBy("root").agg(F.count("*").alias("size"))
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", n:
 
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     texts = docs.select(F.col(f"`{id}`").alias("id"), key.alias("text_key"), F.col(f"`{text}`").cast("string").alias("text")).alias("d")
-    full = texts.join(chosen.alias("c"), (F.col("d.text_key") == F.col("c.text_key")) & F.col("d.id").eqNullSafe(F.col("c.id"))).select("node", "weight", "size", "component", "text").mapInArrow(sets, "node binary, weight bigint, size bigint, component binary, grams binary")
+    full = texts.join(chosen.hint("merge").alias("c"), (F.col("d.text_key") == F.col("c.text_key")) & F.col("d.id").eqNullSafe(F.col("c.id"))).select("node", "weight", "size", "component", "text").mapInArrow(sets, "node binary, weight bigint, size bigint, component binary, grams binary")
     full = full.withColumn("mine", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block).cast("int")).cast("int"))
     found = cut(_dealt(full, "component", "size", block, count // 500 + 1).groupBy("task").applyInArrow(_verifier(threshold), "node binary, links bigint, root binary"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
