@@ -104,9 +104,9 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: dict = RULES, ledge
     current = F.filter("rules", lambda r: r.isin([f"{kind}@{version}" for kind, (version, _) in rules.items()]))
     kinds = F.transform(current, lambda r: F.substring_index(r, "@", 1))
     found = known.select("blob", kinds.alias("kinds"), F.explode("found").alias("x")).where(F.array_contains("kinds", F.col("x.kind")))
-    spans = found.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("x.start", rank.alias("rank"), "x.end", "x.kind"))).alias("secret_spans"))
+    spans = found.groupBy(F.col("blob").alias("secret_of")).agg(F.array_sort(F.collect_set(F.struct("x.start", rank.alias("rank"), "x.end", "x.kind"))).alias("secret_spans"))
     spans = cut(spans, "findings")
-    return docs.select(*[F.col(f"`{c}`") for c in keep], blob(text).alias("secret_blob")).join(spans, F.col("secret_blob") == F.col("blob"), "left").select(*[F.col(f"`{c}`") for c in keep], "secret_blob", F.coalesce("secret_spans", F.array()).alias("secret_spans"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], blob(text).alias("secret_blob")).join(spans, F.col("secret_blob") == F.col("secret_of"), "left").select(*[F.col(f"`{c}`") for c in keep], "secret_blob", F.coalesce("secret_spans", F.array()).alias("secret_spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", rules: dict = RULES, ledger: str | None = None) -> DataFrame:
