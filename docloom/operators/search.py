@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors
 from docloom.functions.text import query_tokens, tokens
+from docloom.llm.common import cut
 
 
 def where(rows: DataFrame, **conditions) -> DataFrame:
@@ -127,17 +132,62 @@ def summarize_hits(hits: DataFrame, by: list[str], text: str, n: int = 3) -> Dat
     return out.select(*by, F.array_join(F.transform("p", lambda x: x["s"]), "\n\n").alias("summary"), F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("chars_before"))
 
 
-def lsh_buckets(rows: DataFrame, key: str, embedding: str, bits: int = 8, tables: int = 8, dimensions: int = 64) -> DataFrame:
-    """(key, embedding, bucket) for each table: signs of sums over hashed halves of the dimensions (random hyperplanes of +1 and -1)."""
-    plane = lambda t, i: F.array(*[F.lit(1.0 if hash((t * 131 + i * 31 + d * 7919) * 2654435761 % 4294967296) >> 13 & 1 else -1.0) for d in range(dimensions)])
-    code = lambda t: F.concat_ws("", F.lit(f"{t}:"), *[F.when(vectors.dot(F.col(embedding), plane(t, i)) > 0, "1").otherwise("0") for i in range(bits)])
-    return rows.select(key, embedding, F.explode(F.array(*[code(t) for t in range(tables)])).alias("bucket"))
-
-
-def ann_join(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, bits: int = 6, tables: int = 12) -> DataFrame:
-    """For each query (key, embedding), its k nearest rows by cosine among those that share a bucket of any table."""
-    a = lsh_buckets(rows, key, embedding, bits, tables)
-    q = lsh_buckets(queries, key, embedding, bits, tables).select(F.col(key).alias("query"), F.col(embedding).alias("q"), "bucket")
-    pairs = a.join(q, "bucket").dropDuplicates(["query", key])
-    scored = pairs.select("query", key, F.round(vectors.cosine(F.col("q"), F.col(embedding)), 6).alias("score"))
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit vectors; zeros for one that is null, has a null in it or has no length, so that it scores 0."""
+    parts = [np.zeros(0) if v is None or any(x is None for x in v) else np.array(v, float) for v in column.to_pylist()]
+    size = max((len(v) for v in parts), default=0)
+    out = np.array([v if len(v) == size else np.zeros(size) for v in parts]).reshape(len(parts), size)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
+def vector_blocks(rows: DataFrame, key: str, embedding: str, most: int) -> DataFrame:
+    """(ids, dims, vectors): up to so many rows in one, their unit vectors side by side as bytes."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def pack(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(waiting).combine_chunks()
+            vectors = _matrix(whole.column("v"))
+            ids = whole.column("id").combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([vectors.shape[1]], pa.int32()), pa.array([vectors.tobytes()], pa.binary())], names=["ids", "dims", "vectors"])
+
+        for whole in of:
+            while len(whole):
+                room = most - sum(len(b) for b in waiting)
+                waiting.append(whole.slice(0, room))
+                whole = whole.slice(room)
+                if sum(len(b) for b in waiting) == most:
+                    yield block()
+                    waiting.clear()
+        if waiting:
+            yield block()
+
+    return rows.select(F.col(key).alias("id"), F.col(embedding).alias("v")).mapInArrow(pack, f"ids array<{kind}>, dims int, vectors binary")
+
+
+def ann_join(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, row_block: int = 8192, query_block: int = 512) -> DataFrame:
+    """For each query (key, embedding), its k nearest rows by cosine, exactly; ties by key. Keys are not null and do not repeat.
+
+    Signs of random planes do not part vectors that are far from each other: for a recall of 0.9 they leave three quarters of all
+    pairs, each found about four times. So blocks of vectors meet blocks of queries, and each meeting passes on the k best of each query."""
+    kind = rows.schema[key].dataType.simpleString()
+    a = vector_blocks(rows, key, embedding, row_block)
+    q = cut(vector_blocks(queries, key, embedding, query_block), "queries").toDF("q_ids", "q_dims", "q_vectors")
+
+    def meet(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of:
+            for r in range(len(batch)):
+                ids, own = (batch.column(c)[r].values for c in ("ids", "q_ids"))
+                x, y = (np.frombuffer(batch.column(v)[r].as_buffer(), float).reshape(len(n), -1) for v, n in (("vectors", ids), ("q_vectors", own)))
+                # vectors of other dimensions have no cosine
+                score = np.round(y @ x.T, 6) + 0.0 if x.shape[1] == y.shape[1] else np.zeros((len(y), len(x)))
+                order = np.asarray(pc.sort_indices(ids))
+                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+                n = best.shape[1]
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(np.repeat(np.arange(len(own)), n))), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query", key, "score"])
+
+    scored = a.crossJoin(q).mapInArrow(meet, f"query {kind}, {key} {kind}, score double")
     return top_k(scored, ["query"], k, [key])

@@ -1,12 +1,15 @@
 """Small cases of the operators, with edge cases."""
 
 import io
+import os
 import zipfile
 
+import numpy as np
 import pytest
 
 from docloom.functions import text as t
 from docloom.operators import chunkers, evaluation, framers, graph, html, incremental, search, tables
+from docloom.plans import searching
 from docloom.sources import comments, files
 from docloom.sources.tables import together
 from pyspark.sql import functions as F
@@ -189,3 +192,38 @@ def test_comments(spark):
 def test_together(spark):
     a, b = docs(spark, "x"), docs(spark, "y").withColumn("title", F.lit("t"))
     assert sorted((r["source_index"], r["title"]) for r in together(a, b).fillna("").collect()) == [(0, ""), (1, "t")]
+
+
+def nearest(ids, vectors, queries, k):
+    unit = vectors / np.where((n := np.linalg.norm(vectors, axis=1, keepdims=True)) > 0, n, 1)
+    score = np.round(unit[queries] @ unit.T, 6)
+    return {int(ids[q]): [int(ids[i]) for i in np.lexsort((ids, -s))[:k]] for q, s in zip(queries, score, strict=True)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_recall_of_ann_on_embeddings(spark):
+    found = {}
+    for r in searching.ann_lsh(spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r["query"], {})[r["rank"]] = r["vec_id"]
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    ids = table["vec_id"].to_numpy()
+    expected = nearest(ids, np.array(table["embedding"].tolist(), float), np.flatnonzero(ids % 20 == 0), searching.K)
+    hits = [len(set(found[q].values()) & set(best)) / len(best) for q, best in expected.items()]
+    assert found.keys() == expected.keys() and sum(hits) / len(hits) >= 0.9
+
+
+def test_ann_is_exact_over_blocks_and_ties(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(60, 8))
+    vectors[10:30], vectors[40] = vectors[10], 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, v array<double>").repartition(3)
+    expected = nearest(np.arange(60), vectors, np.arange(0, 60, 5), 7)
+    for row_block, query_block in ((8192, 512), (4, 3)):
+        found = search.ann_join(rows, rows.where("id % 5 = 0"), "id", "v", 7, row_block, query_block).orderBy("query", "rank").collect()
+        by = {}
+        for r in found:
+            by.setdefault(r["query"], []).append(r["id"])
+        assert by == expected
+    odd = spark.createDataFrame([(100, None), (101, [1.0, None])], rows.schema)
+    assert {r["score"] for r in search.ann_join(odd, rows.limit(2), "id", "v", 2).collect()} == {0.0}
+    assert search.ann_join(rows.limit(0), rows, "id", "v", 2).count() == 0
