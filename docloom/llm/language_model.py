@@ -10,7 +10,7 @@ Tokenised texts are written once, in chunks of about ``chunk`` tokens: each chun
 (the low halves of all codes, then the high ones).
 Word counts over the whole corpus are a shuffled aggregation; a chunk gets the counts of its own words through a join, so the
 vocabulary is never broadcast or collected. Collected are: the frequent words (``own``), sums for each shared class, and model
-parameters. Rounds before the last see one of ``rounds`` shares of the texts each; the last sees every training text.
+parameters. Every round sees every training text.
 
 Words are told apart by 64-bit hashes. Defined cases: a null or empty text is the end token alone; a null id is not held out; rows that
 repeat count each; with no training text all tokens are unseen and classes equally likely; further columns are ignored.
@@ -185,33 +185,33 @@ def _unpacked(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def learn_states(chunks: DataFrame, model: Model, rounds: int) -> None:
-    """Baum-Welch: each round but the last over another share of the texts, the last over all that are learned from."""
+    """Baum-Welch, each round over all texts that are learned from; where there are none the model stays as it is."""
     context = chunks.sparkSession.sparkContext
     k, c = len(model.start), model.classes
-    for turn in range(rounds + 1):
+    for _ in range(rounds):
         shared = context.broadcast(model)
 
-        def count(of: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+        def count(of: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model, total = shared.value, np.zeros(k + k * k + k * c)
             for batch in of:
                 for row in range(len(batch)):
                     codes, first, sizes = _unpacked(batch, row)
                     classes = model.class_of(np.frombuffer(batch.column("words")[row].as_buffer(), np.uint64))
                     take = np.frombuffer(batch.column("learn")[row].as_buffer(), bool)
-                    if turn < rounds:
-                        take = take & (np.arange(len(take)) % (rounds * 4) == turn)
                     total += np.concatenate([x.ravel() for x in expected_counts(model, classes[codes], first[take], sizes[take])])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.float32))], names=["at", "x"])
 
         sums = chunks.select("words", "codes", "sizes", "learn").mapInArrow(count, "at bigint, x float").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+        if sums.empty:
+            return
         flat = np.zeros(k + k * k + k * c)
         flat[sums["at"]] = sums["x"]
         model.update(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, c))
         shared.unpersist()
 
 
-def score(docs: DataFrame, learn, text: str = "text", id: str = "doc_id", own: int = 8192, shared: int = 512, states: int = 8, rounds: int = 4, chunk: int = 600_000) -> DataFrame:
+def score(docs: DataFrame, learn, text: str = "text", id: str = "doc_id", own: int = 8192, shared: int = 512, states: int = 8, rounds: int = 5, chunk: int = 600_000) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each text; learn: a condition on docs."""
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()

@@ -285,5 +285,30 @@ def test_language_model_counts(spark):
     assert language_model.score(table(spark, docs), F.lit(False)).where("n_known > 0").count() == 0
 
 
+def fresh_model():
+    return language_model.Model(np.zeros(0, np.uint64), 5, 2, np.full(5, 1 / 5))
+
+
+@pytest.mark.parametrize("chunk", [1, 600_000])
+def test_each_round_learns_from_all_texts(spark, chunk):
+    texts = ["aa bb aa bb cc", "bb cc", "aa", "cc cc cc aa bb", "bb aa", "cc", "aa cc bb"]
+    docs = table(spark, list(enumerate(texts))).coalesce(1)
+    model, expected = fresh_model(), fresh_model()
+    language_model.learn_states(language_model.tokenised(docs, "text", "doc_id", F.col("doc_id") != 2, chunk), model, 3)
+    learned = [np.append(Words(pa.array([t])).hashes, language_model.END) for i, t in enumerate(texts) if i != 2]
+    sizes = np.array([len(x) for x in learned])
+    for _ in range(3):
+        expected.update(*language_model.expected_counts(expected, expected.class_of(np.concatenate(learned)), np.cumsum(sizes) - sizes, sizes))
+    for part in ("start", "move", "emit"):
+        assert np.allclose(getattr(model, part), getattr(expected, part), rtol=1e-5)
+
+
+def test_model_stays_where_nothing_is_learned(spark):
+    model, before = fresh_model(), fresh_model()
+    language_model.learn_states(language_model.tokenised(table(spark, [(1, "a b"), (2, "c")]), "text", "doc_id", F.lit(False), 100), model, 3)
+    for part in ("start", "move", "emit"):
+        assert np.array_equal(getattr(model, part), getattr(before, part))
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
