@@ -25,12 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classify(docs).where("quality_score >= 0.5").select(*COLUMNS)
 
 
+def _key():
+    """A key of each row: ids come first, by number, then rows without one; a digest of all columns tells apart those of the same id."""
+    said = lambda c: F.md5(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).cast("binary"))
+    number = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat_ws(":", F.coalesce(number, F.lit("none")), F.md5(F.concat(*[said(c) for c in COLUMNS]).cast("binary")))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the least doc_id; of rows with that same id,
-    one. Documents without an id stay, one for each text."""
-    leaders = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]).select(*COLUMNS))
+    """One document of each class of near duplicates stays: the one with the least doc_id (one without an id only where none has one), and of
+    those with the same id that of the least digest. Different documents stay, ids may be null or repeat; rows alike in all columns are one."""
+    keyed = docs.select(*COLUMNS, _key().alias("key"))
+    leaders = near_duplicates(keyed, id="key").where("key = class_id").select("key").distinct()
+    return keyed.join(leaders, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

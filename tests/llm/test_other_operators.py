@@ -167,3 +167,14 @@ def test_pipeline_stages(spark):
         assert after <= before and len(after) > len(before) * 0.6
         before = after
     assert docs.where("copies NOT IN (1, 2)").count() == 0
+
+
+def test_deduplicate_with_repeated_and_missing_ids(spark):
+    said = [" ".join(f"{name}{i}" for i in range(60)) for name in ("ant", "bee", "cow", "dog")]
+    near = said[0] + " more"
+    rows = [(2, said[0], "s"), (10, near, "s"), (10, said[1], "s"), (10, said[2], "t"), (10, said[2], "t"), (None, near, "s"), (None, said[2], None), (None, said[3], "s"), (None, said[3] + " more", "s"), (-1, "", "s"), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.deduplicate(spark, docs.repartition(3), DIR).collect()]
+    last = [x for x in kept if x[0] is None and x[1]]
+    assert sorted(x for x in kept if x[0] is not None) == [(-1, ""), (2, said[0]), (10, said[1]), (10, said[2])]
+    assert len(kept) == 6 and (None, None) in kept and len(last) == 1 and last[0][1].startswith(said[3])
