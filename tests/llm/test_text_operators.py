@@ -101,6 +101,15 @@ def test_decontaminate_cuts_and_drops(spark):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("most,expected", [(10, {1: "Before.  Then more, p0 p1 p2 p3, and so on in other words than those.", 2: "Here  goes the text on and on.", 3: ""}), (13, {1: "Before.  Then more, p0 p1 p2 p3, and so on in other words than those.", 2: "Here l0 l1 l2 l3 l4 l5 l6 l7 l8 l9 goes the text on and on.", 3: ""})])
+def test_decontaminate_cuts_short_items(spark, most, expected):
+    short, long = "P0 p1, p2 p3 É4", " ".join(f"l{i}" for i in range(20))
+    docs = table(spark, [(1, f"Before. {short} Then more, p0 p1 p2 p3, and so on in other words than those."), (2, "Here " + " ".join(f"l{i}" for i in range(10)) + " goes the text on and on."), (3, ""), (4, short)])
+    items = table(spark, [(1, short), (2, long), (3, None), (4, "!")], "item_id bigint, text string")
+    out = decontaminate.decontaminate(docs, items, max_span_words=most, max_coverage=0.7)
+    assert out.columns == docs.columns and {r["doc_id"]: r["text"] for r in out.collect()} == expected
+
+
 def test_languages(spark):
     rng = random.Random(1)
     text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
