@@ -59,7 +59,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("near duplicates", deduplicate), ("benchmark decontamination", benchmark), ("secret scans", secrets), ("mixing", mix)]
 
-#: The classifier is trained, which SQL does not express; tests hold the other stages against brute force.
+#: The classifier is trained, which SQL does not express. Tests hold the operators of the other stages against SQL or brute force; the stages run on
+#: a small table, where what each keeps and its columns are looked at, and near duplicates also on a fixture of repeated and missing ids.
 ORACLE_SQL = None
 
 
