@@ -44,18 +44,26 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", max_rows: int = 20_000, salts: int = 64) -> DataFrame:
-    """left joined with right, one row per key and usually few. right is counted: up to max_rows it is broadcast; beyond that
-    it is repeated once per salt, so that a key which holds a large part of left is spread over several tasks.
-    Null keys match null keys. right should be cheap to compute twice (a table read, or a result of cut())."""
-    on = lambda a, b: [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+def join_small(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str = "left",
+    max_rows: int = 20_000,
+    salts: int = 64,
+    rows: int | None = None,
+) -> DataFrame:
+    """left joined with right, which has few rows, and few per key. Where the number of its rows is not given it is counted: up to
+    max_rows it is broadcast; beyond that it is repeated once per salt, so that a key which holds a large part of left is spread over
+    several tasks. Null keys match null keys. right should be cheap to compute twice (a table read, or a result of cut())."""
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     rest = [c for c in right.columns if c not in keys]
     out = [F.col(f"l.{c}").alias(c) for c in left.columns] + [F.col(f"r.{c}").alias(c) for c in rest]
-    if right.count() <= max_rows:
-        return left.alias("l").join(F.broadcast(right).alias("r"), on(left, right), how).select(out)
+    if (right.count() if rows is None else rows) <= max_rows:
+        return left.alias("l").join(F.broadcast(right).alias("r"), on, how).select(out)
     left = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.alias("l").join(right.alias("r"), [*on(left, right), F.col("l._salt") == F.col("r._salt")], how).select(out)
+    return left.alias("l").join(right.alias("r"), [*on, F.col("l._salt") == F.col("r._salt")], how).select(out)
 
 
 def hash_mod(column: str, n: int):

@@ -195,16 +195,41 @@ def test_statistics_are_those_of_brute_force():
         assert tuple(int(found[c][i]) for c in ("q_words", "q_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_distinct")) == expected
 
 
+def outlier_rows(rng):
+    rows = [("en", "s", float(a), float(a + b)) for a, b in rng.normal(size=(400, 2))]
+    rows += [("en", "s", 0.0, 40.0), ("en", "s", -30.0, 30.0), (None, None, 0.0, 0.0), ("de", "t", 90.0, 0.0)]
+    return rows + [("en", f"s{i}", float(a), float(a + b)) for i, (a, b) in enumerate(rng.normal(size=(20, 2)))] + [("en", "s1", 50.0, -50.0)]
+
+
 def test_outliers(spark):
-    rng = np.random.default_rng(1)
-    rows = [("en", "s", float(a), float(a + b)) for a, b in rng.normal(size=(400, 2))] + [("en", "s", 0.0, 40.0), ("en", "s", -30.0, 30.0), (None, None, 0.0, 0.0), ("de", "t", 90.0, 0.0)]
-    df = spark.createDataFrame(rows, "lang string, source string, a double, b double")
-    out = quality_rules.outliers(df, ("lang", "source"), [F.col("a"), F.col("b")], least=50).collect()
-    assert len(out) == len(rows)
-    bad = {(r["a"], r["b"]) for r in out if r["q_outlier"]}
-    assert bad == {(0.0, 40.0), (-30.0, 30.0)}
-    assert all(r["q_distance"] is None for r in out if r["lang"] != "en")
-    assert quality_rules.outliers(df.limit(0), ("lang", "source"), [F.col("a"), F.col("b")]).count() == 0
+    rows = outlier_rows(np.random.default_rng(1))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "lang string, source string, a double, b double, q_text string")
+    judge = lambda df: quality_rules.outliers(df, ("lang", "source"), [F.col("a"), F.col("b")])
+    out = judge(df.repartition(1)).collect()
+    assert len(out) == len(rows) and {r["q_text"] for r in out} == {"x"}
+    # rows of cells of one or two rows are judged by what is known of their language and of all rows
+    assert {(r["a"], r["b"]) for r in out if r["q_outlier"]} == {(0.0, 40.0), (-30.0, 30.0), (90.0, 0.0), (50.0, -50.0)}
+    key = lambda rows: sorted((str(r["lang"]), str(r["source"]), r["a"], r["b"], r["q_distance"]) for r in rows)
+    assert key(out) == key(judge(df.repartition(23)).collect())
+    assert judge(df.limit(0)).count() == 0
+
+
+def test_estimates_have_the_least_determinant(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.normal(size=(150, 2)) @ [[1, 0.8], [0, 0.4]], rng.normal(size=(45, 2)) * 0.3 + [6, -5]))
+    ints = np.round(x * quality_rules.UNIT).astype(int)
+    df = spark.createDataFrame([("g", int(a), int(b)) for a, b in ints], "q_group string, x0 bigint, x1 bigint")
+    found = quality_rules.estimates(df, 1, 2, 0.75, 20, 0.0).first()
+    h, best = int(np.ceil(0.75 * len(x))), np.inf
+    for _ in range(200):  # concentration from random pairs of three
+        near = rng.choice(len(x), 3, replace=False)
+        for _ in range(30):
+            mean, cov = ints[near].mean(0), np.cov(ints[near].T, bias=True) + np.eye(2)
+            away = ints - mean
+            near = np.argsort(np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away), kind="stable")[:h]
+        best = min(best, np.linalg.slogdet(np.cov(ints[near].T, bias=True))[1])
+    assert abs(found["det"] - best) < 0.05 and not found["moves"]
+    assert np.abs(np.array([found["c0"], found["c1"]]) / quality_rules.UNIT).max() < 0.4
 
 
 def test_quantiles_of_chi_squared():
