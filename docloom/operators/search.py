@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vectors
 from docloom.functions.text import query_tokens, tokens
-from docloom.llm.common import cut
+from docloom.shared import cut
 
 
 def where(rows: DataFrame, **conditions) -> DataFrame:
