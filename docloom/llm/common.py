@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.shared import cut, fresh_path, shared_dir  # noqa: F401
+
 #: Separators of the two kinds of words. FOLDED words: ASCII letters and digits and all that is not ASCII.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 FOLDED_SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -22,28 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set, as in tests."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir() and not (named := context.getConf().get("spark.checkpoint.dir", "")):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return context.getCheckpointDir()
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """df, written to the shared folder and read again: lost executors don't lose it, and it is computed once."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_small(
     left: DataFrame,
     right: DataFrame,

@@ -4,8 +4,11 @@ The items' word sequences are put into one automaton. Each text's words are stre
 of the longest match that ends at a word tell whether an item's window of ``window`` words (a shorter item: all its words)
 ends there, and which items hold it. Only runs of words that items use can hold a window, so the automaton walks those.
 
-Items are taken in blocks of at most ``max_block_words`` words (one item at least); the documents pass through one automaton
-after the other in the same stage, with no shuffle. What a task holds is bound by the block, whatever the number of items.
+Items are dealt out to blocks of about ``max_block_words`` words; one of more words is cut into pieces that overlap by a window less a
+word, so that no window is lost. Each block's automaton is made by a task and written to the shared folder; it is some 40 bytes a
+word. With one block, documents pass through it in one stage, with no shuffle. With more, there is a stage for each block, which writes
+what it found of texts that are hit, by digest; a task holds one automaton at a time, whatever the number of items. What was found is
+then joined to the documents.
 
 Defined cases: a null or empty text has no words and is not hit; a null or empty item has no window; repeated items and
 documents are each treated as they stand; a null item_id counts as an item named ''; with no items nothing is hit; further
@@ -14,7 +17,9 @@ columns of the documents stay as they are (those of the result begin with ``hit_
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import FOLDED_SEPARATORS, table
+from docloom.llm.common import FOLDED_SEPARATORS, cut, join_small, table
 
 _FOLD = bytes(32 if c in FOLDED_SEPARATORS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -32,32 +37,34 @@ _SPANS = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
 
 
 class Automaton:
-    """A suffix automaton of many word sequences. A state stands for word sequences that end at the same places."""
+    """A suffix automaton of many word sequences. A state stands for word sequences that end at the same places. Most states have one
+    way on, which is kept in arrays; the others' further ways are in dictionaries."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window, self.vocabulary = window, {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.word, self.to, self.more = array("i", [0]), array("i", [0]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         coded = []
         for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+            ids = array("i", [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
             if ids:
                 coded.append((item, ids))
                 last = 0
                 for w in ids:
                     last = self._extend(last, w)
-        self.at_window = [-1] * len(self.next)  # the state of the last `window` words
-        self.short = [-1] * len(self.next)  # the nearest state on the way to the root that ends a short item
+        n = len(self.link)
+        self.at_window = array("i", [-1]) * n  # the state of the last `window` words
+        self.short = array("i", [-1]) * n  # the nearest state on the way to the root that ends a short item
         self.items: dict[int, set[str]] = {}
         self.whole: dict[int, list[tuple[int, str]]] = {}
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        order = np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[1:].tolist()
         for v in order:
             up = self.link[v]
             self.at_window[v] = v if self.length[up] < window <= self.length[v] else self.at_window[up]
         for item, ids in coded:
             v = 0
             for i, w in enumerate(ids):
-                v = self.next[v][w]
+                v = self.step(v, w)
                 if i + 1 >= window:
                     self.items.setdefault(self.at_window[v], set()).add(item)
             if len(ids) < window:
@@ -66,31 +73,44 @@ class Automaton:
             self.short[v] = v if v in self.whole else self.short[self.link[v]]
         self.least = min((min(len(ids), window) for _, ids in coded), default=1)
 
+    def step(self, v: int, w: int) -> int | None:
+        """The state after v and a word, or None."""
+        if self.word[v] == w:
+            return self.to[v]
+        more = self.more.get(v)
+        return more.get(w) if more else None
+
+    def _lead(self, v: int, w: int, to: int) -> None:
+        if self.word[v] in (0, w):
+            self.word[v], self.to[v] = w, to
+        else:
+            self.more.setdefault(v, {})[w] = to
+
     def _new(self, length: int) -> int:
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(length)
-        return len(self.next) - 1
+        self.word.append(0), self.to.append(0), self.link.append(0), self.length.append(length)
+        return len(self.link) - 1
 
     def _split(self, p: int, q: int, w: int) -> int:
         copy = self._new(self.length[p] + 1)
-        self.next[copy], self.link[copy] = dict(self.next[q]), self.link[q]
+        self.word[copy], self.to[copy], self.link[copy] = self.word[q], self.to[q], self.link[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
         self.link[q] = copy
-        while p != -1 and self.next[p].get(w) == q:
-            self.next[p][w] = copy
+        while p != -1 and self.step(p, w) == q:
+            self._lead(p, w, copy)
             p = self.link[p]
         return copy
 
     def _extend(self, last: int, w: int) -> int:
-        q = self.next[last].get(w)
+        q = self.step(last, w)
         if q is not None:  # another item goes this way already
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, w)
         new, p = self._new(self.length[last] + 1), last
-        while p != -1 and w not in self.next[p]:
-            self.next[p][w] = new
+        while p != -1 and self.step(p, w) is None:
+            self._lead(p, w, new)
             p = self.link[p]
         if p != -1:
-            q = self.next[p][w]
+            q = self.step(p, w)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
         return new
 
@@ -98,7 +118,7 @@ class Automaton:
         """Streams words, the first of which is word number at. Adds to spans (of word numbers, merged) and found."""
         v, long = state
         for i, w in enumerate(words, at + 1):
-            while (to := self.next[v].get(w)) is None and v:
+            while (to := self.step(v, w)) is None and v:
                 v = self.link[v]
                 long = self.length[v]
             v, long = (to, long + 1) if to is not None else (0, 0)
@@ -144,64 +164,119 @@ class Automaton:
         return at, spans, found
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, window: int, most: int) -> Iterator[Automaton]:
-    block, size = [], 0
-    for item, words in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
-        words = words.encode().translate(_FOLD).split()
-        if block and size + len(words) > most:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((item, words))
-        size += len(words)
-    if block:
-        yield Automaton(block, window)
-
+def _automata(items: DataFrame, item_id: str, text: str, window: int, most: int) -> tuple[DataFrame, int]:
+    """(block, automaton) and how many blocks there are."""
 
-def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_block_words: int = 1_000_000, keep: list[str] | None = None) -> DataFrame:
+    def pieces(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = value.encode().translate(_FOLD).split()
+                for lo in range(0, max(len(words) - window + 1, min(len(words), 1)), most):
+                    part = words[lo : lo + most + window - 1]
+                    columns = [pa.array([name]), pa.array([b" ".join(part)]), pa.array([len(part)], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["name", "words", "n"])
+
+    def build(of: pa.Table) -> pa.Table:
+        rows = sorted(zip(of.column("name").to_pylist(), of.column("words").to_pylist(), strict=True))
+        made = pickle.dumps(Automaton([(name, words.split()) for name, words in rows], window))
+        return pa.table({"block": of.column("block").slice(0, 1), "automaton": pa.array([made], pa.binary())})
+
+    named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    cuts = cut(named.mapInArrow(pieces, "name string, words binary, n bigint"), "items")
+    total = cuts.agg(F.sum("n")).first()[0] or 0
+    blocks = 1 if total <= most else -(-2 * total // most)
+    dealt = cuts.withColumn("block", F.pmod(F.xxhash64("name", "words"), F.lit(blocks)).cast("int"))
+    made = cut(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"), "automata")
+    return made, blocks if total else 0
+
+
+def find_contamination(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = 10,
+    max_block_words: int = 500_000,
+    keep: list[str] | None = None,
+) -> DataFrame:
     """docs (or its columns named in keep) with hit_spans (word numbers and code points, ends exclusive), hit_items (sorted)
     and hit_n_words."""
     keep = docs.columns if keep is None else keep
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep) if c != text])
-    out = docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.lit(None).cast(_SPANS).alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items"), F.lit(0).cast("bigint").alias("hit_n_words"))
-    schema = out.schema
+    rest = [c for c in keep if c != text]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    packed = docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     context = docs.sparkSession.sparkContext
-    automata = _blocks(items, item_id, item_text, window, max_block_words)
-    automaton = next(automata, None) or Automaton([], window)
-    while automaton:
-        after = next(automata, None)
-        out = out.mapInArrow(_searcher(context.broadcast(automaton), after is not None or text in keep), schema)
-        automaton = after
-    columns = [F.col("text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(keep)]
-    return out.select(*columns, F.coalesce("hit_spans", F.array()).alias("hit_spans"), F.coalesce("hit_items", F.array()).alias("hit_items"), "hit_n_words")
+    automata, blocks = _automata(items, item_id, item_text, window, max_block_words)
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, text string, spans {_SPANS}, items array<string>, n bigint"
+    if blocks > 1:
+        out = _by_block(packed, automata, blocks, schema, text in keep)
+    else:
+        made = automata.first()
+        shared = context.broadcast(bytes(made["automaton"]) if made else pickle.dumps(Automaton([], window)))
+        out = packed.mapInArrow(_searcher(shared, text in keep), schema)
+    columns = [F.col("text" if c == text else f"row.c{rest.index(c)}").alias(c) for c in keep]
+    return out.select(*columns, F.col("spans").alias("hit_spans"), F.col("items").alias("hit_items"), F.col("n").alias("hit_n_words"))
+
+
+def _by_block(packed: DataFrame, automata: DataFrame, blocks: int, schema: str, keep_text: bool) -> DataFrame:
+    """A stage for each block, then what they found for each row."""
+    context = packed.sparkSession.sparkContext
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    found = None
+    for block in range(blocks):
+        made = automata.where(F.col("block") == block).first()
+        if made:
+            shared = context.broadcast(bytes(made["automaton"]))
+            keyed = packed.select(F.struct(digest.alias("c0")).alias("row"), "text")
+            one = schema[schema.index(", text") :]
+            hits = keyed.mapInArrow(_searcher(shared, False), "row struct<c0:string>" + one).where("size(items) > 0")
+            hits = cut(hits.select("row.c0", "spans", "items").dropDuplicates(["c0"]), "hits")
+            shared.destroy()
+            found = hits if found is None else found.unionByName(hits)
+
+    def merge(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of:
+            spans = [_merged(x) for x in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("c0"), pa.array(spans, batch.column("spans").type), batch.column("items")], schema=batch.schema)
+
+    each = found.groupBy("c0").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = cut(each.mapInArrow(merge, each.schema), "hits")
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORDS)).cast("bigint").alias("n")
+    rows = packed.select("row", *(["text"] if keep_text else []), words, digest.alias("c0"))
+    rows = join_small(rows, merged, ["c0"])
+    empty = lambda c: F.coalesce(F.col(c), F.array()).alias(c)
+    return rows.select("row", F.col("text") if keep_text else F.lit(None).cast("string").alias("text"), empty("spans"), empty("items"), "n")
 
 
 def _searcher(shared, keep_text: bool):
     def run(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = pickle.loads(shared.value)
+        span = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "last", "start", "end")]))
         for batch in of:
-            row, texts, old_spans, old_items, _ = batch.columns
+            row, texts = batch.columns
             spans, items, counts = [], [], []
-            for text, earlier, others in zip(texts, old_spans, old_items, strict=True):
+            for text in texts:
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 n, hits, found = automaton.search(data)
                 counts.append(n)
-                if hits and earlier.is_valid:
-                    hits = _merged([*hits, *([x["first"], x["last"]] for x in earlier.as_py())])
-                items.append(sorted(found | set(others.as_py() or ())) if found else others.as_py())
-                spans.append(_placed(data, hits) if hits else earlier.as_py())
+                items.append(sorted(found))
+                spans.append(_placed(data, hits) if hits else [])
             texts = texts if keep_text else pa.nulls(len(texts), texts.type)
-            yield pa.RecordBatch.from_arrays([row, texts, pa.array(spans, old_spans.type), pa.array(items, old_items.type), pa.array(counts, pa.int64())], schema=batch.schema)
+            columns = [row, texts, pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "spans", "items", "n"])
 
     return run
 
 
-def _merged(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(hi, out[-1][1])
+def _merged(spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    out: list[dict[str, int]] = []
+    for x in sorted(spans, key=lambda x: (x["first"], x["last"])):
+        if out and x["first"] <= out[-1]["last"]:
+            if x["last"] > out[-1]["last"]:
+                out[-1] |= {"last": x["last"], "end": x["end"]}
         else:
-            out.append([lo, hi])
+            out.append(dict(x))
     return out
 
 

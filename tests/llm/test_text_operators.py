@@ -74,7 +74,7 @@ def contamination(docs, items, window):
     return out
 
 
-@pytest.mark.parametrize("most", [1_000_000, 12])
+@pytest.mark.parametrize("most", [1_000_000, 12, 3])
 def test_contamination_is_that_of_brute_force(spark, most, monkeypatch):
     monkeypatch.setattr(decontaminate, "_PIECE", 16)
     rng = random.Random(3)
@@ -82,7 +82,9 @@ def test_contamination_is_that_of_brute_force(spark, most, monkeypatch):
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, text(rng.randint(1, 9))) for i in range(12)] + [(12, None), (13, ""), (3, "aa b")]
     docs = [(i, text(rng.randint(0, 60))) for i in range(25)] + list(enumerate(ODD)) + [(99, items[0][1] + ", " + items[1][1])]
-    found = decontaminate.find_contamination(table(spark, docs), table(spark, items, "item_id bigint, text string"), window=4, max_block_words=most).collect()
+    rows = [(n, i, t) for n, (i, t) in enumerate(docs)]
+    found = decontaminate.find_contamination(table(spark, rows, "n int, doc_id bigint, text string"), table(spark, items, "item_id bigint, text string"), window=4, max_block_words=most).collect()
+    found.sort(key=lambda r: r["n"])
     expected = contamination(docs, items, 4)
     for row, (_, text), (n, hit, names) in zip(found, docs, expected, strict=True):
         assert (row["hit_n_words"], sum(x["last"] - x["first"] for x in row["hit_spans"]), list(row["hit_items"])) == (n, hit, names)
