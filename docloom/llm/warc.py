@@ -2,12 +2,17 @@
 
 Reading: the driver lists files and packs them into partitions; predicates on the record type and on other headers are pushed to the reader,
 which parses a record's headers first. A record that they rule out is skipped without its payload being decoded: by
-Content-Length in a plain file; in a gzip file, where each record is a member of its own, by the member's length, which the
-writer puts into the gzip header (a member without it is inflated and passed over). With the option ``payload=false`` no
-payload is decoded.
+Content-Length in a plain file; in a gzip file by the length of its member, which the writer puts into the gzip header of each
+record. Members without it are inflated and read on through, whether they hold one record, many, or a part of one. With the option
+``payload=false`` no payload is decoded.
+
+A file that ends within a record or a gzip member fails the read; with the option ``truncated=keep`` the record is returned as far
+as it goes, with the column truncated set.
 
 Writing: each task writes files of ``roll_bytes`` at most under names of their own; the commit adds a manifest of the files that
-count. Readers go by the manifests if there are any, so what failed or repeated tasks leave behind is never read.
+count, and of the manifests that it replaces where the mode is overwrite. Readers go by the manifests if there are any, so what failed or
+repeated tasks leave behind is never read. Entries of the map ``headers`` are written, but for those that columns hold and those
+that describe the block (Content-Type, Content-Length).
 
 Files are opened by pyarrow's file systems, by URI: local and shared folders, S3, and HDFS where libhdfs is present.
 
@@ -31,9 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import fresh_path, join_small, table
+from docloom.llm.common import cut, fresh_path, join_small, table
 
-SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_length bigint, headers map<string,string>, payload binary"
+SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_length bigint, headers map<string,string>, payload binary, truncated boolean"
 #: The header that each column is.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length"}
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -57,6 +62,10 @@ def member(data: bytes, level: int = 1) -> bytes:
     return struct.pack("<4BI2BH", 0x1F, 0x8B, 8, 4, 0, 0, 255, len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+class Truncated(ValueError):
+    """A file that ends too soon."""
+
+
 class _Input:
     """A file read from the front, with skips."""
 
@@ -64,17 +73,67 @@ class _Input:
         self.file, self.size, self.at, self.held = file, file.size(), 0, b""
 
     def peek(self, n: int) -> bytes:
-        if len(self.held) < n and self.at + len(self.held) < self.size:
-            self.held += self.file.read_at(min(max(n - len(self.held), _BUFFER), self.size - self.at - len(self.held)), self.at + len(self.held))
+        if len(self.held) < n and (left := self.size - self.at - len(self.held)) > 0:
+            more = self.file.read_at(min(max(n - len(self.held), _BUFFER), left), self.at + len(self.held))
+            self.held = self.held + more if self.held else more
         return self.held[:n]
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int) -> bool:
+        """Whether there was so much."""
         self.at, self.held = self.at + n, self.held[n:]
+        return self.at <= self.size
+
+    def mark(self) -> None:
+        return None
+
+
+class _Inflated:
+    """A gzip file of any number of members, read like a plain one."""
+
+    def __init__(self, file):
+        self.file, self.held, self.inflate, self.alone = _Input(file), bytearray(), None, False
+
+    def _more(self) -> bool:
+        data = self.file.peek(_BUFFER if self.held else 2048)
+        if not data:
+            if self.inflate and not self.inflate.eof:
+                raise Truncated
+            return False
+        if self.inflate is None or self.inflate.eof:
+            self.inflate = zlib.decompressobj(31)
+        self.held += self.inflate.decompress(data)
+        self.file.skip(len(data) - len(self.inflate.unused_data))
+        return True
 
-    def take(self, n: int) -> bytes:
-        out = self.peek(n)
-        self.skip(n)
-        return out
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and not (self.alone and self.inflate and self.inflate.eof) and self._more():
+            pass
+        return bytes(self.held[:n])
+
+    def skip(self, n: int) -> bool:
+        while len(self.held) < n:
+            n -= len(self.held)
+            self.held.clear()
+            if not self._more():
+                return False
+        del self.held[:n]
+        return True
+
+    def mark(self) -> int | None:
+        """Where the record that begins here ends in the file, if it is a member's only one."""
+        if self.held or self.inflate and not self.inflate.eof:
+            return None
+        head = self.file.peek(20)
+        self.alone = len(head) == 20 and head[3] == 4 and head[12:14] == b"sl"
+        if not self.alone:
+            return None
+        self.inflate = None
+        return self.file.at + struct.unpack("<I", head[16:20])[0]
+
+    def leave(self, end: int) -> bool:
+        self.held.clear()
+        self.inflate, self.alone = None, False
+        return self.file.skip(end - self.file.at)
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -86,45 +145,40 @@ def _payload(headers: dict[str, str], block: bytes) -> bytes:
     return block.partition(_END)[2] if headers.get("Content-Type", "").startswith("application/http") else block
 
 
-def plain_records(file: _Input, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    while True:
-        size = 4096
-        while (end := (seen := file.peek(size)).find(_END)) < 0 and len(seen) == size:
-            size *= 4
-        if end < 0:
-            return
-        headers = parse_headers(file.take(end + 4)[:end])
-        length = int(headers.get("Content-Length", 0))
-        if wanted(headers):
-            yield headers, _payload(headers, file.peek(length)) if payload else None
-        file.skip(length + 4)
-
-
-def gzip_records(file: _Input, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    while head := file.peek(20):
-        whole = struct.unpack("<I", head[16:20])[0] if len(head) == 20 and head[3] == 4 and head[12:14] == b"sl" else None
-        out, inflate, fed = b"", zlib.decompressobj(31), 0
-        while (end := out.find(_END)) < 0 and not inflate.eof:
-            data = file.peek(fed + 2048)[fed:]
-            if not data:
+def records(file: _Input | _Inflated, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None, bool]]:
+    """Headers, payload (null if not asked for) and whether the file ended within it."""
+    try:
+        while True:
+            end_of_member, size = file.mark(), 1024
+            while end_of_member is None and file.peek(2) == b"\r\n":  # blank lines before a record
+                file.skip(2)
+                end_of_member = file.mark()
+            while (end := (seen := file.peek(size)).find(_END)) < 0 and len(seen) == size:
+                size *= 4
+            if end < 0 and not seen.strip():
                 return
-            out += inflate.decompress(data)
-            fed += len(data) - len(inflate.unused_data)
-        headers = parse_headers(out[: max(end, 0)])
-        want = wanted(headers)
-        if want and payload or whole is None:
-            if whole is not None:
-                rest = file.peek(whole)[fed:]
-                out, fed = out + inflate.decompress(rest), whole
-            while not inflate.eof and (data := file.peek(fed + _BUFFER)[fed:]):
-                more = inflate.decompress(data)
-                out = out + more if want and payload else out
-                fed += len(data) - len(inflate.unused_data)
-            whole = fed
-        if want:
+            if end < 0:
+                yield parse_headers(seen), None, True
+                return
+            headers = parse_headers(seen[:end])
+            file.skip(end + 4)
             length = int(headers.get("Content-Length", 0))
-            yield headers, _payload(headers, out[end + 4 : end + 4 + length]) if payload else None
-        file.skip(whole)
+            asked = wanted(headers)
+            if asked and payload:
+                block = file.peek(length)
+                yield headers, _payload(headers, block), len(block) < length
+            if end_of_member is not None:
+                whole = file.leave(end_of_member)
+            else:
+                whole = file.skip(length)
+            if asked and not payload:
+                yield headers, None, not whole
+            if not whole:
+                if not asked:
+                    yield {}, None, True
+                return
+    except Truncated:
+        yield {}, None, True
 
 
 @dataclass
@@ -142,6 +196,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
         self.bytes = int(options.get("partition_bytes", 64 << 20))
+        self.fail = options.get("truncated", "fail").lower() != "keep"
         self.tests: list[tuple[str, str, tuple]] = []
 
     def pushFilters(self, filters):  # noqa: N802
@@ -162,7 +217,12 @@ class WarcReader(DataSourceReader):
         fs, root = pafs.FileSystem.from_uri(self.path)
         found = {x.base_name: x for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if x.is_file}
         manifests = [x for x in found if x.startswith("_committed-")]
-        names = sorted(n for x in manifests for n in json.loads(fs.open_input_stream(found[x].path).read())) if manifests else sorted(x for x in found if x.endswith((".warc", ".warc.gz")))
+        if manifests:
+            said = {x: json.loads(fs.open_input_stream(found[x].path).read()) for x in manifests}
+            gone = {x for m in said.values() for x in m["replaces"]}
+            names = sorted(n for x, m in said.items() if x not in gone for n in m["files"])
+        else:
+            names = sorted(x for x in found if x.endswith((".warc", ".warc.gz")))
         out, size = [], self.bytes
         for n in names:
             if size + found[n].size > self.bytes:
@@ -183,16 +243,18 @@ class WarcReader(DataSourceReader):
         fs, _ = pafs.FileSystem.from_uri(self.path)
         for path in partition.paths:
             with fs.open_input_file(path) as file:
-                records = gzip_records if path.endswith(".gz") else plain_records
-                for headers, payload in records(_Input(file), self.wanted, self.payload):
+                source = _Inflated(file) if path.endswith(".gz") else _Input(file)
+                for headers, payload, truncated in records(source, self.wanted, self.payload):
+                    if truncated and self.fail:
+                        raise Truncated(f"{path} ends within a record")
                     row = [headers.get(h) for h in HEADERS.values()]
                     row[-1] = int(row[-1]) if row[-1] else None
-                    yield (*row, headers, payload)
+                    yield (*row, headers, payload, truncated)
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, schema: StructType, options: dict[str, str]):
-        self.names = schema.names
+    def __init__(self, schema: StructType, options: dict[str, str], overwrite: bool = False):
+        self.names, self.overwrite = schema.names, overwrite
         self.path = options["path"]
         self.gzip = options.get("compression", "gzip") == "gzip"
         self.roll = int(options.get("roll_bytes", 128 << 20))
@@ -201,8 +263,11 @@ class WarcWriter(DataSourceWriter):
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root, recursive=True)
         names, out = [], None
+        reserved = {"Content-Type", "Content-Length", *HEADERS.values()}
         for row in iterator:
             headers = {h: row[c] for c, h in HEADERS.items() if c in self.names and row[c] is not None}
+            more = row["headers"] if "headers" in self.names else None
+            headers |= {k: v for k, v in (more or {}).items() if k not in reserved and v is not None}
             data = record(headers, bytes(row["payload"] or b""))
             if out is None or out.tell() > self.roll:
                 if out is not None:
@@ -217,8 +282,16 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root, recursive=True)
+        before = {x.base_name: x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.is_file} if self.overwrite else {}
+        files = [n for m in messages if m for n in m.names]
+        before = {name: path for name, path in before.items() if name not in files}
+        manifest = {"files": files, "replaces": [x for x in before if x.startswith("_committed-")]}
         with fs.open_output_stream(f"{root}/_committed-{uuid.uuid4().hex}", compression=None) as out:
-            out.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+            out.write(json.dumps(manifest).encode())
+        # manifests go last: until then the new one hides them
+        for name in sorted(before, key=lambda x: x.startswith("_committed-")):
+            if name.startswith("_committed-") or name.endswith((".warc", ".warc.gz")):
+                fs.delete_file(before[name])
 
     def abort(self, messages) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -238,7 +311,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(schema, self.options)
+        return WarcWriter(schema, self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -252,8 +325,8 @@ def archive(pages: DataFrame, path: str, least: int = 1000) -> None:
     register(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("bigint"))
-    same = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    rows = join_small(rows, same, ["digest"])
+    same = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    rows = join_small(rows, cut(same.where("n > 1").select("digest", "last"), "copies"), ["digest"])
     again = F.col("page_id").isNull() & F.col("last").isNotNull() | (F.col("page_id") != F.col("last"))
     again = F.coalesce(again, F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
@@ -274,16 +347,14 @@ def archive(pages: DataFrame, path: str, least: int = 1000) -> None:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     archive(table(spark, sf_dir, "pages"), path)
-    read = spark.read.format("warc").load(path)
     page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1), F.lit("")).cast("bigint")
-    full = F.col("record_type") == "response"
-    return read.select(
-        page("record_id").alias("page_id"),
-        F.when(full, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(full, F.sha1("payload")).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
-        "record_type",
-        page("refers_to").alias("refers_to"),
-    )
+    # the type is pushed to the reader; of revisits only headers are read, where the writer put the full payload's size and digest
+    full = spark.read.format("warc").load(path).where("record_type = 'response'")
+    again = spark.read.format("warc").option("payload", "false").load(path).where("record_type = 'revisit'")
+    own = [F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")]
+    said = [F.col("payload_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest")]
+    rest = ["record_type", page("refers_to").alias("refers_to")]
+    return full.select(page("record_id").alias("page_id"), *own, *rest).union(again.select(page("record_id").alias("page_id"), *said, *rest))
 
 
 OP3_SQL = """

@@ -49,13 +49,69 @@ def test_members_without_length_and_skips():
     import gzip
 
     record = warc.record({"WARC-Type": "response"}, os.urandom(400_000))
-    plain = Memory(record + warc.record({"WARC-Type": "request"}, b"q"))
-    assert [h["WARC-Type"] for h, _ in warc.plain_records(warc._Input(plain), lambda h: h["WARC-Type"] == "request", True)] == ["request"]
+    asked = warc.record({"WARC-Type": "request"}, b"q")
+    only = lambda h: h["WARC-Type"] == "request"
+    plain = Memory(record + asked)
+    assert [h["WARC-Type"] for h, _, _ in warc.records(warc._Input(plain), only, True)] == ["request"]
     assert plain.read < 300_000
-    mixed = Memory(gzip.compress(record) + warc.member(record) + warc.member(warc.record({"WARC-Type": "request"}, b"q")))
-    found = list(warc.gzip_records(warc._Input(mixed), lambda h: True, True))
-    assert [len(p) for _, p in found] == [400_000, 400_000, 1]
+    mixed = Memory(gzip.compress(record) + warc.member(record) + warc.member(asked))
+    found = list(warc.records(warc._Inflated(mixed), lambda h: True, True))
+    assert [(len(p), t) for _, p, t in found] == [(400_000, False), (400_000, False), (1, False)]
     assert zlib.decompress(warc.member(b"abc"), 31) == b"abc"
+    # records that are ruled out, or whose payload is not asked for, are not read from a gzip file either
+    for wanted, payload, n in ((only, True, 3), (lambda h: True, False, 6)):
+        members = Memory((warc.member(record) + warc.member(asked)) * 3)
+        assert sum(1 for _ in warc.records(warc._Inflated(members), wanted, payload)) == n and members.read < len(members.data) / 2
+
+
+def test_records_of_any_division_into_members():
+    import gzip
+
+    data = b"".join(warc.record({"WARC-Type": "response", "WARC-Record-ID": str(i)}, bytes([65 + i]) * (70_000 * i)) for i in range(5))
+    for cuts in ([], [100], [30_000, 30_001, 200_000]):
+        edges = [0, *cuts, len(data)]
+        file = Memory(b"".join(gzip.compress(data[a:b]) for a, b in zip(edges, edges[1:], strict=False)))
+        found = [(h["WARC-Record-ID"], p, t) for h, p, t in warc.records(warc._Inflated(file), lambda h: True, True)]
+        assert found == [(str(i), bytes([65 + i]) * (70_000 * i), False) for i in range(5)]
+        assert len(list(warc.records(warc._Inflated(file), lambda h: h["WARC-Record-ID"] == "3", True))) == 1
+
+
+def test_truncated_files_are_told(spark, tmp_path):
+    record = warc.record({"WARC-Type": "response"}, b"x" * 1000)
+    warc.register(spark)
+    for i, (name, data, rows) in enumerate([("a.warc", record + record[:-300], 2), ("a.warc", record + record[:20], 2), ("a.warc.gz", warc.member(record) + warc.member(record)[:-20], 2), ("a.warc", record[:-4], 1)]):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / name).write_bytes(data)
+        path = f"file://{tmp_path}/{i}"
+        kept = spark.read.format("warc").option("truncated", "keep").load(path).collect()
+        assert len(kept) == rows and [r["truncated"] for r in kept] == [False, True][:rows]
+        for payload in ("true", "false"):
+            read = spark.read.format("warc").option("payload", payload).load(path)
+            if rows == 2:
+                with pytest.raises(Exception, match="ends within a record"):
+                    read.collect()
+            else:
+                assert read.count() == 1
+
+
+def test_overwrite_and_headers_round_trip(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/w"
+    rows = spark.createDataFrame([("response", "1", {"X-Own": "a b", "Content-Type": "no", "none": None}, bytearray(b"p"))], "record_type string, record_id string, headers map<string,string>, payload binary")
+    for mode, n in (("append", 1), ("append", 2), ("overwrite", 1), ("append", 2), ("overwrite", 1)):
+        rows.write.format("warc").mode(mode).save(path)
+        assert spark.read.format("warc").load(path).count() == n
+    first = spark.read.format("warc").load(path).first()
+    assert first["headers"]["X-Own"] == "a b" and first["headers"]["Content-Type"].startswith("application/http") and bytes(first["payload"]) == b"p"
+    spark.read.format("warc").load(path).write.format("warc").mode("append").save(f"file://{tmp_path}/again")
+    assert spark.read.format("warc").load(f"file://{tmp_path}/again").first()["headers"] == first["headers"]
+
+
+def test_archive_of_no_pages_and_of_more_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "h", "d", 5)], "page_id bigint, url string, html string, digest string, size int")
+    for i, (df, n) in enumerate(((pages, 1), (pages.limit(0), 0))):
+        warc.archive(df, f"file://{tmp_path}/{i}")
+        assert spark.read.format("warc").load(f"file://{tmp_path}/{i}").count() == n
 
 
 def test_uncommitted_files_are_not_read(spark, tmp_path):
