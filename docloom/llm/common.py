@@ -44,6 +44,21 @@ def join_small(
     return left.alias("l").join(right.alias("r"), [*on, F.col("l._salt") == F.col("r._salt")], how).select(out)
 
 
+def hot_keys(counts: DataFrame, key: str, count: str, least: int = 1000) -> DataFrame:
+    """The keys that hold more than a ten-thousandth of all rows (and ``least`` rows): 10,000 at most, whatever the table."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return cut(counts.where(F.col(count) > max(total / 10_000, least)).select(key), "hot")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:
+    """left joined with right, one row per key, by shuffle; but the keys of hot_keys() meet a broadcast part of right, so that none of them
+    has its rows in one task. Both sides should be cheap to read twice. A key that is null stays without a partner."""
+    marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    cold = marked.where("_hot IS NULL").drop("_hot").join(right, key, how)
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    return cold.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(few), key, how))
+
+
 def hash_mod(column: str, n: int):
     """crc32 of the value as text, mod n; null for null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

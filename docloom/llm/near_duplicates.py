@@ -10,7 +10,7 @@
    a star for each class.
 
 Buckets and components of more than ``block`` nodes are dealt out as pairs of blocks, each a task's work; so no bucket is
-capped and none is gathered whole. Texts are read twice; full sets are made for candidates only.
+capped and none is gathered whole. The price: of a component of N nodes each set is sent to N / ``block`` tasks. Texts are read twice; full sets are made for candidates only.
 
 Defined cases: a null or empty text, or one without a word, has no n-gram and is a class of its own; a text of fewer than n words
 has one window, all its words; rows that repeat are copies of each other; a null id takes part, and a class's id is
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Words, batches, cut, shingles, table
+from docloom.llm.common import Words, batches, cut, hot_keys, join_hot, shingles, table
 from docloom.llm.components import components
 
 
@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", n:
     members = banded.join(met.hint("merge"), "bucket").join(single.select("node", "signature").hint("merge"), "node")
     ties = _dealt(members, "bucket", "size", block, total // 8000 + 1).groupBy("task").applyInArrow(_ties, "a binary, b binary")
     tied = components(ties)
-    sized = tied.groupBy("root").agg(F.count("*").alias("size"))
-    chosen = tied.join(nodes, "node").join(sized.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).select("node", "weight", "size", F.col("root").alias("component"), F.col("example.text_key").alias("text_key"), F.col("example.id").alias("id"))
+    sized = cut(tied.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    chosen = join_hot(tied, sized, "root", hot_keys(sized, "root", "size")).join(nodes, "node").select("node", "weight", "size", F.col("root").alias("component"), F.col("example.text_key").alias("text_key"), F.col("example.id").alias("id"))
     chosen = cut(chosen, "candidates")
     count = chosen.count()
 
@@ -204,9 +204,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", n:
     found = cut(_dealt(full, "component", "size", block, count // 500 + 1).groupBy("task").applyInArrow(_verifier(threshold), "node binary, links bigint, root binary"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("root != node").select(F.col("root").alias("a"), F.col("node").alias("b")))
-    named = nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = named.join(lowest, "root").join(links, "node", "left").select("node", "class_id", F.col("least").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    named = nodes.drop("example").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(named.join(links, "node", "left"), "named")
+    lowest = cut(named.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("size")), "lowest")
+    named = join_hot(named, lowest.drop("size"), "root", hot_keys(lowest, "root", "size")).select("node", "class_id", F.col("least").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     named = cut(named, "classes")
     out = sketches.select("id", "node").join(named, "node", "left")
     alone = F.col("node").isNull()
