@@ -14,6 +14,7 @@ further columns stay as they are, but for names that begin with ``secret_``; an
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,9 @@ from docloom.llm.common import cut, fresh_path, table
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_PRIVATE = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+#: A private key up to its end, or its first line where there is none.
+_PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=:,.\t\n\f\r ]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)?"
+_PRIVATE = re.compile(_PRIVATE_KEY.encode())
 _TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
 Spans = list[tuple[int, int]]
 
@@ -50,7 +53,7 @@ RULES: dict[str, tuple[int, Callable[[bytes], Spans]]] = {
     "assign": (1, _assignments),
     "access": (1, _access_keys),
     "hex": (1, _found(_HEX)),
-    "private": (1, _found(_PRIVATE)),
+    "private": (2, _found(_PRIVATE)),
     "jwt": (1, _found(_TOKEN)),
 }
 _FOUND = "array<struct<start:bigint,end:bigint,kind:string>>"
@@ -75,15 +78,25 @@ def scan(text: bytes, rules: dict, names: list[str]) -> list[dict]:
 
 
 def update_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: dict = RULES) -> DataFrame:
-    """Scans blobs and rule versions that the ledger lacks, and adds them to it. Returns the ledger."""
+    """Scans blobs and rule versions that the ledger lacks, and adds them to it, if any. Returns the ledger."""
     spark = docs.sparkSession
     wanted = F.array(*[F.lit(f"{kind}@{version}") for kind, (version, _) in rules.items()])
-    blobs = docs.select(blob(text).alias("blob"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    texts = docs.select(blob(text).alias("blob"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     try:
-        seen = spark.read.schema(_LEDGER).parquet(ledger).groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").select("blob", "text", F.array_except(wanted, F.coalesce("seen", F.array())).alias("rules")).where(F.size("rules") > 0)
+        known = spark.read.schema(_LEDGER).parquet(ledger)
     except AnalysisException:  # no ledger yet
-        todo = blobs.select("blob", "text", wanted.alias("rules"))
+        todo = texts.groupBy("blob").agg(F.first("text").alias("text")).select("blob", "text", wanted.alias("rules"))
+    else:
+        # digests first: texts are fetched of what the ledger lacks
+        seen = known.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
+        lacking = texts.select("blob").distinct().join(seen, "blob", "left")
+        lacking = lacking.select("blob", F.array_except(wanted, F.coalesce("seen", F.array())).alias("rules"))
+        lacking = cut(lacking.where(F.size("rules") > 0), "lacking")
+        n = lacking.count()
+        if not n:
+            return known
+        chosen = texts.join(F.broadcast(lacking) if n <= 20_000 else lacking, "blob", "left_semi")
+        todo = chosen.groupBy("blob").agg(F.first("text").alias("text")).join(lacking, "blob")
 
     def run(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of:
@@ -123,8 +136,16 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", rules:
     return found.select(*[F.when(F.size("secret_spans") > 0, clean).otherwise(body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
+def kept_ledger(spark: SparkSession, name: str) -> str | None:
+    """The ledger of a table in the folder that the session's setting ``spark.docloom.ledger.dir`` names, which outlives the session; or
+    none, for a ledger of this run alone."""
+    folder = spark.conf.get("spark.docloom.ledger.dir", "")
+    return f"{folder}/{hashlib.sha256(name.encode()).hexdigest()[:16]}" if folder else None
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    ledger = kept_ledger(spark, f"{sf_dir}/documents")
+    found = find_secrets(table(spark, sf_dir, "documents"), ledger=ledger, keep=["doc_id"])
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda *kinds: F.filter("secret_spans", lambda x: x["kind"].isin(*kinds))
     return found.select(
@@ -150,7 +171,7 @@ f AS (
   {_sql_kind(0, "assign", _SQL_ASSIGN, "length(regexp_extract(x, '" + _SQL_ASSIGN.replace("'", "''") + "', 1)) >= 6")}
   UNION ALL {_sql_kind(1, "access", "AKIA[A-Z0-9]+", "length(x) >= 20")}
   UNION ALL {_sql_kind(2, "hex", "[0-9a-f]+", "length(x) >= 24")}
-  UNION ALL {_sql_kind(3, "private", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true")}
+  UNION ALL {_sql_kind(3, "private", _PRIVATE_KEY, "true")}
   UNION ALL {_sql_kind(4, "jwt", "eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]*", "true")}),
 g AS (
   SELECT k, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
