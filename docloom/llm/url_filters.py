@@ -2,7 +2,7 @@
 
 A rule allows or blocks a host, all its subdomains, and paths that begin with the rule's. The longest that fits decides. The trees see lexical
 features only: lengths, depth, shares of digits, entropy of characters, numbers of parameters, and statistics of host suffix and first
-path segment. They are trained on URLs labelled by the rules: ``fit_rows`` of them at most, those with the least hashes. Rules are a
+path segment among the other labelled URLs (never a URL's own label). They are trained on URLs labelled by the rules: ``fit_rows`` of them at most, those with the least hashes. Rules are a
 parameter, a list that a person writes; each URL is held against all of them in one expression.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and gets the trees' verdict; URLs that repeat are judged
@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, join_small, table
+from docloom.llm.common import cut, hot_keys, join_hot, table
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -74,17 +74,21 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", fit_row
     rows = rows.select(*columns, "url_host", "url_path", "url_rule", "url_ruled", suffix.alias("url_suffix"), segment.alias("url_segment"), *[c.alias(f"url_{k}") for k, c in lexical(url).items()])
     rows = cut(rows, "urls")
     blocked, labelled = F.sum((F.col("url_ruled") == "block").cast("int")), F.count("url_ruled")
-    # of URLs with a label, how many are blocked, with two more of which one is
-    rate = (F.coalesce(blocked, F.lit(0)) + 1) / (labelled + 2)
+    # of other URLs with a label, how many are blocked, with two more of which one is; a URL's own label is left out
+    own = F.when(F.col("url_ruled") == "block", 1).otherwise(0)
+    rate = (F.col("b") - own + 1) / (F.col("l") - F.when(F.col("url_ruled").isNotNull(), 1).otherwise(0) + 2)
     total = rows.agg(F.count("*").alias("n"), blocked.alias("blocked"), labelled.alias("labelled")).first()
     answer = F.col("url_ruled")
     out = [*columns, "url_host", "url_path", "url_rule"]
     if not total["blocked"] or total["blocked"] == total["labelled"]:
         return rows.select(*out, F.coalesce(answer, F.lit("block" if total["blocked"] else "allow")).alias("url_verdict"))
-    suffixes = cut(rows.groupBy("url_suffix").agg((F.count("*") / total["n"]).alias("url_suffix_share"), rate.alias("url_suffix_blocked")), "suffixes")
-    # a segment that no two labelled URLs have says nothing
-    segments = cut(rows.where("url_ruled IS NOT NULL").groupBy("url_segment").agg(rate.alias("url_segment_blocked"), F.count("*").alias("n")).where("n > 1").drop("n"), "segments")
-    rows = join_small(join_small(rows, suffixes, ["url_suffix"]), segments, ["url_segment"]).fillna(0.5, ["url_segment_blocked"])
+    for part in ("suffix", "segment"):
+        counts = rows.groupBy(f"url_{part}").agg(F.count("*").alias("n"), blocked.alias("b"), labelled.alias("l"))
+        counts = cut(counts.select(f"url_{part}", "n", F.coalesce("b", F.lit(0)).alias("b"), "l"), f"{part}es")
+        rows = join_hot(rows, counts, f"url_{part}", hot_keys(counts, f"url_{part}", "n"))
+        share = [(F.col("n") / total["n"]).alias("url_suffix_share")] if part == "suffix" else []
+        rows = rows.select("*", *share, rate.alias(f"url_{part}_blocked")).drop("n", "b", "l")
+        rows = cut(rows, "rated")
     rows = VectorAssembler(inputCols=[f"url_{f}" for f in FEATURES], outputCol="url_features").transform(rows)
     fit = rows.where("url_ruled IS NOT NULL").select("url_features", (answer == "block").cast("double").alias("url_label"), F.xxhash64(url).alias("h")).orderBy("h").limit(fit_rows).select("url_features", "url_label")
     model = GBTClassifier(featuresCol="url_features", labelCol="url_label", predictionCol="url_block", maxIter=trees, maxDepth=depth, seed=1).fit(cut(fit, "labelled"))
