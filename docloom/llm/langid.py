@@ -10,8 +10,9 @@ Prototypes are sums of integers, so runs agree. The prototypes (a vector per lan
 the only thing that is collected.
 
 Defined cases: a null text, and one with no letter, is ``und`` with score 0, and teaches nothing; a null language teaches nothing;
-with nothing to learn from every text is ``und``; ties go to the language first in code point order; a text's further columns
-stay as they are.
+with nothing to learn from every text is ``und``; ties go to the language first in code point order; texts that repeat teach each
+time; a null id is not held out and its text teaches; further columns stay as they are, but for those named as the result's
+(lang_pred, score), which it replaces.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batches, hash_mod, table
+from docloom.llm.common import batches, cut, hash_mod, table
 
 #: Letter codes: 0 for what is no letter, 1 to 26 for a to z, the rest shared by all other letters.
 CODES = 64
@@ -109,13 +110,14 @@ def prototypes(labelled: DataFrame, profiles: Profiles, text: str = "text", lang
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(total), object), size), pa.string()), pa.array(np.tile(np.arange(size, dtype=np.int32), len(total))), pa.array(np.concatenate(list(total.values())).astype(np.int64))], names=["lang", "at", "x"])
 
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(sums, "lang string, at int, x bigint").groupBy("lang", "at").agg(F.sum("x").alias("x"))
-    found = rows.toPandas()
-    names = sorted(set(found["lang"]))
-    if len(names) > max_languages:
-        raise ValueError(f"{len(names)} languages; this column is hardly one of languages")
-    out = np.zeros((len(names), profiles.letters.shape[1]))
-    out[[names.index(x) for x in found["lang"]], found["at"]] = found["x"]
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.mapInArrow(sums, "lang string, at int, x bigint").groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    bundles = cut(rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).select("lang", "v.x"), "bundles")
+    if (n := bundles.count()) > max_languages:  # before any of them is brought to the driver
+        raise ValueError(f"{n} languages; this column is hardly one of languages")
+    found = sorted(bundles.collect())
+    names = [r["lang"] for r in found]
+    out = np.array([r["x"] for r in found], float).reshape(len(names), profiles.letters.shape[1])
     used = np.abs(out).sum(1) > 0
     return [x for x, y in zip(names, used, strict=True) if y], out[used]
 
@@ -124,7 +126,7 @@ def identify(docs: DataFrame, names: list[str], bundles: np.ndarray, profiles: P
     """docs with lang_pred and score (the cosine; 0 where it is negative)."""
     bundles = (bundles / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-12)).astype(np.float32) if names else bundles
     shared = docs.sparkSession.sparkContext.broadcast((names, bundles))
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
     packed = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
 
@@ -152,6 +154,7 @@ def identify(docs: DataFrame, names: list[str], bundles: np.ndarray, profiles: P
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, profiles = table(spark, sf_dir, "documents"), Profiles()
-    learn = docs.where(hash_mod("doc_id", 3) != 1)
-    rows = docs.select("doc_id", F.coalesce(hash_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
+    held_out = F.coalesce(hash_mod("doc_id", 3) == 1, F.lit(False))
+    learn = docs.where(~held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     return identify(rows, *prototypes(learn, profiles), profiles)

@@ -6,12 +6,12 @@ remaining part p is an inclusion probability: documents are ranked by the odds o
 (Pareto order sampling), and the first are taken until their words fill the rest of the target; so the sample's
 size, in words, is fixed to within a document, and inclusion is close to p.
 
-The random number is of the document's id, so runs agree. No source is sorted as a whole: words are summed over 256 intervals of the rank per
+The random number is of the document's id (or text, where that is null), so runs agree. No source is sorted as a whole: words are summed over 256 intervals of the rank per
 source, then over 256 parts of the interval where the target is reached; only the documents of that part are put in order. All of it is
 DataFrame operations; the texts are read once, for their sizes.
 
-Defined cases: null texts have size 0 and are never taken; null is a source like others, last in order; a null id draws like the text
-''; documents with equal ids, sources and sizes draw the same number, and which of them is taken is arbitrary (the result's rows are
+Defined cases: null texts have size 0 and are never taken; null is a source like others, last in order; a null id draws by its
+text; documents with equal ids, sources and sizes draw the same number, and which of them is taken is arbitrary (the result's rows are
 the same); further columns are ignored, or kept by :func:`mix`; an empty table gives an empty result.
 """
 
@@ -58,13 +58,14 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
     return full.select("source", "source_size", "target").union(rows.where("source_size = 0").select("source", "source_size", F.lit(0.0)))
 
 
-def uniform(id: str) -> Column:
-    """A number between 0 and 1, from the id."""
-    return (F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
+def uniform(name: Column) -> Column:
+    """A number between 0 and 1, from a name."""
+    return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
 
 
 def sample(docs: DataFrame, targets: DataFrame, id: str = "doc_id", most: int = 2) -> DataFrame:
-    """docs (id, source, size, and more columns) with the sources' columns and `copies`. Both tables should be cheap to read again."""
+    """docs (id, source, size, the number drawn as _u, and more columns) with the sources' columns and `copies`. Both tables should be cheap
+    to read again."""
     docs = docs.withColumn("_level", importance())
     levels = docs.where("size > 0").groupBy("source", "_level").agg(F.sum("size").alias("words"))
     levels = join_small(levels, targets.select("source", "target"), ["source"])
@@ -75,7 +76,7 @@ def sample(docs: DataFrame, targets: DataFrame, id: str = "doc_id", most: int =
     rest = levels.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("_whole") * F.col("words")).alias("whole")).select("source", (F.col("target") - F.col("whole")).alias("_rest"))
     levels = cut(levels.select("source", "_level", "_whole", "_p"), "levels")
     rows = join_small(docs, levels, ["source", "_level"])
-    u = uniform(id)
+    u = F.col("_u")
     odds = u / (1 - u) / (F.col("_p") / (1 - F.col("_p")))
     drawn = F.when((F.col("size") > 0) & (F.col("_p") > 0), odds)
     # rank as a part of 1: small odds first
@@ -104,13 +105,16 @@ def sample(docs: DataFrame, targets: DataFrame, id: str = "doc_id", most: int =
     last = rows.where("_place = 2").withColumn("_take", (F.sum("size").over(order) - F.col("size") / 2 <= F.col("_rest")).cast("int"))
     others = rows.where("_place != 2").withColumn("_take", (F.col("_place") == 1).cast("int"))
     out = others.unionByName(last).withColumn("copies", (F.col("_copies") + F.col("_take")).cast("int"))
-    out = out.drop("_odds", "_part", "_a", "_b", "_copies", "_at_a", "_at_b", "_rest", "_place", "_take")
+    out = out.drop("_odds", "_part", "_a", "_b", "_copies", "_at_a", "_at_b", "_rest", "_place", "_take", "_u")
     return join_small(out, targets, ["source"])
 
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """(id, source, size, copies, source_size, target) of each document."""
-    sized = cut(docs.select(F.col(f"`{id}`").alias(id), F.col(f"`{source}`").alias("source"), size_of(text).alias("size")), "sizes")
+    # a document without an id draws by its text
+    name = F.coalesce(F.col(f"`{id}`").cast("string"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    columns = [F.col(f"`{id}`").alias(id), F.col(f"`{source}`").alias("source"), size_of(text).alias("size"), uniform(name).alias("_u")]
+    sized = cut(docs.select(*columns), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     return sample(sized, cut(source_targets(sources, weights, share, most), "targets"), id, most)
 
@@ -121,7 +125,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS cap, CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE AS total FROM src),
@@ -133,7 +137,7 @@ targets AS (
   UNION ALL SELECT source, source_size, 0.0 FROM src WHERE source_size = 0),
 leveled AS (
   SELECT s.*, t.source_size, t.target, CASE WHEN size < 32 THEN 1 WHEN size < 256 THEN 2 WHEN size < 2048 THEN 3 ELSE 4 END AS lv,
-         (('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+         (('0x' || substr(md5(name), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 groups AS (
   SELECT source, lv, target, CAST(sum(size) AS BIGINT) AS words, CAST(lv * sum(size) AS DOUBLE) AS gw, CAST(sum(size) AS DOUBLE) * 2.0 AS gcap FROM leveled WHERE size > 0 GROUP BY source, lv, target),

@@ -10,7 +10,7 @@ sample of ``fit_rows`` rows, half of them likely good and half likely bad as far
 the text; everything else sees every row and whole texts.
 
 Defined cases: a null text is an empty one; with fewer than ten documents of either class to learn from, the score is the posterior; rows that repeat
-are judged alike; further columns stay as they are (those of the result begin with ``quality_``).
+are judged alike; further columns stay as they are, but for those named as the result's, which it replaces.
 """
 
 from __future__ import annotations
@@ -97,9 +97,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 def classify(docs: DataFrame, text: str = "text", size: int = 2048, fit_rows: int = 6000, keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs (or those named in keep), with quality_label (the posterior of good, from the votes) and
-    quality_score (the scorer's probability of good)."""
-    keep = docs.columns if keep is None else keep
+    """The columns of docs (or those named in keep), with quality_label (the posterior of good, from the votes), quality_score (the
+    scorer's probability of good) and quality_fitted (false where there was too little to fit a scorer to, and the score is the label)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("quality_label", "quality_score", "quality_fitted")]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep) if c != text]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     half = fit_rows // 2
 
@@ -156,7 +156,9 @@ def classify(docs: DataFrame, text: str = "text", size: int = 2048, fit_rows: in
                 yield pa.RecordBatch.from_arrays([batch.column("row"), texts if text in keep else pa.nulls(len(texts), texts.type), pa.array(label, pa.float64()), pa.array(scores, pa.float64())], names=["row", "text", "quality_label", "quality_score"])
 
     schema = packed.select("row", "text", F.lit(0.0).alias("quality_label"), F.lit(0.0).alias("quality_score")).schema
-    return packed.mapInArrow(score, schema).select(*[F.col("text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(keep)], "quality_label", "quality_score")
+    columns = [F.col("text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(keep)]
+    fitted = F.lit(weights is not None).alias("quality_fitted")
+    return packed.mapInArrow(score, schema).select(*columns, "quality_label", "quality_score", fitted)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
