@@ -11,7 +11,7 @@ estimate's covariance is widened first, where the group's median distance is bey
 rejected if its distance is beyond the quantile ``certainty``.
 
 Statistics are integers, in units of 2^-12; sums of them and of their products are exact, and order statistics come from counts
-over steps of the distance (1/1024 of an octave). So results don't depend on partitions or on the order of rows. Each step is two
+over steps of the distance (1/256 of an octave). So results don't depend on partitions or on the order of rows. Each step is two
 aggregations over a written table of statistics, with a state of a few numbers per group.
 
 Defined cases: a null or empty text has no words and fails the base rules; null languages and sources are values like others; rows
@@ -120,7 +120,7 @@ def _key(c: str) -> Column:
 
 
 UNIT = 1 << 12
-_OCTAVE = 1024
+_OCTAVE = 256
 
 
 def _pairs(d: int) -> list[tuple[int, int]]:

@@ -195,6 +195,149 @@ def test_ledger_scans_only_what_is_new(spark):
     assert [x["kind"] for x in again["secret_spans"]] == ["access", "assign", "hex"]
 
 
+def test_private_keys_are_found_to_their_end(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nMIIE+/a=\n-----END RSA PRIVATE KEY-----"
+    texts = [(1, f"\U0001f600 {key} after"), (2, "-----BEGIN PRIVATE KEY-----\nAB\n" + key), (3, "-----BEGIN PRIVATE KEY----- cut 'off'"), (4, f"token={'a' * 30}-----BEGIN PRIVATE KEY-----")]
+    rows = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["secret_spans"] if x["kind"] == "private"] for r in secrets.find_secrets(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert (rows[1], rows[2], rows[3]) == ([("private", 2, 2 + len(key))], [("private", 0, 27), ("private", 31, 31 + len(key))], [("private", 0, 27)])
+    clean = secrets.redact(spark.createDataFrame(texts[:1], "doc_id bigint, text string")).first()["text"]
+    assert clean == "\U0001f600 [REDACTED] after"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_a_second_run_of_the_query_scans_nothing(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.docloom.ledger.dir", f"file://{tmp_path}")
+    try:
+        run = lambda: sorted(map(tuple, secrets.op8_secrets(spark, DIR).collect()), key=str)
+        first = run()
+        files = sorted(tmp_path.rglob("*.parquet"))
+        monkeypatch.setattr(secrets, "scan", None)  # nothing is left to scan
+        assert run() == first and sorted(tmp_path.rglob("*.parquet")) == files
+    finally:
+        spark.conf.unset("spark.docloom.ledger.dir")
+
+
+def test_documents_without_an_id_draw_by_their_text(spark):
+    rows = [(None, f"{'w ' * 20}{i}", "a") for i in range(200)] + [(None, "x " * 400, "b")]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1, 4)).where("source = 'a'").collect()
+    taken = [r["copies"] for r in out]
+    assert min(taken) < max(taken) and abs(sum(r["size"] * r["copies"] for r in out) - out[0]["target"]) <= 21
+
+
+def test_rates_leave_a_urls_own_label_out(spark):
+    """Where labels are drawn by lot, a segment of its own for each URL must not tell them."""
+    rng = random.Random(4)
+    rows = [(i, f"http://h.{'bad' if rng.random() < 0.5 else 'good'}.io/s{i}/x") for i in range(300)]
+    rows = [(i, u.replace("bad.io", "bad") if "bad.io" in u else u.replace("good.io", "good")) for i, u in rows]
+    rules = [("block", "bad", "/s"), ("allow", "good", "/s")]
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "page_id bigint, url string")
+    seen = {}
+    assembler = url_filters.VectorAssembler
+
+    class Spy(assembler):
+        def transform(self, df):
+            seen["rows"] = df.select("url", "url_segment_blocked", "url_suffix_blocked", "url_suffix_share").collect()
+            return super().transform(df)
+
+    url_filters.VectorAssembler = Spy
+    try:
+        found = url_filters.judge(df, rules, trees=1).collect()
+    finally:
+        url_filters.VectorAssembler = assembler
+    assert len(found) == 302
+    first = rows[0][1]
+    blocked = ".bad/" in first
+    n = sum(".bad/" in u for _, u in rows) + 2 * blocked
+    for r in seen["rows"]:
+        if r["url"] == first:  # two more like it
+            assert r["url_segment_blocked"] == pytest.approx((2 * blocked + 1) / 4)
+        else:
+            assert r["url_segment_blocked"] == 0.5
+        own = ".bad/" in r["url"]
+        assert r["url_suffix_blocked"] == pytest.approx(n / (n + 1) if own else 1 / (303 - n))
+        assert r["url_suffix_share"] == pytest.approx((n if own else 302 - n) / 302)
+
+
+def test_trees_rank_urls_that_they_have_not_seen(spark):
+    rng = random.Random(9)
+    bad = lambda i: f"http://cheap-{rng.randint(10, 99)}.site{i % 7}.xyz/{rng.randint(10**6, 10**7)}?a={i}&b=2&c=3"
+    good = lambda i: f"https://site{i % 7}.xyz/guide/" + "".join(rng.choice("aeiou") for _ in range(6))
+    rows = [(i, bad(i) if i % 2 else good(i)) for i in range(800)]
+    rules = [("block" if i % 2 else "allow", u.split("://")[1].split("/")[0], "/" + u.split("/", 3)[3].split("?")[0]) for i, u in rows[:100]]
+    out = url_filters.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules, trees=8).where("url_rule IS NULL").collect()
+    right = [(r["url_verdict"] == "block") == bool(r["page_id"] % 2) for r in out]
+    assert len(right) > 500 and sum(right) / len(right) > 0.9
+
+
+def duck(sql, name=DIR):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{name}/{t}.parquet'")
+    return db.execute(sql).df()
+
+
+LM_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, crc % 7 = 2 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), chr(10)) AS w
+  FROM documents JOIN crcs USING (doc_id)),
+t AS (SELECT k, held_out, unnest(w) AS token FROM d),
+c AS (SELECT token, count(*) AS n FROM t WHERE NOT held_out GROUP BY token),
+z AS (SELECT sum(n) AS total, count(*) AS kinds FROM c),
+s AS (SELECT k, count(*) AS n_tokens, count(n) AS n_known, sum(log10((coalesce(n, 0) + 1) / (total + kinds + 1))) AS base_score
+  FROM t LEFT JOIN c USING (token), z GROUP BY k)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT total FROM z) AS train_tokens, base_score FROM d JOIN s USING (k) ORDER BY doc_id
+"""
+RULES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i : i + 4]) AS times FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM x WHERE times > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^ 	-
+]')) AS l FROM d)
+SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) ORDER BY doc_id
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_base_columns_of_the_language_model_are_those_of_sql(spark):
+    found = queries.QUERIES["op9_language_model"](spark, DIR).toPandas().sort_values("doc_id").reset_index(drop=True)
+    ids = duck("SELECT DISTINCT doc_id FROM documents")["doc_id"]
+    values = ", ".join(f"({i}, {zlib.crc32(str(i).encode())})" for i in ids)
+    expected = duck(LM_SQL.replace("WITH d AS", f"WITH crcs(doc_id, crc) AS (VALUES {values}), d AS", 1))
+    for c in expected.columns:
+        same = abs(found[c] - expected[c]) < 1e-6 * abs(expected[c]) if c == "base_score" else found[c].astype("int64") == expected[c].astype("int64")
+        assert len(found) == len(expected) and same.all(), c
+    # the model knows more than counts of single words do
+    held = found[found["held_out"] & (found["n_tokens"] > 50)]
+    assert (held["score"] > held["base_score"]).mean() > 0.7 and held["score"].sum() > held["base_score"].sum()
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_base_columns_of_the_quality_rules_are_those_of_sql(spark):
+    found = queries.QUERIES["op10_quality_rules"](spark, DIR).toPandas().sort_values("doc_id").reset_index(drop=True)
+    expected = duck(RULES_SQL)
+    for c in expected.columns:
+        assert len(found) == len(expected) and (found[c].astype("int64") == expected[c].astype("int64")).all(), c
+    assert not (found["kept"] & found["base_failed"]).any() and found["distance"].notna().all()
+    marked = duck("SELECT * FROM labels").merge(found, on="doc_id")
+    assert marked[marked["quality"] == 1]["kept"].mean() > 0.9 and marked[marked["quality"] == 0]["kept"].mean() < 0.2
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_classifier_and_languages_against_labels(spark):
+    judged = queries.QUERIES["op2_quality_classifier"](spark, DIR).toPandas().merge(duck("SELECT * FROM labels"), on="doc_id")
+    assert (judged["kept"] == (judged["quality"] == 1)).mean() > 0.95
+    told = queries.QUERIES["op5_langid"](spark, DIR).toPandas().merge(duck("SELECT doc_id, lang, text FROM documents WHERE length(text) > 40"), on="doc_id")
+    held = told[told["held_out"] & told["lang"].notna()]
+    assert len(held) > 20 and (held["lang"] == held["lang_pred"]).mean() > 0.95
+    assert set(told["held_out"] == (told["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 3) == 1)) == {True}
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_are_those_of_sql(spark, name):

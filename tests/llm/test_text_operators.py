@@ -124,6 +124,44 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+def test_languages_are_those_of_brute_force(spark):
+    """A vector for each n-gram, added up one at a time."""
+    profiles, rng = langid.Profiles(128), random.Random(2)
+    letters = [("abcdé", "l1"), ("defgü", "l2"), ("xyz日", "l3")]
+    docs = [(i, " ".join("".join(rng.choice(letters[i % 3][0]) for _ in range(4)) for _ in range(8)), letters[i % 3][1]) for i in range(30)]
+    docs += [(30, docs[0][1], "l1"), (31, None, "l1"), (None, "abc", "l1"), (33, "12", "l2"), (34, "zz", None)]
+
+    def bundle(text):
+        code = [int(langid._letter_codes()[ord(c)]) for c in " " + re.sub(r"[^\w]|\d|_", " ", text) + " "]
+        code = [c for c, before in zip(code, [1, *code], strict=False) if c or before]
+        out = np.zeros(128)
+        for a, b, c in zip(code, code[1:], code[2:], strict=False):
+            out += np.roll(profiles.letters[a], 2).astype(int) * np.roll(profiles.letters[b], 1) * profiles.letters[c]
+        return out
+
+    sums = collections.defaultdict(lambda: np.zeros(128))
+    for _, text, name in docs:
+        if text and name and re.search(r"[^\W\d_]", text):
+            sums[name] += bundle(text)
+    df = spark.createDataFrame([(*d, "mine") for d in docs], "doc_id bigint, text string, lang string, score string")
+    found = langid.identify(df.drop("lang"), *langid.prototypes(df, profiles), profiles)
+    assert found.columns == ["doc_id", "lang_pred", "score"]
+    by = {r["doc_id"]: r for r in found.collect()}
+    for i, text, _ in docs:
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert (by[i]["lang_pred"], by[i]["score"]) == ("und", 0.0)
+            continue
+        v = bundle(text)
+        cosine = {n: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for n, p in sums.items()}
+        assert by[i]["lang_pred"] == max(sorted(cosine), key=cosine.get) and by[i]["score"] == pytest.approx(max(0, max(cosine.values())), abs=1e-5)
+
+
+def test_too_many_languages_are_refused(spark):
+    df = spark.createDataFrame([(f"text {c}", c) for c in "abc"], "text string, lang string")
+    with pytest.raises(ValueError, match="3 languages"):
+        langid.prototypes(df, langid.Profiles(16), max_languages=2)
+
+
 def test_bound_ngrams_of_wide_alphabets_are_those_of_narrow_slices(monkeypatch):
     profiles = langid.Profiles(64)
     grams, owners = profiles.grams(pa.array(["hello world", "你好"]))
@@ -258,10 +296,12 @@ def test_classifier(spark):
     docs = spark.createDataFrame([(*d, 1) for d in [*good, *bad, (200, None), (201, "")]], "doc_id bigint, text string, quality_x int")
     out = {r["doc_id"]: r for r in quality_classifier.classify(docs).collect()}
     assert len(out) == 92 and all(out[i]["quality_score"] > 0.5 for i, _ in good) and all(out[i]["quality_score"] < 0.5 for i, _ in bad)
-    assert set(out[0].asDict()) == {"doc_id", "text", "quality_x", "quality_label", "quality_score"}
+    assert set(out[0].asDict()) == {"doc_id", "text", "quality_x", "quality_label", "quality_score", "quality_fitted"}
     assert quality_classifier.classify(docs.limit(0)).count() == 0
     few = quality_classifier.classify(docs.where("doc_id < 3"))
-    assert all(r["quality_score"] == r["quality_label"] for r in few.collect())
+    assert all(r["quality_score"] == r["quality_label"] and not r["quality_fitted"] for r in few.collect())
+    clash = quality_classifier.classify(docs.withColumnRenamed("quality_x", "quality_score"))
+    assert clash.columns.count("quality_score") == 1 and clash.where("quality_score > 1").count() == 0
 
 
 def brute_likelihood(model, classes):
