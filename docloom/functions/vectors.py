@@ -57,6 +57,8 @@ def hashed_parts(rows: DataFrame, keys: list[str], text: str, dimensions: int =
 def hashed_vectors(rows: DataFrame, keys: list[str], text: str, dimensions: int = 64) -> DataFrame:
     """(keys, embedding): unit vectors of token counts, each token in a dimension and with a sign by its hash. Texts without a
     token have no row."""
-    parts = hashed_parts(rows, keys, text, dimensions)
-    cells = [F.sum(F.when(F.col("dim") == i, F.col("x")).otherwise(0.0)) for i in range(dimensions)]
-    return parts.groupBy(*keys).agg(F.array(*cells).alias("embedding"))
+    term = rows.select(*keys, F.explode(tokens(F.col(text))).alias("t"))
+    parts = term.groupBy(*keys, bucket(F.col("t"), dimensions).alias("dim")).agg(F.sum(sign(F.col("t"))).alias("x")).where("x != 0")
+    listed = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
+    return listed.select(*keys, cells.alias("embedding"))

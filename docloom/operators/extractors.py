@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import FILLER_WORDS, first_sentences, sentences, tokens, words
+from docloom.functions.text import FILLER_WORDS, first_sentences, sentences, tokens
 
 
 def top_terms(rows: DataFrame, key: str, text: str, k: int = 10, min_chars: int = 3, tf_idf: bool = False) -> DataFrame:
@@ -62,10 +62,11 @@ LANGUAGE_WORDS = {
 
 def language(text: Column) -> Column:
     """(language, confidence) by the share of words that are a language's own; null and 0 without any."""
-    w = F.transform(words(F.lower(text)), lambda x: F.regexp_replace(x, "^\\P{L}+|\\P{L}+$", ""))
+    low = F.lower(text)
 
     def held(own: list[str]) -> Column:
-        return F.size(F.filter(w, lambda x: x.isin(own)))
+        # a word is what stands between white space, without what is no letter at its ends
+        return F.regexp_count(low, F.lit(rf"(?<!\S)[^\p{{L}}\s]*(?:{'|'.join(own)})[^\p{{L}}\s]*(?!\S)"))
 
     counts = F.array(*[F.struct(held(own).alias("n"), F.lit(lang).alias("lang")) for lang, own in LANGUAGE_WORDS.items()])
     # of equals, the first by name

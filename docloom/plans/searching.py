@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import words
 from docloom.operators import search
-from docloom.operators.chunkers import fixed_overlap
+from docloom.operators.chunkers import by_sentence, fixed_overlap
+from docloom.plans.chunking import _DOC_SENTENCES, _windows
 from docloom.plans.common import corpus, digest, table
+from docloom.shared import cut
 
 K = 10
 
@@ -63,12 +66,12 @@ def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.Postings(table(spark, sf_dir, "documents"), ["doc_id"], "text").tf.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
 
 
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.Postings(table(spark, sf_dir, "documents"), ["doc_id"], "text").search(table(spark, sf_dir, "benchmark"), "item_id", "text")
+def _keyword(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return search.Postings(table(spark, sf_dir, "documents"), ["doc_id"], "text").top(table(spark, sf_dir, "benchmark"), "item_id", "text", k)
 
 
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_k(_keyword(spark, sf_dir), ["item_id"], K, ["doc_id"])
+    return _keyword(spark, sf_dir, K)
 
 
 def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"keyword": search.top_k(_keyword(spark, sf_dir), ["item_id"], 3 * K, ["doc_id"]), "semantic": _semantic(spark, sf_dir, 3 * K)}
+    return {"keyword": _keyword(spark, sf_dir, 3 * K).drop("rank"), "semantic": _semantic(spark, sf_dir, 3 * K).drop("rank")}
 
 
 def fuse_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +101,21 @@ def fuse_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: chunks of all documents, both legs, fused, ten best for each benchmark passage."""
-    chunks = fixed_overlap(corpus(spark, sf_dir)).select("doc_id", "seq_num", "embedded_content")
+    chunks = cut(fixed_overlap(corpus(spark, sf_dir)).select("doc_id", "seq_num", "embedded_content"), "chunks")
     return search.hybrid_search(chunks, table(spark, sf_dir, "benchmark"), K, ["doc_id", "seq_num"], "item_id", "embedded_content", "text")
 
 
+def fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of documents, each with the chunk of sentences that it comes from; confidence by the fact's length."""
+    chunks = cut(by_sentence(corpus(spark, sf_dir)).select("doc_id", "seq_num", "original_content"), "chunks")
+    sure = F.round(F.least(F.length("original_content") / 100.0, F.lit(1.0)), 2)
+    confidence = F.when(F.col("seq_num") % 5 != 0, sure)
+    facts = chunks.where(F.size(words(F.col("original_content"))) >= 4)
+    facts = cut(facts.select("doc_id", F.col("seq_num").alias("fact_seq"), F.col("original_content").alias("fact"), F.when(F.col("seq_num") % 3 != 0, F.col("seq_num")).alias("source_chunk_seq"), confidence.alias("confidence")), "facts")
+    found = search.fact_search(facts, chunks, table(spark, sf_dir, "benchmark"), 5, ["doc_id", "fact_seq"], "item_id", "text", 0.5)
+    return found.select("item_id", "doc_id", "fact_seq", digest("fact").alias("fact_md5"), "confidence", F.coalesce("chunk_seq", F.lit(-1)).alias("chunk_seq"), digest("chunk_text").alias("chunk_md5"), "score", "rank")
+
+
 def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hits = fts_bm25_topk(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id")
@@ -119,16 +133,21 @@ def _knn_sql(score: str, condition: str = "true") -> str:
 
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)*')"
-_BM25 = f"""
-tok AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY ALL),
-q AS (SELECT item_id, unnest(list_distinct(list_filter({_TOKENS}, lambda t: length(t) >= 2))) AS term FROM benchmark),
+def _bm25_sql(key: str, source: str, text: str) -> str:
+    own, asked = _TOKENS.replace("text", text), _TOKENS
+    return f"""
+tok AS (SELECT {key}, {own} AS w FROM {source}),
+tf AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(w) AS term FROM tok) GROUP BY ALL),
+q AS (SELECT item_id, unnest(list_distinct(list_filter({asked}, lambda t: length(t) >= 2))) AS term FROM benchmark),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM tok),
 bm AS (
-  SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w) / avg_len))), 6) AS score
-  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN tok USING (doc_id), st GROUP BY item_id, doc_id),
-kw AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm)"""
+  SELECT item_id, {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w) / avg_len))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN tok USING ({key}), st GROUP BY item_id, {key}),
+kw AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {key}) AS rank FROM bm)"""
+
+
+_BM25 = _bm25_sql("doc_id", "documents", "text")
 
 
 def _hashed(name: str, key: str, source: str, text: str) -> str:
@@ -145,12 +164,21 @@ sem0 AS (SELECT item_id, {key}, round(sum(va.x * vq.x), 6) AS score FROM va JOIN
 sem AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {key}) AS rank FROM sem0)"""
 
 
+def _hybrid_sql(key: str, source: str, text: str, k: int) -> str:
+    """Up to `best` (item_id, key, score, legs, rank)."""
+    return f"""{_bm25_sql(key, source, text)},{_semantic_sql(key, source, text)},
+legs AS (SELECT item_id, {key}, score, 'keyword' AS leg FROM kw WHERE rank <= {3 * k} UNION ALL SELECT item_id, {key}, score, 'semantic' FROM sem WHERE rank <= {3 * k}),
+part AS (SELECT *, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY item_id, leg ORDER BY score DESC, {key})) AS part FROM legs),
+fused AS (SELECT item_id, {key}, round(sum(part), 9) AS score, string_agg(leg, ',' ORDER BY leg) AS legs FROM part GROUP BY item_id, {key}),
+best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {key}) AS INT) AS rank FROM fused) WHERE rank <= {k})"""
+
+
 _LEGS = f"{_BM25},{_semantic_sql('doc_id', 'documents', 'text')}, legs AS (SELECT item_id, doc_id, score, 'keyword' AS leg FROM kw WHERE rank <= {3 * K} UNION ALL SELECT item_id, doc_id, score, 'semantic' FROM sem WHERE rank <= {3 * K})"
 
 QUERIES = {"knn_cosine": _knn("cosine"), "knn_inner_product": _knn("inner_product"), "knn_l2": _knn("l2")}
 QUERIES |= {
     f.__name__: f
-    for f in (knn_where_label, ann_lsh, where_source, where_tags, where_metadata, where_metadata_not, where_column_in_like, fts_tokens, fts_bm25_topk, fts_match, semantic_topk, fuse_rrf, fuse_weighted, hybrid_search, search_summary)
+    for f in (knn_where_label, ann_lsh, where_source, where_tags, where_metadata, where_metadata_not, where_column_in_like, fts_tokens, fts_bm25_topk, fts_match, semantic_topk, fuse_rrf, fuse_weighted, hybrid_search, fact_search, search_summary)
 }
 SQL = {
     "knn_cosine": _knn_sql(_COSINE),
@@ -170,4 +198,15 @@ SQL = {
     "fuse_weighted": f"""WITH {_LEGS}, r AS (SELECT *, min(score) OVER w AS low, max(score) OVER w AS high FROM legs WINDOW w AS (PARTITION BY item_id, leg)),
 s AS (SELECT *, CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1.0::DOUBLE END * CASE WHEN leg = 'semantic' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS part FROM r)
 SELECT item_id, doc_id, round(sum(part), 6) AS score, string_agg(leg, ',' ORDER BY leg) AS legs FROM s GROUP BY item_id, doc_id""",
+    "ann_lsh": f"""WITH s AS (SELECT q.vec_id AS query, e.vec_id, round({_COSINE}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= {K}""",
+    "hybrid_search": f"WITH {_windows(300, 150)}, {_hybrid_sql('doc_id, seq_num', 'texts', 't', K)} SELECT item_id, doc_id, seq_num, score, legs, rank FROM best",
+    "fact_search": f"""WITH s AS (SELECT doc_id, {_DOC_SENTENCES} AS s FROM documents),
+c AS (SELECT doc_id, CAST(unnest(range(0, len(s))) AS INT) AS seq_num, unnest(s) AS t FROM s),
+f AS (SELECT doc_id, seq_num AS fact_seq, t, CASE WHEN seq_num % 3 <> 0 THEN seq_num END AS chunk_seq,
+      CASE WHEN seq_num % 5 <> 0 THEN round(least(length(t) / 100.0::DOUBLE, 1.0::DOUBLE), 2) END AS confidence
+      FROM c WHERE len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) >= 4),
+{_hybrid_sql('doc_id, fact_seq', 'f', 't', 5)}
+SELECT item_id, b.doc_id, b.fact_seq, md5(f.t) AS fact_md5, f.confidence, coalesce(f.chunk_seq, -1) AS chunk_seq, CASE WHEN f.chunk_seq IS NOT NULL THEN md5(f.t) END AS chunk_md5, score, rank
+FROM best b JOIN f ON b.doc_id = f.doc_id AND b.fact_seq = f.fact_seq WHERE f.confidence IS NULL OR f.confidence >= 0.5""",
 }

@@ -227,3 +227,15 @@ def test_ann_is_exact_over_blocks_and_ties(spark):
     odd = spark.createDataFrame([(100, None), (101, [1.0, None])], rows.schema)
     assert {r["score"] for r in search.ann_join(odd, rows.limit(2), "id", "v", 2).collect()} == {0.0}
     assert search.ann_join(rows.limit(0), rows, "id", "v", 2).count() == 0
+
+
+def test_a_kept_index_finds_what_texts_do(spark, tmp_path):
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(1, i % 5 + 2)) + " the" * (i % 3)) for i in range(30)] + [(99, ""), (98, None)], "d int, text string")
+    asked = spark.createDataFrame([("a", "the w1"), ("b", "w3 w5 nothing"), ("c", "zz")], "q string, text string")
+    fresh = search.Postings(rows, ["d"], "text")
+    fresh.write(f"{tmp_path}/index")
+    kept = search.Postings.read(spark, f"{tmp_path}/index", ["d"])
+    top = lambda x: x.top(asked, "q", "text", 5).orderBy("q", "rank").collect()
+    plain = search.top_k(fresh.search(asked, "q", "text"), ["q"], 5, ["d"]).select("q", "d", "score", "rank").orderBy("q", "rank").collect()
+    assert top(fresh) == top(kept) == plain and {r["q"] for r in plain} == {"a", "b"}
+    assert search.Postings(rows.limit(0), ["d"], "text").top(asked, "q", "text", 5).count() == 0
