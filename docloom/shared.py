@@ -33,6 +33,12 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read in fewer partitions than there are, as a small table of one row group is; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cuts(spark: SparkSession) -> list[str]:
     """Paths of the tables that cut() wrote and that were not dropped."""
     return list(_CUT.get(shared_dir(spark), ()))
