@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.shared import cut, fresh_path, shared_dir  # noqa: F401
+from docloom.shared import cut, fresh_path, shared_dir, spread  # noqa: F401
 
 #: Separators of the two kinds of words. FOLDED words: ASCII letters and digits and all that is not ASCII.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -19,7 +19,7 @@ _TILE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def join_small(
