@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Words that the reducer drops (fixed values).
 FILLER_WORDS = (
-    "a an the is are was were be been being am do does did have has had will would shall should can could may might must "
-    "of to in on at by for with and or but that this it as"
+    "a an and are as at be been being but by for from had has have he her him his i in into is it its of on or our she that the their "
+    "them they this to was we were will with you your over it's"
 ).split()
 
 

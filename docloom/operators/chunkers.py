@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import first_sentences, sentences, slices, words
 from docloom.functions.vectors import hashed_parts
+from docloom.operators.fold import fold
 
 
 def _explode(docs: DataFrame, id: str, chunks: Column) -> DataFrame:
@@ -86,14 +87,46 @@ def summary_embed(chunks: DataFrame, max_length: int = 300) -> DataFrame:
     return chunks.withColumn("embedded_content", first_sentences(F.col("original_content"), max_length)).withColumn("summarizer", F.lit("first_sentences"))
 
 
-def hierarchical_summary(chunks: DataFrame, id: str = "doc_id", n: int = 5, max_length: int = 300) -> DataFrame:
-    """Each n chunks in a row are a group; a coarse row with the group's summary goes before its fine rows, and all are numbered anew."""
-    fine = chunks.select(F.col(id), F.floor(F.col("seq_num") / n).cast("int").alias("g"), F.col("seq_num").alias("at"), "original_content", "embedded_content", F.lit("fine").alias("granularity"))
+def hierarchical_summary(
+    chunks: DataFrame,
+    id: str = "doc_id",
+    n: int = 5,
+    max_length: int = 300,
+    max_words: int | None = None,
+    heading: str | None = None,
+) -> DataFrame:
+    """Each n chunks in a row are a group; or as many as have max_words words together (one at least); or those in a row of the same heading
+    (a column). A coarse row with the group's summary follows its fine rows, and all are numbered anew."""
+    if max_words is not None:
+        size = F.size(words(F.col("original_content")))
+
+        def start():
+            state = {"group": 0, "words": 0, "some": False}
+
+            def step(row) -> int:
+                if state["some"] and state["words"] + row.size > max_words:
+                    state.update(group=state["group"] + 1, words=0)
+                state.update(words=state["words"] + row.size, some=True)
+                return state["group"]
+
+            return step
+
+        rows = fold(chunks.select(F.col(id), "seq_num", "original_content", "embedded_content", size.alias("size")), [id], ["seq_num"], start, "g")
+    elif heading:
+        w = W.partitionBy(id).orderBy("seq_num")
+        new = (F.row_number().over(w) > 1) & ~F.col(heading).eqNullSafe(F.lag(heading).over(w))
+        rows = chunks.withColumn("_new", new.cast("int")).withColumn("g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    else:
+        rows = chunks.withColumn("g", F.floor(F.col("seq_num") / n).cast("int"))
+    fine = rows.select(F.col(id), "g", F.col("seq_num").alias("at"), "original_content", "embedded_content", F.lit("fine").alias("granularity"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "original_content"))), lambda x: x["original_content"]), "\n\n")
-    coarse = fine.groupBy(id, "g").agg(joined.alias("original_content")).select(id, "g", F.lit(-1).alias("at"), "original_content", first_sentences(F.col("original_content"), max_length).alias("embedded_content"), F.lit("coarse").alias("granularity"))
+    coarse = fine.groupBy(id, "g").agg(joined.alias("original_content"))
+    summary = first_sentences(F.col("original_content"), max_length).alias("embedded_content")
+    coarse = coarse.select(id, "g", F.lit(2**31 - 1).alias("at"), "original_content", summary, F.lit("coarse").alias("granularity"))
     rows = fine.unionByName(coarse)
     seq = F.row_number().over(W.partitionBy(id).orderBy("g", "at")) - 1
-    return rows.select(F.col(id), seq.alias("seq_num"), F.concat(F.col(id).cast("string"), F.lit("::g"), F.col("g").cast("string")).alias("group_id"), "granularity", "original_content", "embedded_content")
+    group = F.concat(F.col(id).cast("string"), F.lit("::g"), F.col("g").cast("string")).alias("group_id")
+    return rows.select(F.col(id), seq.alias("seq_num"), group, "granularity", "original_content", "embedded_content")
 
 
 def if_oversize(chunks: DataFrame, id: str = "doc_id", ceiling: int = 2000) -> DataFrame:

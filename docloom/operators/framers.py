@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators.fold import fold
+
+FRAMERS = ("identity", "heading_boundary", "regex_boundary", "json_path", "session_episodes")
+
 #: A character that texts don't hold marks where a frame begins.
 _MARK = "\u001f"
 
@@ -33,11 +37,24 @@ def heading_boundary(docs: DataFrame, id: str = "doc_id", content: str = "conten
     return rows.select(F.when(F.col("split"), F.concat_ws("#", F.col(id).cast("string"), F.col("frame_seq").cast("string"))).otherwise(F.col(id).cast("string")).alias("frame_id"), F.lit("heading_boundary").alias("framer"), "frame_seq", "title", "text")
 
 
-def regex_boundary(docs: DataFrame, split_pattern: str, id: str = "doc_id", content: str = "content") -> DataFrame:
-    """A frame from each match to the next; what is before the first is dropped, blank slices too."""
-    rows = _pieces(docs, content, split_pattern).where("piece > 0").withColumn("text", F.regexp_replace("part", "^\\s+|\\s+$", "")).where("text != ''")
+def regex_boundary(
+    docs: DataFrame,
+    split_pattern: str,
+    id: str = "doc_id",
+    content: str = "content",
+    title_pattern: str | None = None,
+    body_starts_with_match: bool = True,
+) -> DataFrame:
+    """A frame from each match to the next, with the match or without; what is before the first is dropped, blank slices too. With a
+    title_pattern, its first group in the frame is the title (null where it does not match)."""
+    part = F.col("part") if body_starts_with_match else F.regexp_replace("part", f"\\A(?m:{split_pattern})", "")
+    rows = _pieces(docs, content, split_pattern).where("piece > 0").withColumn("text", F.regexp_replace(part, "^\\s+|\\s+$", "")).where("text != ''")
     seq = F.row_number().over(W.partitionBy(id).orderBy("piece")) - 1
-    return rows.select(F.col(id), seq.alias("frame_seq"), "text").select(F.concat_ws("#", F.col(id).cast("string"), F.col("frame_seq").cast("string")).alias("frame_id"), F.lit("regex_boundary").alias("framer"), "frame_seq", "text")
+    rows = rows.select(F.col(id), seq.alias("frame_seq"), "text")
+    found = F.trim(F.regexp_extract("text", title_pattern, 1)) if title_pattern else None
+    title = [F.when(F.col("text").rlike(title_pattern), found).alias("title")] if title_pattern else []
+    frame_id = F.concat_ws("#", F.col(id).cast("string"), F.col("frame_seq").cast("string")).alias("frame_id")
+    return rows.select(frame_id, F.lit("regex_boundary").alias("framer"), "frame_seq", *title, "text")
 
 
 def json_path(rows: DataFrame, id: str, json: str, path: str, body: str = "$") -> DataFrame:
@@ -57,19 +74,49 @@ def session_gap(events: DataFrame, session: str, ts: str, tie: str, max_gap: str
     return events.withColumn("_opens", opens).withColumn("episode", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_opens")
 
 
-def session_episodes(events: DataFrame, session: str, order: str, content: str, role: str, max_turns: int = 40, max_words: int = 1200) -> DataFrame:
-    """Episodes of a session: an event opens a new one when the turns so far are max_turns or the words so far are max_words. A session is one
-    conversation; its events are folded in order within a row. (session, episode, first_turn, last_turn, text of "[role] content" lines)"""
-    count = F.size(F.filter(F.split(F.col(content), "\\s+"), lambda w: w != ""))
-    turn = F.struct(F.col(order).alias("o"), F.concat(F.lit("["), F.col(role), F.lit("] "), F.col(content)).alias("line"), count.alias("n"))
-    rows = events.groupBy(session).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    zero = F.struct(F.lit(0).alias("turns"), F.lit(0).alias("words"), F.lit(-1).alias("episode"), F.array().cast("array<struct<episode:int,o:bigint,line:string>>").alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        new = (s["episode"] < 0) | (s["turns"] >= max_turns) | (s["words"] >= max_words)
-        episode = s["episode"] + new.cast("int")
-        row = F.struct(episode.alias("episode"), t["o"].cast("bigint").alias("o"), t["line"].alias("line"))
-        return F.struct((F.when(new, 0).otherwise(s["turns"]) + 1).alias("turns"), (F.when(new, 0).otherwise(s["words"]) + t["n"]).alias("words"), episode.alias("episode"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    lines = rows.select(session, F.explode(F.aggregate("turns", zero, step, lambda s: s["out"])).alias("x"))
-    return lines.groupBy(session, F.col("x.episode").alias("episode")).agg(F.min("x.o").alias("first_turn"), F.max("x.o").alias("last_turn"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x.o", "x.line"))), lambda y: y["line"]), "\n").alias("text"))
+def session_episodes(
+    events: DataFrame,
+    session: str,
+    order: str,
+    content: str,
+    role: str,
+    max_turns: int = 40,
+    max_words: int = 1200,
+    ts: str | None = None,
+    max_gap_seconds: float | None = None,
+    tool: str | None = None,
+) -> DataFrame:
+    """Episodes of a session (session, episode, first_turn, last_turn, text of "[role] content" lines). An event opens a new one when the
+    turns so far are max_turns or the words so far are max_words; when it comes more than max_gap_seconds after the one before (ts: a
+    number of seconds, or a timestamp); or when it is of a tool and the one before is not. Events stream by in order."""
+    count = F.size(F.filter(F.split(F.coalesce(content, F.lit("")), "\\s+"), lambda w: w != ""))
+    at = F.col(ts).cast("double") if ts and max_gap_seconds is not None else F.lit(0.0)
+    used = F.coalesce(F.col(tool), F.lit("")) if tool else F.lit("")
+    tag = F.coalesce(F.col(role), F.lit("event"))
+    tag = F.when(used == "", tag).otherwise(F.concat(tag, F.lit("/"), used))
+    line = F.concat(F.lit("["), tag, F.lit("] "), F.coalesce(F.col(content), F.lit("")))
+    rows = events.select(F.col(session), F.col(order).cast("bigint").alias("o"), line.alias("line"), count.alias("n"), F.coalesce(at, F.lit(0.0)).alias("at"), (used != "").alias("tool"))
+    gap = float("inf") if max_gap_seconds is None else max_gap_seconds
+
+    def start():
+        state = {"episode": -1, "turns": 0, "words": 0, "at": 0.0, "tool": True}
+
+        def step(row) -> int:
+            new = state["episode"] < 0 or state["turns"] >= max_turns or state["words"] >= max_words
+            if new or row.at - state["at"] > gap or row.tool and not state["tool"]:
+                state.update(episode=state["episode"] + 1, turns=0, words=0)
+            state.update(turns=state["turns"] + 1, words=state["words"] + row.n, at=row.at, tool=row.tool)
+            return state["episode"]
+
+        return step
+
+    lines = fold(rows, [session], ["o", "line"], start, "episode")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda y: y["line"]), "\n")
+    return lines.groupBy(session, "episode").agg(F.min("o").alias("first_turn"), F.max("o").alias("last_turn"), text.alias("text"))
+
+
+def frame(kind: str, docs: DataFrame, *args, **how) -> DataFrame:
+    """The framer of that name."""
+    if kind not in FRAMERS:
+        raise ValueError(f"no such framer: {kind}")
+    return globals()[kind](docs, *args, **how)

@@ -59,3 +59,10 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 2)
         front = step.join(found, "url", "left_anti").withColumn("depth", F.lit(d))
         found = found.unionByName(front)
     return found
+
+
+def upsert_edges(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("project_id", "edge_type", "src_node_id", "dst_node_id")) -> DataFrame:
+    """The edges after an upsert: of the same key, the incoming one, and of several of those the one of the largest confidence."""
+    best = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("confidence"), F.col("evidence")))
+    fresh = incoming.withColumn("_r", best).where("_r = 1").drop("_r")
+    return existing.join(fresh.select(*key), list(key), "left_anti").select(*existing.columns).unionByName(fresh, allowMissingColumns=True)

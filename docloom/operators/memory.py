@@ -49,3 +49,15 @@ def read_consolidated(rows: DataFrame, session: str) -> DataFrame:
     live = rows.where(~F.coalesce(F.col("retracted"), F.lit(False)))
     some = F.max((F.col("tier") == "consolidated").cast("int")).over(W.partitionBy(session))
     return live.withColumn("_some", some).where((F.col("_some") == 0) | (F.col("tier") == "consolidated")).drop("_some")
+
+
+def pruned_staging(events: DataFrame, session: str, ts: str, consumed: DataFrame, before: str) -> DataFrame:
+    """What stays of staged events: all but those before a time whose session was consumed since (session, consumed_at)."""
+    rows = events.join(consumed, session, "left")
+    gone = (F.col(ts) < F.lit(before).cast("timestamp")) & (F.col(ts) <= F.col("consumed_at"))
+    return rows.where(~F.coalesce(gone, F.lit(False))).select(*events.columns)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with seq_num, on from frame to frame: the numbers of a document's frames follow each other."""
+    return rows.withColumn("seq_num", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)

@@ -76,6 +76,10 @@ def chunk_hierarchical_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(chunkers.hierarchical_summary(chunkers.fixed_overlap(corpus(spark, sf_dir), window=100, step=100), max_length=10_000), "group_id", "granularity")
 
 
+def chunk_hierarchical_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(chunkers.hierarchical_summary(chunkers.by_sentence(corpus(spark, sf_dir)), max_length=10**9, max_words=60), "group_id", "granularity")
+
+
 def chunk_if_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(chunkers.if_oversize(chunkers.fixed_overlap(corpus(spark, sf_dir)), ceiling=500), "parent_seq")
 
@@ -106,7 +110,7 @@ _TRIM = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 
 QUERIES = {
     f.__name__: f
-    for f in (frame_identity, frame_heading, frame_regex, frame_json_path, frame_session_gap, frame_session_episodes, sentence_counts, chunk_sentences, chunk_fixed_overlap, chunk_neighbor_expand, chunk_sentence_aware, chunk_hierarchy, chunk_semantic, chunk_summary_embed, chunk_hierarchical_summary, chunk_if_oversize, chunk_consolidation)
+    for f in (frame_identity, frame_heading, frame_regex, frame_json_path, frame_session_gap, frame_session_episodes, sentence_counts, chunk_sentences, chunk_fixed_overlap, chunk_neighbor_expand, chunk_sentence_aware, chunk_hierarchy, chunk_semantic, chunk_summary_embed, chunk_hierarchical_summary, chunk_hierarchical_words, chunk_if_oversize, chunk_consolidation)
 }
 SQL = {
     "frame_identity": "SELECT doc_id, 'identity' AS framer, CAST(0 AS INT) AS frame_seq, md5(text) AS content_md5 FROM documents",
@@ -150,9 +154,22 @@ SELECT doc_id, CAST(unnest(range(0, len(s))) AS INT) AS seq_num, md5(unnest(s))
 SELECT doc_id, seq_num, md5(t) AS original_md5, md5(string_agg(t, chr(10) || chr(10)) OVER (PARTITION BY doc_id ORDER BY seq_num ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS embedded_md5 FROM texts""",
     "chunk_hierarchical_summary": f"""WITH {_windows(100, 100)},
 fine AS (SELECT doc_id, CAST(floor(seq_num / 5) AS INT) AS g, seq_num AS pos, t, t AS e, 'fine' AS granularity FROM texts),
-joined AS (SELECT doc_id, g, -1 AS pos, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS t, 'coarse' AS granularity FROM fine GROUP BY doc_id, g),
+joined AS (SELECT doc_id, g, 2147483647 AS pos, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS t, 'coarse' AS granularity FROM fine GROUP BY doc_id, g),
 coarse AS (SELECT doc_id, g, pos, t, array_to_string({_SENTENCES.format(t="t")}, ' ') AS e, granularity FROM joined),
 u AS (SELECT * FROM fine UNION ALL SELECT doc_id, g, pos, t, e, granularity FROM coarse)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, pos) - 1 AS INT) AS seq_num, md5(t) AS original_md5, md5(e) AS embedded_md5, doc_id || '::g' || g AS group_id, granularity FROM u""",
+    "chunk_hierarchical_words": f"""
+WITH RECURSIVE s AS (SELECT doc_id, {_DOC_SENTENCES} AS s FROM documents),
+c AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS t FROM s),
+n AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS n FROM c),
+f AS (
+  SELECT doc_id, pos, t, n AS words, 0 AS g FROM n WHERE pos = 0
+  UNION ALL
+  SELECT n.doc_id, n.pos, n.t, CASE WHEN f.words + n.n > 60 THEN n.n ELSE f.words + n.n END, CASE WHEN f.words + n.n > 60 THEN f.g + 1 ELSE f.g END
+  FROM f JOIN n ON n.doc_id = f.doc_id AND n.pos = f.pos + 1),
+joined AS (SELECT doc_id, g, 2147483647 AS pos, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS t FROM f GROUP BY doc_id, g),
+u AS (SELECT doc_id, g, pos, t, t AS e, 'fine' AS granularity FROM f
+  UNION ALL SELECT doc_id, g, pos, t, array_to_string({_SENTENCES.format(t="t")}, ' '), 'coarse' FROM joined)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, pos) - 1 AS INT) AS seq_num, md5(t) AS original_md5, md5(e) AS embedded_md5, doc_id || '::g' || g AS group_id, granularity FROM u""",
     "chunk_if_oversize": f"""WITH {_windows(300, 150)},
 parts AS (SELECT doc_id, seq_num AS parent_seq, unnest(range(0, CAST(ceil(length(t) / 500.0) AS BIGINT))) AS part, t FROM texts)

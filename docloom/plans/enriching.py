@@ -71,7 +71,7 @@ def normal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", normal_url(F.col("url")).alias("url"))
 
 
-_FILLERS = ", ".join(f"'{w}'" for w in FILLER_WORDS)
+_FILLERS = ", ".join("'" + w.replace("'", "''") + "'" for w in FILLER_WORDS)
 _TF = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) WHERE length(term) >= 3 AND term NOT IN ({_FILLERS}) GROUP BY ALL)"
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluation, graph, html, incremental, memory, search, tables
+from docloom.operators import chunkers, evaluation, graph, html, incremental, ingest, memory, search, tables
 from docloom.operators.chunkers import fixed_overlap
 from docloom.plans.common import corpus, digest, table
-from docloom.plans.chunking import _windows
+from docloom.plans.chunking import _DOC_SENTENCES, _SENTENCES, _windows
 from docloom.plans.searching import _BM25, K, fts_bm25_topk
+from docloom.shared import fresh_path
 from docloom.sources.tables import table_source
 from docloom.streaming import events as streams
 
@@ -185,8 +183,7 @@ def watermark_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     stream = make(streams.read_events(spark, f"{sf_dir}/events*.parquet", schema))
     streams.run_available(stream, f"{base}/out", f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -204,6 +201,16 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: streams.sessions(s, "ts", "user_id", "2 hours"))
 
 
+def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of sentences brought up to two states of the corpus: in the second, documents are gone, new, changed and the same."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    path = fresh_path(spark, "table")
+    ingest.ingest(docs.where("doc_id % 3 != 0"), path, chunkers.by_sentence, "a", "2024-01-01")
+    longer = F.when(F.col("doc_id") % 2 == 0, F.concat("content", F.lit(" More is said."))).otherwise(F.col("content"))
+    rows = ingest.ingest(docs.where("doc_id % 3 != 1").withColumn("content", longer), path, chunkers.by_sentence, "b", "2024-02-02")
+    return rows.select("id", "doc_id", "seq_num", digest("original_content").alias("original_md5"), "source", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
 def bakeoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold: the documents whose text holds the passage."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -248,7 +255,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         src_table_where, src_json_corpus, src_html_text, src_html_title_links, crawl, impact_of_kind, resolve_names, upsert_write_once, delete_orphans, compact_latest, delete_documents, foreign_sources, promote_metadata, documents_rollup, stage_dedup,
-        session_docs, due_sessions, extracted_facts, superseded_facts, rebuilt_sessions, read_consolidated, confidence_floor, cursor_changes, prune_deleted, keyset_after, high_water, watermark_window, stream_dedup, stream_windows, stream_sessions, bakeoff_scores, leaderboard, eval_plan,
+        session_docs, due_sessions, extracted_facts, superseded_facts, rebuilt_sessions, read_consolidated, confidence_floor, cursor_changes, prune_deleted, keyset_after, high_water, watermark_window, stream_dedup, stream_windows, stream_sessions, ingest_twice, bakeoff_scores, leaderboard, eval_plan,
     )
 }
 _FACT_SENTENCES = r"list_filter(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(^|\n)\[[^\]\n]*\][ ]*', '\1', 'g'), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 4)"
@@ -310,4 +317,11 @@ h AS (SELECT g.item_id, min(rank) AS r FROM g LEFT JOIN (SELECT * FROM kw WHERE
 SELECT count(*) AS n_queries, {', '.join(f"round(avg(coalesce(r <= {k}, false)::INT::DOUBLE), 6) AS recall_{k}" for k in (1, 3, 5))}, {', '.join(f"round(avg(CASE WHEN r <= {k} THEN 1 / log2(r + 1) ELSE 0.0::DOUBLE END), 6) AS ndcg_{k}" for k in (1, 3, 5))}, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM h""",
     "leaderboard": "WITH r AS (SELECT n_name AS combo, round((n_nationkey * 7 % 5) / 5.0::DOUBLE, 6) AS mrr FROM nation) SELECT *, CAST(row_number() OVER (ORDER BY mrr DESC, combo) AS INT) AS place FROM r",
     "eval_plan": "WITH x AS (SELECT n_name AS workload, r_name AS policy, lower(regexp_replace(n_name, '[^A-Za-z0-9]+', '-', 'g')) || '__' || lower(regexp_replace(r_name, '[^A-Za-z0-9]+', '-', 'g')) AS slug FROM nation, region) SELECT *, substr(sha256(slug), 1, 16) AS config_hash FROM x",
+    "ingest_twice": f"""
+WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN text || ' More is said.' ELSE text END AS longer FROM documents),
+a AS (SELECT doc_id, CAST(unnest(range(0, len(s))) AS INT) AS seq_num FROM (SELECT doc_id, {_DOC_SENTENCES} AS s FROM s WHERE doc_id % 3 <> 0)),
+b AS (SELECT doc_id, CAST(unnest(range(0, len(s))) AS INT) AS seq_num, unnest(s) AS t FROM (SELECT doc_id, {_SENTENCES.format(t='longer')} AS s FROM s WHERE doc_id % 3 <> 1))
+SELECT doc_id || ':' || seq_num AS id, b.doc_id, b.seq_num, md5(t) AS original_md5, CASE WHEN a.doc_id IS NULL THEN 'b' ELSE 'a' END AS source,
+       CASE WHEN a.doc_id IS NULL THEN '2024-02-02' ELSE '2024-01-01' END AS created
+FROM b LEFT JOIN a USING (doc_id, seq_num)""",
 }

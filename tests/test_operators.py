@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from docloom.functions import text as t
-from docloom.operators import chunkers, evaluation, framers, graph, html, incremental, search, tables
+from docloom.operators import chunkers, evaluation, framers, graph, html, incremental, ingest, memory, search, tables
 from docloom.plans import searching
 from docloom.sources import comments, files
 from docloom.sources.tables import together
@@ -239,3 +239,48 @@ def test_a_kept_index_finds_what_texts_do(spark, tmp_path):
     plain = search.top_k(fresh.search(asked, "q", "text"), ["q"], 5, ["d"]).select("q", "d", "score", "rank").orderBy("q", "rank").collect()
     assert top(fresh) == top(kept) == plain and {r["q"] for r in plain} == {"a", "b"}
     assert search.Postings(rows.limit(0), ["d"], "text").top(asked, "q", "text", 5).count() == 0
+
+
+def test_the_job_publishes_versions_and_its_state_with_them(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id int, content string")
+    run = lambda docs, day, **how: sorted((r["id"], r["original_content"], str(r["created_at"])[:10]) for r in ingest.ingest(docs, path, how.get("chunk", chunkers.by_sentence), "s", day).collect())
+    with pytest.raises(ValueError, match="no version"):
+        ingest.read(spark, path)
+    first = run(rows((1, "A b. C d."), (2, "E."), (3, "F. G."), (4, None)), "2024-01-01")
+    assert [x[0] for x in first] == ["1:0", "1:1", "2:0", "3:0", "3:1"]
+    asked = []
+    assert run(rows((1, "A b. C d."), (2, "E."), (3, "F. G."), (4, None)), "2024-01-02", chunk=lambda df: asked.append(df.count()) or chunkers.by_sentence(df)) == first and asked == [0]
+    with pytest.raises(Exception, match="no such"):
+        run(rows((1, "Z.")), "2024-01-03", chunk=lambda df: framers.frame("no such", df))
+    assert ingest.read(spark, path).count() == 5 and ingest.current(spark, path)[0] == 2
+    last = run(rows((1, "A b."), (2, "E."), (3, ""), (5, "N.")), "2024-01-04")
+    assert last == [("1:0", "A b.", "2024-01-01"), ("2:0", "E.", "2024-01-01"), ("5:0", "N.", "2024-01-04")]
+    assert run(rows(), "2024-01-05") == [] and ingest.versions(spark, path).count() == 4
+
+
+def test_episodes_open_at_gaps_turns_words_and_tools(spark):
+    rows = [("s", 1, "user", "a b", 0.0, None), ("s", 2, "assistant", "c", 10.0, None), ("s", 3, "assistant", "run", 20.0, "grep"), ("s", 4, "assistant", "run", 30.0, "grep"), ("s", 5, "user", "d", 1e5, None), ("s", 6, "user", "e f g", 1e5 + 1, None), ("s", 7, "user", "h", 1e5 + 2, None), ("t", 1, None, None, None, None)]
+    events = spark.createDataFrame(rows, "s string, n int, role string, content string, ts double, tool string")
+    found = framers.session_episodes(events, "s", "n", "content", "role", max_turns=9, max_words=4, ts="ts", max_gap_seconds=60, tool="tool")
+    out = {(r["s"], r["episode"]): (r["first_turn"], r["last_turn"], r["text"]) for r in found.collect()}
+    assert out == {("s", 0): (1, 2, "[user] a b\n[assistant] c"), ("s", 1): (3, 4, "[assistant/grep] run\n[assistant/grep] run"), ("s", 2): (5, 6, "[user] d\n[user] e f g"), ("s", 3): (7, 7, "[user] h"), ("t", 0): (1, 1, "[event] ")}
+
+
+def test_groups_of_summaries_and_titles_of_frames(spark):
+    chunks = spark.createDataFrame([(1, i, w, w, h) for i, (w, h) in enumerate([("a b", "x"), ("c d", "x"), ("e", "y"), ("f g h i j", None), ("k", None)])], "doc_id int, seq_num int, original_content string, embedded_content string, heading string")
+    group = lambda **how: [r["group_id"] + r["granularity"][0] for r in chunkers.hierarchical_summary(chunks, **how).orderBy("seq_num").collect()]
+    assert group(max_words=4) == ["1::g0f", "1::g0f", "1::g0c", "1::g1f", "1::g1c", "1::g2f", "1::g2c", "1::g3f", "1::g3c"]
+    assert group(heading="heading") == ["1::g0f", "1::g0f", "1::g0c", "1::g1f", "1::g1c", "1::g2f", "1::g2f", "1::g2c"]
+    frames = framers.regex_boundary(docs(spark, "x\n-- One: a\n-- b"), "^-- ", title_pattern="^(\\w+):", body_starts_with_match=False)
+    assert [(r["title"], r["text"]) for r in frames.orderBy("frame_seq").collect()] == [("One", "One: a"), (None, "b")]
+
+
+def test_staging_is_pruned_and_edges_are_upserted(spark):
+    events = spark.createDataFrame([("a", 1, "2024-01-01"), ("a", 2, "2024-03-01"), ("b", 1, "2024-01-01")], "s string, n int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    consumed = spark.createDataFrame([("a", "2024-01-02")], "s string, consumed_at string").withColumn("consumed_at", F.col("consumed_at").cast("timestamp"))
+    assert sorted((r["s"], r["n"]) for r in memory.pruned_staging(events, "s", "ts", consumed, "2024-02-01").collect()) == [("a", 2), ("b", 1)]
+    edge = "project_id string, edge_type string, src_node_id string, dst_node_id string, confidence double, evidence string"
+    before = spark.createDataFrame([("p", "calls", "a", "b", 0.5, "old"), ("p", "calls", "a", "c", 0.9, "old")], edge)
+    fresh = spark.createDataFrame([("p", "calls", "a", "b", 0.7, "x"), ("p", "calls", "a", "b", 0.9, "y")], edge)
+    assert sorted((r["dst_node_id"], r["evidence"]) for r in graph.upsert_edges(before, fresh).collect()) == [("b", "y"), ("c", "old")]
