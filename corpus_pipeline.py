@@ -11,6 +11,7 @@ from docloom.llm.mixing import mixed
 from docloom.llm.near_duplicates import near_duplicates
 from docloom.llm.quality_classifier import classify
 from docloom.llm.secrets import redact
+from docloom.shared import cuts, drop_cuts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,8 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), cuts(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = cut(docs, f"stage{i}") if i + 1 < len(STAGES) else docs
+        if i + 1 < len(STAGES):
+            docs = cut(docs, f"stage{i}")
+            # what the stage wrote on its way is not read again
+            drop_cuts(spark, [path for path in cuts(spark) if path not in before][:-1])
     return docs
