@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions.text import FILLER_WORDS, first_sentences, sentences, tokens
+from docloom.functions.vectors import bucket, hashed_vectors, sign
 
 
 def top_terms(rows: DataFrame, key: str, text: str, k: int = 10, min_chars: int = 3, tf_idf: bool = False) -> DataFrame:
@@ -39,6 +40,27 @@ def rake(rows: DataFrame, key: str, text: str, k: int = 10, min_chars: int = 3)
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def embedded_phrases(rows: DataFrame, key: str, text: str, k: int = 10, longest: int = 2, dimensions: int = 64) -> DataFrame:
+    """(key, phrase, score, rank): the runs of up to `longest` tokens, none of them a filler word, whose hashed vectors are nearest to that of
+    their whole text by cosine; of equals, the first by name. Each phrase's vector has as many parts as tokens, so its product with the text's
+    is made of those alone. key is unique."""
+    held = rows.select(key, tokens(F.col(text)).alias("t")).join(hashed_vectors(rows, [key], text, dimensions), key)
+
+    def runs(n: int) -> Column:
+        return F.transform("t", lambda _, i: F.when(i + n <= F.size("t"), F.slice("t", i + 1, n)))
+
+    plain = F.filter(F.concat(*[runs(n) for n in range(1, longest + 1)]), lambda r: r.isNotNull() & ~F.exists(r, lambda w: w.isin(FILLER_WORDS)))
+    phrase = held.select(key, "embedding", F.explode(F.array_distinct(plain)).alias("run"))
+    at = phrase.select(key, "run", F.transform("run", lambda w: F.struct(bucket(w, dimensions).alias("dim"), sign(w).alias("x"))).alias("parts"), "embedding")
+    along = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["x"] * F.get("embedding", p["dim"]))
+    # parts of the same dimension add up
+    square = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["x"] * F.aggregate("parts", F.lit(0.0), lambda z, q: z + F.when(q["dim"] == p["dim"], q["x"]).otherwise(0.0)))
+    scored = at.select(key, F.array_join("run", " ").alias("phrase"), along.alias("along"), square.alias("square")).where("square > 0")
+    scored = scored.select(key, "phrase", F.round(F.col("along") / F.sqrt("square"), 6).alias("score"))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "phrase"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def cooccurrence(rows: DataFrame, key: str, text: str, terms: DataFrame, k: int = 15, min_count: int = 1) -> DataFrame:
     """(key, a, b, weight, rank): pairs of a text's terms (key, term) by the number of sentences that hold both."""
     sentence = rows.select(key, F.posexplode(sentences(F.col(text))).alias("s", "sentence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,15 +50,22 @@ def enrich(hits: DataFrame, chunks: DataFrame, key: str, order: str) -> DataFram
     return hits.join(first, key, "left")
 
 
-def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """Breadth-first over links (url, to): (url, depth) of the pages that are reached, each at its least depth."""
+def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 2, same_host: bool = False, max_pages: int | None = None) -> DataFrame:
+    """Breadth-first over links (url, to): (url, depth) of the pages that are reached, each at its least depth. same_host: links to other hosts
+    are not followed. max_pages: so many pages, those of the least depth and, of equals, the first by url."""
+    if same_host:
+        links = links.where(_host("url").eqNullSafe(_host("to")))
     front = seeds.select("url").distinct().join(pages.select("url").distinct(), "url", "left_semi").withColumn("depth", F.lit(0))
     found = front
     for d in range(1, depth + 1):
         step = front.join(links, "url").select(F.col("to").alias("url")).distinct().join(pages.select("url").distinct(), "url", "left_semi")
         front = step.join(found, "url", "left_anti").withColumn("depth", F.lit(d))
         found = found.unionByName(front)
-    return found
+    return found.orderBy("depth", "url").limit(max_pages) if max_pages is not None else found
+
+
+def _host(url: str) -> Column:
+    return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
 def upsert_edges(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("project_id", "edge_type", "src_node_id", "dst_node_id")) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from docloom.operators import html
 
 MOST_BYTES = 256 << 20
+#: Zipped files that grow beyond this are not read.
+MOST_INFLATED = 1 << 30
 _OFFICE = {"docx": (r"word/document\.xml", "p", "t"), "pptx": (r"ppt/slides/slide\d+\.xml", "p", "t"), "odt": (r"content\.xml", "p", None), "odp": (r"content\.xml", "p", None)}
 
 
@@ -27,6 +29,7 @@ def office_text(data: bytes, kind: str) -> str:
     part, block, run = _OFFICE[kind]
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as files:
+        _inflated(files)
         names = sorted((n for n in files.namelist() if re.fullmatch(part, n)), key=lambda n: (len(n), n))
         for name in names:
             for p in ElementTree.fromstring(files.read(name)).iter():
@@ -35,21 +38,62 @@ def office_text(data: bytes, kind: str) -> str:
     return "\n".join(out)
 
 
+def _inflated(files: zipfile.ZipFile) -> None:
+    if sum(f.file_size for f in files.infolist()) > MOST_INFLATED:
+        raise ValueError("too large when inflated")
+
+
+def _column(reference: str | None, otherwise: int) -> int:
+    """The column of a cell as C7, from 0."""
+    letters = re.match("[A-Z]+", reference or "")
+    at = 0
+    for letter in letters.group() if letters else "":
+        at = at * 26 + ord(letter) - ord("A") + 1
+    return at - 1 if letters else otherwise
+
+
 def sheet_text(data: bytes) -> str:
-    """Rows of all sheets, cells joined by tabs."""
+    """Rows of all sheets, cells joined by tabs; cells that are left out are empty."""
     with zipfile.ZipFile(io.BytesIO(data)) as files:
-        shared = [] if "xl/sharedStrings.xml" not in files.namelist() else ["".join(t.text or "" for t in s.iter() if _name(t.tag) == "t") for s in ElementTree.fromstring(files.read("xl/sharedStrings.xml")) if _name(s.tag) == "si"]
+        _inflated(files)
+        names = files.namelist()
+        strings = ElementTree.fromstring(files.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else ()
+        shared = ["".join(t.text or "" for t in s.iter() if _name(t.tag) == "t") for s in strings if _name(s.tag) == "si"]
         out = []
-        for name in sorted((n for n in files.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n)):
+        for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n)):
             for row in (r for r in ElementTree.fromstring(files.read(name)).iter() if _name(r.tag) == "row"):
-                cells = []
+                cells: list[str] = []
                 for c in row:
+                    cells += [""] * (_column(c.get("r"), len(cells)) - len(cells))
                     value = "".join(v.text or "" for v in c.iter() if _name(v.tag) in ("v", "t"))
                     cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
                 out.append("\t".join(cells))
         return "\n".join(out)
 
 
+def open_sheet_text(data: bytes) -> str:
+    """Rows of all tables of an OpenDocument spreadsheet, cells joined by tabs. Repeated cells are written out, but not empty ones at a row's end;
+    rows without a value are left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as files:
+        _inflated(files)
+        root = ElementTree.fromstring(files.read("content.xml"))
+    out = []
+    for row in (r for r in root.iter() if _name(r.tag) == "table-row"):
+        cells: list[str] = []
+        waiting = 0
+        for cell in (c for c in row if _name(c.tag) in ("table-cell", "covered-table-cell")):
+            times = int(next((v for k, v in cell.attrib.items() if _name(k) == "number-columns-repeated"), "1"))
+            value = "\n".join("".join(p.itertext()) for p in cell if _name(p.tag) == "p")
+            if value:
+                cells += [""] * waiting + [value] * times
+                waiting = 0
+            else:
+                waiting += times
+        if cells:
+            out.append("\t".join(cells))
+    return "\n".join(out)
+
+
 def parse(data: bytes | None, extension: str) -> tuple[str | None, str, str | None]:
     """(text, parser, what went wrong)."""
     data = data or b""
@@ -60,6 +104,8 @@ def parse(data: bytes | None, extension: str) -> tuple[str | None, str, str | No
             return office_text(data, extension), extension, None
         if extension == "xlsx":
             return sheet_text(data), extension, None
+        if extension == "ods":
+            return open_sheet_text(data), extension, None
         if b"\0" in data[:8192]:
             return None, "binary", "a binary file"
         return data.decode("utf-8", "replace").replace("\0", ""), "html" if extension in ("html", "htm") else "text", None
