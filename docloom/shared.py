@@ -24,12 +24,12 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+def cut(df: DataFrame, what: str = "cut", compression: str = "snappy") -> DataFrame:
     """df, written to the shared folder and read again: lost executors don't lose it, and it is computed once."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     _CUT.setdefault(shared_dir(spark), []).append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
