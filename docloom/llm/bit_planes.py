@@ -13,6 +13,7 @@ other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import uuid
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import batches, fresh_path, table
-from docloom.shared import cut
+from docloom.llm.common import Words, batches, fresh_path, mix, table
+from docloom.shared import cut, cuts, drop_cuts
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -259,24 +260,127 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PlaneDataSource)
 
 
-def _encode(tokenizer: str, end_id: int | None, width: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin (and the last ends): at each text, and at ASCII white space that follows a character which is none. A byte-level
+    tokenizer takes white space together with what follows it, so no token goes over such a place and nothing before it tells how to go on."""
+    space = (data == 0x20) | (data >= 9) & (data <= 13)
+    before = np.concatenate((np.zeros(min(len(data), 1), np.uint8), data[:-1]))
+    begins = np.zeros(len(data) + 1, bool)
+    begins[:-1] = space & (before > 0x20) & (before < 0x7F)
+    other = np.flatnonzero(space & (before >= 0x80))  # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000; some others stay whole, too
+    third, second, first = (data[np.maximum(other - k, 0)] for k in (3, 2, 1))
+    near = (second == 0xC2) & np.isin(first, (0x85, 0xA0)) | np.isin(third.astype(np.int64) * 256 + second, (0xE19A, 0xE280, 0xE281, 0xE380))
+    begins[other[~near]] = True
+    begins[offsets] = True
+    return np.flatnonzero(begins)
+
+
+def hashed(data: np.ndarray, at: np.ndarray, plus: int = 1) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; another for another plus."""
+    size = np.diff(at)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(data)) - np.repeat(at[:-1], size)
+    values = mix(data.astype(np.uint64) * np.uint64(plus)) if plus > 1 else data.astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(values * Words.powers(int(size.max()))[place], at[:-1]) + size.astype(np.uint64))
+
+
+class Encoder:
+    """Encodes texts piece by piece: the tokenizer sees each distinct piece once, and again only when `most` pieces were kept. Pieces are told apart by
+    64 bits within a batch and 128 across."""
+
+    def __init__(self, tokenizer: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        known, end, place = Tokenizer.from_file(tokenizer), [] if end_id is None else [end_id], 0
+        self.tokenizer, self.most = Tokenizer.from_file(tokenizer), most
+        self.line = self.ids("\n")
+        self.clear()
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def clear(self) -> None:
+        """Of each kept piece, by the first hash: both hashes, and where its ids begin and end in the pool."""
+        self.keys, self.checks, self.begin, self.end = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def fresh(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and how many each has. A blank and what is no white space, as most are, goes to the tokenizer many at a time, between line
+        feeds: such a piece is taken for itself there, and the line feed's id, which it cannot have, tells where it ends."""
+        plain = [i for i, t in enumerate(texts) if t[:1] == " " and len(t.split()) == 1 and not t[1:2].isspace() and not t[-1:].isspace() and "<|" not in t]
+        counts, out = np.zeros(len(texts), np.int64), [None] * len(texts)
+        for low in range(0, len(plain) if len(self.line) == 1 else 0, 1000):
+            some = plain[low : low + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+            if len(ends) == len(some):
+                for i, a, b in zip(some, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                    out[i] = ids[a:b]
+        others = [i for i, x in enumerate(out) if x is None]
+        for i, found in zip(others, self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, np.uint32)
+        counts = np.array([len(x) for x in out], np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        at = pieces(data, offsets)
+        keys, first, which = np.unique(hashed(data, at), return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self.clear()
+        begin, size = at[first], at[first + 1] - at[first]
+        one = np.concatenate(([0], np.cumsum(size)))
+        checks = hashed(data[np.repeat(begin - one[:-1], size) + np.arange(one[-1])], one, 0x9E3779B1)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = (self.keys[place] == keys) & (self.checks[place] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+        start, end, pool = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), self.pool
+        start[known], end[known] = self.begin[place[known]], self.end[place[known]]
+        if not known.all():
+            raw, new = data.tobytes(), np.flatnonzero(~known)
+            ids, counts = self.fresh([raw[a : a + n].decode() for a, n in zip(begin[new].tolist(), size[new].tolist(), strict=True)])
+            end[new] = len(pool) + np.cumsum(counts)
+            start[new] = end[new] - counts
+            pool = self.pool = np.concatenate((pool, ids))
+            merged = np.concatenate((self.keys, keys[new]))
+            order = np.argsort(merged, kind="stable")
+            self.keys = merged[order]
+            self.checks, self.begin, self.end = (np.concatenate(x)[order] for x in ((self.checks, checks[new]), (self.begin, start[new]), (self.end, end[new])))
+        each = (end - start)[which]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        out = pool[np.repeat(start[which] - upto[:-1], each) + np.arange(upto[-1])]
+        return out, np.diff(upto[np.searchsorted(at, offsets)])
+
+
+@functools.cache
+def encoder_of(tokenizer: str) -> Encoder:
+    """One for a worker process, which runs many tasks."""
+    return Encoder(tokenizer)
+
+
+def _encode(tokenizer: str, end_id: int | None, width: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, place = encoder_of(tokenizer), 0
         for part in parts:
-            for batch in batches(part, "text", 2 << 20):
-                # copies within a batch are encoded once
-                texts = batch.column("text").fill_null("").dictionary_encode()
-                said = known.encode_batch_fast(texts.dictionary.to_pylist(), add_special_tokens=False)
-                rows = [np.array(e.ids + end, f"<u{width}") for e in said]
-                at = texts.indices.to_pylist()
+            for batch in batches(part, "text", 4 << 20):
+                ids, counts = encoder(batch.column("text"))
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                if len(ids) and int(ids.max()) >> 8 * width:
+                    raise ValueError(f"an id of {int(ids.max())} is too large for {width} bytes")
+                ends = np.concatenate(([0], np.cumsum(counts))) * width
+                values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(range(place, place + len(at)), pa.int64()), pa.array([len(rows[i]) for i in at], pa.int64()), pa.array([rows[i].tobytes() for i in at], pa.binary())],
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(np.arange(place, place + len(counts))), pa.array(counts.astype(np.int64)), values.cast(pa.binary())],
                     names=["doc_id", "place", "n_tokens", "ids"],
                 )
-                place += len(at)
+                place += len(counts)
 
     return run
 
@@ -292,12 +396,14 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     is more. Ids are shuffled (once, by range), texts are not."""
     spark = docs.sparkSession
     register(spark)
-    rows = cut(encoded(docs, tokenizer, end_id, width), "ids")
+    before = cuts(spark)
+    rows = cut(encoded(docs, tokenizer, end_id, width), "ids", "zstd")
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_ids))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("part"), F.col("place")]
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.select("doc_id", "ids").write.format("idplanes").option("width", width).option("planes", planes).option("packed", "true").mode("append").save(path)
+    drop_cuts(spark, [p for p in cuts(spark) if p not in before])
 
 
 def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,18 @@ def test_plane_files(spark, planes):
     assert spark.read.format("idplanes").load(place).count() == 0
 
 
+def test_pieces_are_encoded_as_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known, encoder, chance = Tokenizer.from_file(path), bit_planes.Encoder(path, most=50), random.Random(5)
+    signs = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x00", "\x1c", "\x1f", "\x7f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff", "'s", "'", "ll", "é", "日本", "x", "Word", "12", "!?", "🙂", "\u0301", "<|endoftext|>", "à"]
+    texts = ["".join(chance.choices(signs, k=chance.randint(0, 30))) for _ in range(4000)]
+    for low in range(0, len(texts), 500):
+        part = texts[low : low + 500]
+        ids, counts = encoder(pa.array(part))
+        want = [known.encode(t, add_special_tokens=False).ids for t in part]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_op12_against_plain_encoding(spark):
     known, at, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, {}
     for doc, text in duckdb.sql(f"SELECT doc_id, text FROM '{DIR}/documents.parquet' ORDER BY doc_id").fetchall():
