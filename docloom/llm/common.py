@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def packed(docs: DataFrame, text: str) -> tuple[DataFrame, list]:
+    """docs as (kept_row, text), and the expressions that make its columns again: no name of its columns can clash with an operator's own."""
+    rest = [c for c in docs.columns if c != text]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    columns = [F.col("text" if c == text else f"kept_row.c{rest.index(c)}").alias(c) for c in docs.columns]
+    return docs.select(row.alias("kept_row"), F.col(f"`{text}`").cast("string").alias("text")), columns
+
+
 def join_small(
     left: DataFrame,
     right: DataFrame,

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import FOLDED_SEPARATORS, cut, join_small, table
+from docloom.llm.common import FOLDED_SEPARATORS, cut, join_small, packed, table
 
 _FOLD = bytes(32 if c in FOLDED_SEPARATORS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -201,8 +201,8 @@ def find_contamination(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """docs (or its columns named in keep) with hit_spans (word numbers and code points, ends exclusive), hit_items (sorted)
-    and hit_n_words."""
-    keep = docs.columns if keep is None else keep
+    and hit_n_words; columns of these names are replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("hit_spans", "hit_items", "hit_n_words")]
     rest = [c for c in keep if c != text]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
     packed = docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -299,22 +299,24 @@ def _n_hit():
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_span_words: int = 13, max_coverage: float = 0.5, **how) -> DataFrame:
     """docs without those of whose words more than max_coverage are hit; hit spans of max_span_words words or more, and those
-    that hold the whole of an item of fewer words, are cut out of the others' texts. Columns as before."""
-    found = find_contamination(docs, items, text, **how)
+    that hold the whole of an item of fewer words, are cut out of the others' texts. Columns as before, whatever their names."""
+    docs, columns = packed(docs, text)
+    text = "text"
+    found = find_contamination(docs, items, **how)
     kept = found.where(_n_hit() <= max_coverage * F.col("hit_n_words"))
     long = F.filter("hit_spans", lambda x: x["last"] - x["first"] >= max_span_words)
     short = items.where(F.regexp_count(how.get("item_text", "text"), F.lit(_WORDS)).between(1, max_span_words - 1))
     if not short.isEmpty():
         # in a window longer than these items they are hit as a whole only
         kept = kept.withColumnsRenamed({"hit_spans": "hit_all", "hit_n_words": "hit_all_words"}).drop("hit_items")
-        kept = find_contamination(kept, short, text, **(how | {"window": max_span_words}))
+        kept = find_contamination(kept, short, **(how | {"window": max_span_words}))
         whole = lambda x: F.exists("hit_spans", lambda y: (y["first"] >= x["first"]) & (y["last"] <= x["last"]))
         long = F.filter("hit_all", lambda x: (x["last"] - x["first"] >= max_span_words) | whole(x))
     begin = F.concat(F.array(F.lit(1).cast("bigint")), F.transform(long, lambda x: x["end"] + 1))
     stop = F.concat(F.transform(long, lambda x: x["start"] + 1), F.array(F.char_length(text).cast("bigint") + 1))
     pieces = F.zip_with(begin, stop, lambda a, b: F.substring(F.col(f"`{text}`"), a.cast("int"), (b - a).cast("int")))
     clean = F.when(F.size(long) > 0, F.array_join(pieces, "")).otherwise(F.col(f"`{text}`"))
-    return kept.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select("kept_row", clean.alias("text")).select(*columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

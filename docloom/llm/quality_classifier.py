@@ -98,7 +98,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 def classify(docs: DataFrame, text: str = "text", size: int = 2048, fit_rows: int = 6000, keep: list[str] | None = None) -> DataFrame:
     """The columns of docs (or those named in keep), with quality_label (the posterior of good, from the votes), quality_score (the
-    scorer's probability of good) and quality_fitted (false where there was too little to fit a scorer to, and the score is the label)."""
+    scorer's probability of good) and quality_fitted (false only where docs has no rows: any text is enough to fit a scorer to)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("quality_label", "quality_score", "quality_fitted")]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep) if c != text]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     half = fit_rows // 2
@@ -116,14 +116,13 @@ def classify(docs: DataFrame, text: str = "text", size: int = 2048, fit_rows: in
     post, _, share = expectation_maximisation(patterns, counted["count"].to_numpy(float)) if len(codes) else (np.zeros(0), None, 0.5)
     posterior = dict(zip(codes.tolist(), post.tolist(), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(posterior)
-    sure = {True: [c for c, p in posterior.items() if p > 0.5], False: [c for c, p in posterior.items() if p <= 0.5]}
-    chosen = []
-    for codes in sure.values():  # the rows with the least hashes, found in the table of votes, which has no texts
-        own = voted.where(F.col("pattern").isin(codes) if codes else F.lit(False)).select(F.xxhash64("h").alias("x"), "h").distinct().orderBy("x").limit(half).agg(F.max("x").alias("x"), F.count("*").alias("n")).first()
-        chosen.append((codes, own["x"], own["n"]))
+    spark, chosen = docs.sparkSession, []
+    for good in (True, False):  # the texts with the least hashes of each side, found in the table of votes, which has no texts
+        codes = [c for c, p in posterior.items() if (p > 0.5) == good]
+        own = voted.where(F.col("pattern").isin(codes) if codes else F.lit(False)).select(F.xxhash64("h").alias("x"), "h").distinct()
+        chosen += [(r["h"],) for r in own.orderBy("x").limit(half).collect()]
     weights, bias = None, 0.0
-    if min(n for _, _, n in chosen) >= 10:
-        limits = {c: x for codes, x, _ in chosen for c in codes}
+    if chosen:
 
         def examples(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in of:
@@ -131,16 +130,19 @@ def classify(docs: DataFrame, text: str = "text", size: int = 2048, fit_rows: in
                     texts = batch.column("text")
                     found, shares = labels(texts)
                     codes = (found @ 3 ** np.arange(len(LABELLERS))).tolist()
-                    take = np.array([x <= limits.get(c, -(1 << 63)) for c, x in zip(codes, batch.column("x").to_pylist(), strict=True)], bool)
-                    if take.any():
-                        rows = list(hashed(texts.filter(pa.array(take)), shares[take], size))
-                        yield pa.RecordBatch.from_arrays([pa.array([shared.value[c] for c, t in zip(codes, take, strict=True) if t]), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["p", "features"])
-
-        most = max(x for _, x, _ in chosen)
-        rows = packed.select("text", F.xxhash64(F.xxhash64("text")).alias("x")).where(F.col("x") <= most).dropDuplicates(["x"]).mapInArrow(examples, "p double, features array<double>")
-        rows = cut(rows, "examples")
+                    rows = [r.tolist() for r in hashed(texts, shares, size)]
+                    yield pa.RecordBatch.from_arrays([pa.array([shared.value[c] for c in codes], pa.float64()), pa.array(rows, pa.list_(pa.float64()))], names=["p", "features"])
+
+        # their texts are found where they lie: fit_rows hashes at most go to all tasks, and only these texts are dealt by hash
+        wanted = F.broadcast(spark.createDataFrame(chosen, "h bigint"))
+        rows = packed.select("text", F.xxhash64("text").alias("h")).join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("text")
+        rows = cut(rows.mapInArrow(examples, "p double, features array<double>"), "examples")
         total = rows.agg(F.sum("p").alias("good"), F.count("*").alias("n")).first()
-        label = rows.select(array_to_vector("features").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("p") * share / total["good"]).alias("w")), F.struct(F.lit(0.0).alias("label"), ((1 - F.col("p")) * (1 - share) / (total["n"] - total["good"])).alias("w")))).alias("e")).select("features", "e.label", (F.col("e.w") * total["n"]).alias("w")).where("w > 1e-9")
+        some = lambda x: max(x, 1e-9)
+        good, bad = F.col("p") * (share / some(total["good"])), (1 - F.col("p")) * ((1 - share) / some(total["n"] - total["good"]))
+        both = F.array(F.struct(F.lit(1.0).alias("label"), good.alias("w")), F.struct(F.lit(0.0).alias("label"), bad.alias("w")))
+        # each example stands on both sides, so that there are two classes however few the texts are
+        label = rows.select(array_to_vector("features").alias("features"), F.explode(both).alias("e")).select("features", "e.label", F.greatest(F.col("e.w") * total["n"], F.lit(1e-9)).alias("w"))
         model = LogisticRegression(weightCol="w", regParam=0.001, maxIter=60, standardization=False).fit(label)
         weights, bias = model.coefficients.toArray(), float(model.intercept)
     linear = docs.sparkSession.sparkContext.broadcast((weights, bias))
@@ -152,7 +154,7 @@ def classify(docs: DataFrame, text: str = "text", size: int = 2048, fit_rows: in
                 texts = batch.column("text")
                 found, shares = labels(texts)
                 label = np.array([shared.value[c] for c in (found @ 3 ** np.arange(len(LABELLERS))).tolist()])
-                scores = label if weights is None else 1 / (1 + np.exp(-np.clip(np.array([f @ weights for f in hashed(texts, shares, size)]) + bias, -700, 700)))
+                scores = 1 / (1 + np.exp(-np.clip(np.array([f @ weights for f in hashed(texts, shares, size)]) + bias, -700, 700)))
                 yield pa.RecordBatch.from_arrays([batch.column("row"), texts if text in keep else pa.nulls(len(texts), texts.type), pa.array(label, pa.float64()), pa.array(scores, pa.float64())], names=["row", "text", "quality_label", "quality_score"])
 
     schema = packed.select("row", "text", F.lit(0.0).alias("quality_label"), F.lit(0.0).alias("quality_score")).schema

@@ -78,8 +78,8 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs (or those named in keep) and the counts."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    """The columns of docs (or those named in keep) and the counts, which replace columns of their names."""
+    keep = [c for c in ([c for c in docs.columns if c != text] if keep is None else keep) if c not in _COUNTS]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,14 +277,14 @@ def outliers(
     steps: int = 12,
     floor: float = 0.08,
 ) -> DataFrame:
-    """rows with q_distance and q_outlier. floor: standard deviations count as that much more, so that a statistic which is
+    """rows with q_distance and q_outlier, which replace columns of these names. floor: standard deviations count as that much more, so that a statistic which is
     the same for nearly all rows does not make outliers of the others by itself."""
     d = len(x)
     ints = [F.round(v * UNIT).cast("bigint").alias(f"q_x{i}") for i, v in enumerate(x)]
     big, small = _key(by[0]), _key(by[1])
     level = [F.concat_ws("\x1f", F.lit("c"), big, small), F.concat_ws("\x1f", F.lit("b"), big), F.lit("a")]
-    columns = [F.col(f"`{c}`") for c in rows.columns]
-    rows = cut(rows.select("*", *ints, *[c.alias(f"q_{i}") for i, c in enumerate(level)]), "statistics")
+    columns = [F.col(f"`{c}`") for c in rows.columns if c not in ("q_distance", "q_outlier")]
+    rows = cut(rows.select(F.struct(*columns).alias("q_row"), *ints, *[c.alias(f"q_{i}") for i, c in enumerate(level)]), "statistics")
     numbers = [F.col(f"q_x{i}").alias(f"x{i}") for i in range(d)]
     grouped = rows.select(F.explode(F.array("q_0", "q_1", "q_2")).alias("q_group"), *numbers)
     sizes = cut(grouped.groupBy("q_group").agg(F.count("*").alias("rows")), "groups")
@@ -317,8 +317,8 @@ def outliers(
 
     schema = ", ".join(["q_0 string", *[x for x in _state_schema(d).split(", ") if x[0] in "cw" and x.endswith("double")]])
     cells = cut(cells.mapInPandas(leaned, schema), "leaned")
-    away = join_small(rows.select(F.struct(*columns, "q_0").alias("row"), "q_0", *numbers), cells, ["q_0"], rows=groups)
-    away = away.select("row.*", F.sqrt(distance(d)).alias("q_distance")).drop("q_0")
+    away = join_small(rows.select(F.col("q_row").alias("row"), "q_0", *numbers), cells, ["q_0"], rows=groups)
+    away = away.select("row.*", F.sqrt(distance(d)).alias("q_distance"))
     return away.withColumn("q_outlier", F.col("q_distance") > chi_squared(certainty, d) ** 0.5)
 
 

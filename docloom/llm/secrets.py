@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from docloom.llm.common import cut, fresh_path, table
+from docloom.llm.common import cut, fresh_path, packed, table
 
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -111,7 +111,7 @@ def update_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: dict
 def find_secrets(docs: DataFrame, text: str = "text", rules: dict = RULES, ledger: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """The columns of docs (or those named in keep) with secret_blob and secret_spans (by start, then kind in the order of rules)."""
     ledger = ledger or fresh_path(docs.sparkSession, "ledger")
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("secret_blob", "secret_spans", "secret_of")]
     known = update_ledger(docs, ledger, text, rules)
     rank = F.coalesce(*[F.when(F.col("x.kind") == kind, F.lit(i)) for i, kind in enumerate(rules)])
     current = F.filter("rules", lambda r: r.isin([f"{kind}@{version}" for kind, (version, _) in rules.items()]))
@@ -123,7 +123,9 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: dict = RULES, ledge
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", rules: dict = RULES, ledger: str | None = None) -> DataFrame:
-    """docs with each secret in the text replaced (spans that overlap: as one)."""
+    """docs with each secret in the text replaced (spans that overlap: as one). Columns as before, whatever their names."""
+    docs, columns = packed(docs, text)
+    text = "text"
     found = find_secrets(docs, text, rules, ledger)
     # spans by start; each piece of text between them begins at the largest end so far
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
@@ -133,7 +135,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]", rules:
         F.greatest(a["at"], x["end"]).alias("at"),
     )
     clean = F.aggregate("secret_spans", zero, step, lambda a: F.concat(a["out"], F.substring(body, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return found.select(*[F.when(F.size("secret_spans") > 0, clean).otherwise(body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return found.select("kept_row", F.when(F.size("secret_spans") > 0, clean).otherwise(body).alias("text")).select(*columns)
 
 
 def kept_ledger(spark: SparkSession, name: str) -> str | None:

@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, hot_keys, join_hot, table
+from docloom.llm.common import cut, hot_keys, join_hot, packed, table
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -66,7 +66,14 @@ def lexical(url: str) -> dict[str, Column]:
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, url: str = "url", fit_rows: int = 20_000, trees: int = 20, depth: int = 4) -> DataFrame:
-    """pages with url_host, url_path, url_rule (null if none fits) and url_verdict (allow or block)."""
+    """pages with url_host, url_path, url_rule (null if none fits) and url_verdict (allow or block). Columns of pages whose names begin with url_ (but
+    for the url itself) or are those of the model's output are kept aside, and come back unless the result has one of that name."""
+    result = ("url_host", "url_path", "url_rule", "url_verdict")
+    rows, columns = packed(pages.drop(*[c for c in result if c != url]), url)
+    return _judged(rows, rules, "text", fit_rows, trees, depth).select(*columns, *result)
+
+
+def _judged(pages: DataFrame, rules: list[Rule], url: str, fit_rows: int, trees: int, depth: int) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in pages.columns]
     rows = with_rules(pages, rules, url)
     suffix = F.element_at(F.split("url_host", "[.]"), -1)

@@ -321,21 +321,22 @@ def register(spark: SparkSession) -> None:
 
 def archive(pages: DataFrame, path: str, least: int = 1000) -> None:
     """Writes a record for each row of pages (page_id, url, html). Of equal payloads of `least` bytes or more, the one with the largest
-    page_id is the response, the others revisit it."""
+    page_id is the response, the others revisit it; of several such rows (or where none has an id) the one with the largest url, then the last."""
     register(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("bigint"))
-    same = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    rows = join_small(rows, cut(same.where("n > 1").select("digest", "last"), "copies"), ["digest"])
-    again = F.col("page_id").isNull() & F.col("last").isNotNull() | (F.col("page_id") != F.col("last"))
-    again = F.coalesce(again, F.lit(False))
+    # of the same page_id (or none) the largest url counts, then the place in the table
+    rows = rows.withColumn("who", F.struct("page_id", "url", F.monotonically_increasing_id().alias("place")))
+    same = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("who").alias("last_who"), F.count("*").alias("n"))
+    rows = join_small(rows, cut(same.where("n > 1").select("digest", "last_who"), "copies"), ["digest"])
+    again = F.coalesce(F.col("size") >= least, F.lit(False)) & F.col("last_who").isNotNull() & ~F.col("who").eqNullSafe(F.col("last_who"))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     out = rows.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         urn("page_id").alias("record_id"),
         F.col("url").alias("target_uri"),
         F.lit("1970-01-01T00:00:00Z").alias("date"),
-        F.when(again, urn("last")).alias("refers_to"),
+        F.when(again, urn("last_who.page_id")).alias("refers_to"),
         F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
         F.col("size").alias("payload_length"),
         F.lit(None).cast("map<string,string>").alias("headers"),

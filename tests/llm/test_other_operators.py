@@ -1,5 +1,6 @@
 """Archives, mixing, URL filters, secrets and the pipeline."""
 
+import collections
 import os
 import random
 import zlib
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import mixing, queries, secrets, url_filters, warc
+from docloom.llm import decontaminate, mixing, quality_rules, queries, secrets, url_filters, warc
 from docloom.llm.common import fresh_path
 
 DIR = "/root/testdata/sf0.001"
@@ -236,7 +237,7 @@ def test_rates_leave_a_urls_own_label_out(spark):
 
     class Spy(assembler):
         def transform(self, df):
-            seen["rows"] = df.select("url", "url_segment_blocked", "url_suffix_blocked", "url_suffix_share").collect()
+            seen["rows"] = df.select(F.col("text").alias("url"), "url_segment_blocked", "url_suffix_blocked", "url_suffix_share").collect()
             return super().transform(df)
 
     url_filters.VectorAssembler = Spy
@@ -343,7 +344,7 @@ def test_classifier_and_languages_against_labels(spark):
 def test_queries_are_those_of_sql(spark, name):
     found = queries.QUERIES[name](spark, DIR).toPandas()
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     expected = db.execute(queries.SQL[name]).df()
     columns = sorted(found.columns)
@@ -377,3 +378,70 @@ def test_deduplicate_with_repeated_and_missing_ids(spark):
     last = [x for x in kept if x[0] is None and x[1]]
     assert sorted(x for x in kept if x[0] is not None) == [(-1, ""), (2, said[0]), (10, said[1]), (10, said[2])]
     assert len(kept) == 6 and (None, None) in kept and len(last) == 1 and last[0][1].startswith(said[3])
+
+
+def test_mix_with_repeated_and_missing_ids(spark):
+    """A plain version: every row is taken as often as the mix of a table with a number for each row says, and no row meets another of its id."""
+    rng = random.Random(9)
+    rows = [(rng.choice((1, 2, 3, None, 5)), " ".join(rng.choices("ant bee cow dog".split(), k=rng.choice((5, 20, 60)))), rng.choice(("a", "b", "c", None))) for _ in range(40)]
+    rows += rows[:3] * 4
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = [r.asDict() for r in corpus_pipeline.mix(spark, docs.repartition(5), DIR).collect()]
+    again = [r.asDict() for r in corpus_pipeline.mix(spark, docs.repartition(2), DIR).collect()]
+    said = lambda rs: collections.Counter(tuple(r.values()) for r in rs)
+    assert said(out) == said(again)
+    have = collections.Counter((i, t, s) for i, t, s in rows)
+    taken = collections.Counter((r["doc_id"], r["text"], r["source"]) for r in out)
+    assert len(out) <= len(rows) and all(n <= have[k] for k, n in taken.items()) and {r["copies"] for r in out} <= {1, 2}
+    sizes, words = collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for r in out:
+        words[r["source"]] += r["copies"] * len(r["text"].split())
+    weights, total = dict(zip(("a", "b", "c", None), (5, 2, 1, 5), strict=True)), 1.5 * sum(sizes.values())
+    full: set = set()
+    while True:
+        left = total - sum(2 * sizes[s] for s in full)
+        share = {s: 2 * sizes[s] if s in full else left * w / sum(v for k, v in weights.items() if k not in full) for s, w in weights.items()}
+        over = {s for s in weights if s not in full and share[s] > 2 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    assert all(abs(words[s] - share[s]) <= 60 for s in weights)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").limit(0 if t == "documents" else 10**6).write.parquet(f"{tmp_path}/{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*corpus_pipeline.COLUMNS, "copies"] and out.count() == 0
+
+
+def test_columns_of_the_results_names(spark):
+    """Operators that add columns replace those of their names; operators that change the text alone keep them."""
+    rows = [(1, "password=hunter2secret and more", "a", 7), (2, None, "b", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, x int")
+    items = spark.createDataFrame([(1, "password hunter2secret and more")], "item_id bigint, text string")
+    for name in ("hit_spans", "hit_items", "hit_n_words", "secret_spans", "secret_blob", "row", "kept_row"):
+        own = docs.withColumnRenamed("x", name)
+        assert sorted(secrets.redact(own).select("doc_id", name).collect()) == [(1, 7), (2, 8)]
+        out = decontaminate.decontaminate(own, items, max_coverage=1.0)
+        assert out.columns == own.columns and sorted(out.select("doc_id", name).collect()) == [(1, 7), (2, 8)]
+    assert decontaminate.find_contamination(docs.withColumnRenamed("x", "hit_spans"), items).columns.count("hit_spans") == 1
+    assert secrets.find_secrets(docs.withColumnRenamed("x", "secret_spans")).columns.count("secret_spans") == 1
+    pages = spark.createDataFrame([(1, "http://a.org/x", 7), (2, "http://example.org/es/y", 8), (2, "http://example.org/es/y", 8), (3, None, 9)], "page_id bigint, url string, x int")
+    for name in ("url_host", "url_suffix", "url_features", "n", "b", "probability", "rawPrediction"):
+        out = url_filters.judge(pages.withColumnRenamed("x", name))
+        assert out.columns.count(name) == 1 and out.count() == 4 and {r["url_verdict"] for r in out.where("page_id = 2").collect()} == {"block"}
+        assert name == "url_host" or sorted(r[name] for r in out.collect()) == [7, 8, 8, 9]
+    own = docs.withColumn("lang", F.lit("en")).withColumnRenamed("x", "q_words")
+    judged = quality_rules.outliers(quality_rules.with_statistics(own).withColumn("q_0", F.lit(3)).withColumn("q_outlier", F.lit(1)), ("lang", "source"), quality_rules.vector())
+    assert judged.columns.count("q_words") == judged.columns.count("q_outlier") == 1 and {r["q_0"] for r in judged.collect()} == {3} and judged.where("q_words = 7").count() == 0
+
+
+def test_responses_where_page_ids_repeat_or_lack(spark, tmp_path):
+    long = "x" * 1500
+    rows = [(None, "http://a", long), (None, "http://b", long), (5, "u1", "y" * 1500), (5, "u2", "y" * 1500), (5, "u2", "y" * 1500), (7, "u", "z" * 1500)]
+    warc.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w")
+    found = spark.read.format("warc").load(f"file://{tmp_path}/w").where("record_type = 'response'").collect()
+    assert sorted((r["record_id"], r["target_uri"]) for r in found) == [("<urn:x-page:5>", "u2"), ("<urn:x-page:7>", "u"), ("<urn:x-page:>", "http://b")]
