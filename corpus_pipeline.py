@@ -1,11 +1,16 @@
-"""A corpus pipeline of five of the operators: each stage takes what its predecessor kept."""
+"""A corpus pipeline of five of the operators: each stage takes what its predecessor kept.
+
+Rows are told apart by all their columns, not by doc_id: ids may be null or repeat. Rows alike in all columns are one after the second stage; a stage
+that meets some keeps each. Null and empty texts are documents like others (the classifier and the mix decide on them); very long texts are taken whole; an
+empty table stays empty. Columns other than those of documents are left out of the result, which has `copies` besides.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, table
+from docloom.llm.common import cut, join_small, table
 from docloom.llm.decontaminate import decontaminate
 from docloom.llm.mixing import mixed
 from docloom.llm.near_duplicates import near_duplicates
@@ -51,9 +56,20 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(redact(docs))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row. Rows alike in all columns are counted and told apart by number; only the keys are shuffled."""
+    keyed = docs.select(*COLUMNS, _key().alias("key"))
+    again = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    if again.isEmpty():
+        return keyed
+    rows = join_small(keyed, again, ["key"])
+    alike = rows.where("n > 1").groupBy("key").agg(*[F.first(c).alias(c) for c in [*COLUMNS, "n"]]).withColumn("i", F.explode(F.expr("sequence(1L, n)")))
+    return rows.where("n IS NULL").select(*COLUMNS, "key").unionByName(alike.select(*COLUMNS, F.concat_ws(":", "key", "i").alias("key")))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights. Each document that is taken, and how often (copies)."""
-    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))))
+    """Sources are mixed to their target weights. Each document that is taken, once, and how often (copies)."""
+    keyed = numbered(docs)
     taken = mixed(keyed, id="key").where("copies > 0").select("key", "copies")
     return keyed.join(taken, "key").select(*COLUMNS, "copies")
 

@@ -11,12 +11,14 @@ _CUT: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set, as in tests."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset: a folder of this machine if all runs here, as in tests;
+    on a cluster that is an error, as executors would not see each other's files."""
     context = spark.sparkContext
-    if not context.getCheckpointDir() and not (named := context.getConf().get("spark.checkpoint.dir", "")):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="docloom-"))
     return context.getCheckpointDir()
 
 
@@ -33,10 +35,13 @@ def cut(df: DataFrame, what: str = "cut", compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it is read in fewer partitions than there are, as a small table of one row group is; else as it is."""
+def spread(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
+    """df over all cores where it is a file of at most `most_bytes` that is read in fewer partitions than there are cores, as one of a single row group
+    is; else as it is: a larger table has row groups enough, and its texts are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most_bytes:
+        return df
+    return df.repartition(cores)
 
 
 def cuts(spark: SparkSession) -> list[str]:
