@@ -103,6 +103,7 @@ class Postings:
         part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
         self.tf.withColumn("part", part).repartition("part").sortWithinPartitions("term").write.partitionBy("part").parquet(f"{path}/terms")
         self.lengths.write.parquet(f"{path}/lengths")
+        self.rows.sparkSession.createDataFrame([(parts,)], "parts int").write.parquet(f"{path}/layout")
         return Postings(self.rows, self.keys, self.text, path)
 
     @classmethod
@@ -117,7 +118,8 @@ class Postings:
         known = terms.select("term", F.lit(True).alias("known"))
         known = F.broadcast(known) if n <= 1_000_000 else known
         if self.kept:
-            parts = [r["part"] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(64)).cast("int").alias("part")).distinct().collect()]
+            of = self.rows.sparkSession.read.parquet(f"{self.kept}/layout").first()["parts"]
+            parts = [r["part"] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(of)).cast("int").alias("part")).distinct().collect()]
             tf = self.rows.sparkSession.read.parquet(f"{self.kept}/terms").where(F.col("part").isin(parts)).join(known, "term", "left_semi")
             listed = tf.groupBy(*self.keys).agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
             return q, cut(self.lengths.withColumn("len", F.col("len").cast("bigint")).join(listed, self.keys, "left"), "postings")
@@ -297,8 +299,13 @@ def _best_of_blocks(a: DataFrame, q: DataFrame, score: Callable[[dict, dict], np
     return top_k(scored, ["query"], k, ["id"])
 
 
+def unit_matrix(vectors: pa.Array, size: int | None = None) -> np.ndarray:
+    """Unit vectors; zeros for one that is null, has a null in it, has no length or (where a size is named) another size, so that it scores 0."""
+    out = _matrix(vectors)
+    return out if size is None or out.shape[1] == size else np.array([v if len(v) == size else np.zeros(size) for v in out] or np.zeros((0, size))).reshape(len(vectors), size)
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
-    """Unit vectors; zeros for one that is null, has a null in it or has no length, so that it scores 0."""
     sizes = pc.list_value_length(vectors)
     if vectors.null_count == 0 and len(vectors) and sizes[0].as_py() and pc.all(pc.equal(sizes, sizes[0])).as_py() and vectors.flatten().null_count == 0:
         out = vectors.flatten().to_numpy().astype(float).reshape(len(vectors), -1)
@@ -311,8 +318,8 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, row_block: int = 8192, query_block: int = 512, sharing: bool = False) -> DataFrame:
-    """(query, id, score, rank): for each query (id, v) the k rows (id, v) nearest by cosine, exactly; ties by id. Ids are not null and do
-    not repeat. sharing: only rows that have a dimension in common with the query.
+    """(query, id, score, rank): for each query (id, v) the k rows (id, v) nearest by cosine: the exact scan, of all rows and queries, for few
+    queries and for measuring an index (vector_index) against. Ties by id; ids are not null and do not repeat. sharing: only rows that have a dimension in common with the query.
 
     Signs of random planes do not part vectors that are far from each other: for a recall of 0.9 they leave three quarters of all
     pairs, each found about four times. So blocks of vectors meet blocks of queries."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,11 +67,3 @@ def documents_rollup(chunks: DataFrame) -> DataFrame:
     parts = F.transform(F.sort_array(F.collect_list(F.struct("seq_num", F.sha2(F.col("original_content").cast("binary"), 256).alias("h")))), lambda x: x["h"])
     chars = F.sum(F.length("original_content").cast("bigint"))
     return chunks.groupBy("doc_id").agg(chars.alias("char_count"), F.greatest(F.lit(1), F.ceil(chars / 4)).cast("bigint").alias("token_count_est"), F.count("*").alias("chunk_count"), F.sha2(F.array_join(parts, ",").cast("binary"), 256).alias("content_hash"))
-
-
-def publish(rows: DataFrame, path: str) -> str:
-    """Writes a version of the table to a folder of its own under path; returns that folder. Readers of an older version are not disturbed, and
-    a job that fails leaves the current version as it is."""
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    rows.write.parquet(version)
-    return version

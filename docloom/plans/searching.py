@@ -10,9 +10,12 @@ from docloom.operators import search
 from docloom.operators.chunkers import by_sentence, fixed_overlap
 from docloom.plans.chunking import _DOC_SENTENCES, _windows
 from docloom.plans.common import corpus, digest, table
-from docloom.shared import cut
+from docloom.operators.vector_index import VectorIndex
+from docloom.shared import cut, fresh_path
 
 K = 10
+#: On vectors that are spread evenly cells part little: two thirds of them are asked, by codes of a sixteenth of the bytes.
+ANN, PROBES, RESCORE = {"cells": 64, "parts": 16}, 44, 200
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -33,7 +36,15 @@ def knn_where_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.semantic_search(rows, _query_vector(spark, sf_dir), K, "cosine", ("vec_id",)).select("vec_id", "label", "score")
 
 
-def ann_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ann_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every twentieth vector, by a kept index of all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = VectorIndex.build(rows, fresh_path(spark, "vectors"), **ANN)
+    found = index.search(rows.where("id % 20 = 0"), K, PROBES, RESCORE)
+    return found.select("query", F.col("id").alias("vec_id"), "score", "rank")
+
+
+def nearest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return search.ann_join(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", K).select("query", "vec_id", "score", "rank")
 
@@ -178,7 +189,7 @@ _LEGS = f"{_BM25},{_semantic_sql('doc_id', 'documents', 'text')}, legs AS (SELEC
 QUERIES = {"knn_cosine": _knn("cosine"), "knn_inner_product": _knn("inner_product"), "knn_l2": _knn("l2")}
 QUERIES |= {
     f.__name__: f
-    for f in (knn_where_label, ann_lsh, where_source, where_tags, where_metadata, where_metadata_not, where_column_in_like, fts_tokens, fts_bm25_topk, fts_match, semantic_topk, fuse_rrf, fuse_weighted, hybrid_search, fact_search, search_summary)
+    for f in (knn_where_label, nearest_exact, ann_index, where_source, where_tags, where_metadata, where_metadata_not, where_column_in_like, fts_tokens, fts_bm25_topk, fts_match, semantic_topk, fuse_rrf, fuse_weighted, hybrid_search, fact_search, search_summary)
 }
 SQL = {
     "knn_cosine": _knn_sql(_COSINE),
@@ -198,7 +209,7 @@ SQL = {
     "fuse_weighted": f"""WITH {_LEGS}, r AS (SELECT *, min(score) OVER w AS low, max(score) OVER w AS high FROM legs WINDOW w AS (PARTITION BY item_id, leg)),
 s AS (SELECT *, CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1.0::DOUBLE END * CASE WHEN leg = 'semantic' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS part FROM r)
 SELECT item_id, doc_id, round(sum(part), 6) AS score, string_agg(leg, ',' ORDER BY leg) AS legs FROM s GROUP BY item_id, doc_id""",
-    "ann_lsh": f"""WITH s AS (SELECT q.vec_id AS query, e.vec_id, round({_COSINE}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+    "nearest_exact": f"""WITH s AS (SELECT q.vec_id AS query, e.vec_id, round({_COSINE}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= {K}""",
     "hybrid_search": f"WITH {_windows(300, 150)}, {_hybrid_sql('doc_id, seq_num', 'texts', 't', K)} SELECT item_id, doc_id, seq_num, score, legs, rank FROM best",
     "fact_search": f"""WITH s AS (SELECT doc_id, {_DOC_SENTENCES} AS s FROM documents),

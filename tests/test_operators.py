@@ -6,13 +6,13 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import chunkers, evaluation, framers, graph, html, incremental, ingest, memory, search, tables
+from docloom.operators import chunkers, evaluation, framers, graph, html, incremental, ingest, memory, search, tables, vector_index
 from docloom.plans import searching
 from docloom.sources import comments, files
 from docloom.sources.tables import together
-from pyspark.sql import functions as F
 
 
 def docs(spark, *contents):
@@ -203,7 +203,7 @@ def nearest(ids, vectors, queries, k):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
 def test_recall_of_ann_on_embeddings(spark):
     found = {}
-    for r in searching.ann_lsh(spark, "/root/testdata/sf0.01").collect():
+    for r in searching.ann_index(spark, "/root/testdata/sf0.01").collect():
         found.setdefault(r["query"], {})[r["rank"]] = r["vec_id"]
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
     ids = table["vec_id"].to_numpy()
@@ -253,10 +253,69 @@ def test_the_job_publishes_versions_and_its_state_with_them(spark, tmp_path):
     assert run(rows((1, "A b. C d."), (2, "E."), (3, "F. G."), (4, None)), "2024-01-02", chunk=lambda df: asked.append(df.count()) or chunkers.by_sentence(df)) == first and asked == [0]
     with pytest.raises(Exception, match="no such"):
         run(rows((1, "Z.")), "2024-01-03", chunk=lambda df: framers.frame("no such", df))
-    assert ingest.read(spark, path).count() == 5 and ingest.current(spark, path)[0] == 2
+    assert ingest.read(spark, path).count() == 5 and ingest.current(spark, path).number == 2
     last = run(rows((1, "A b."), (2, "E."), (3, ""), (5, "N.")), "2024-01-04")
     assert last == [("1:0", "A b.", "2024-01-01"), ("2:0", "E.", "2024-01-01"), ("5:0", "N.", "2024-01-04")]
-    assert run(rows(), "2024-01-05") == [] and ingest.versions(spark, path).count() == 4
+    assert run(rows(), "2024-01-05") == [] and len(ingest.versions(spark, path)) == 4
+
+
+def written(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_a_run_writes_what_changed_and_two_writers_both_land(spark, tmp_path):
+    path, text = f"{tmp_path}/t", "Some words of a sentence that is long enough. "
+    docs = spark.range(2000).select(F.col("id").cast("int").alias("doc_id"), F.concat(F.lit(text), F.sha2(F.col("id").cast("string"), 512), F.lit(".")).alias("content"))
+    first = ingest.ingest(docs, path, chunkers.by_sentence, "s", "2024-01-01")
+    assert first.count() == 4000
+    whole = written(tmp_path)
+    edit = lambda what: docs.withColumn("content", F.when(F.col("doc_id").isin(what), "New text.").otherwise(F.col("content")))
+    ingest.ingest(edit([5, 6, 7]), path, chunkers.by_sentence, "s", "2024-01-02")
+    assert written(tmp_path) - whole < whole / 10
+    # both begin at the same version, and publish one after the other
+    a = ingest.prepare(edit([5, 6, 7, 8]), path, chunkers.by_sentence, "a", "2024-01-03")
+    b = ingest.prepare(edit([5, 6, 7, 9]), path, chunkers.by_sentence, "b", "2024-01-04")
+    number = ingest.current(spark, path).number
+    assert not ingest._publish(spark, path, ingest.Version(number, []))  # a number that is taken
+    assert ingest.append(spark, path, b).number == number + 1 and ingest.append(spark, path, a).number == number + 2
+    rows = {r["id"]: (r["original_content"], r["source"]) for r in ingest.read(spark, path).where("doc_id BETWEEN 4 AND 9").collect()}
+    assert sorted(rows) == ["4:0", "4:1", "5:0", "6:0", "7:0", "8:0", "9:0"] and rows["8:0"] == rows["9:0"] == ("New text.", "s")
+    for day in range(5, 12):
+        found = ingest.ingest(edit([5, 6, 7, 10 + day]).where("doc_id != 3"), path, chunkers.by_sentence, "s", f"2024-01-{day:02}")
+    assert found.count() == 2 * 1999 - 4 and len(ingest.current(spark, path).folders) <= 5
+    before = sorted(tuple(r) for r in found.select("id", "original_content").collect())
+    assert ingest.vacuum(spark, path, 1) > 3 and len(ingest.versions(spark, path)) == 1
+    assert sorted(tuple(r) for r in ingest.read(spark, path).select("id", "original_content").collect()) == before
+    assert ingest.read(spark, path, "state").count() == 1999
+
+
+@pytest.mark.parametrize("parts", [1, 16, 64, 128])
+def test_a_kept_keyword_index_of_any_parts(spark, tmp_path, parts):
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(3 + i % 9))) for i in range(80)], "doc_id int, t string")
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 5} w3") for i in range(12)], "q int, t string")
+    own = search.Postings(rows, ["doc_id"], "t")
+    own.write(f"{tmp_path}/ix", parts)
+    kept = search.Postings.read(spark, f"{tmp_path}/ix", ["doc_id"])
+    assert sorted(map(tuple, kept.top(queries, "q", "t", 5).collect())) == sorted(map(tuple, own.top(queries, "q", "t", 5).collect()))
+
+
+def test_vector_index(spark, tmp_path):
+    """Exact where all cells are asked; hot copies, nulls and zeros, queries in blocks."""
+    chance = np.random.default_rng(2)
+    centres = chance.normal(size=(8, 16))
+    vectors = [(centres[i % 8] + 0.3 * chance.normal(size=16)).tolist() for i in range(600)] + [[1.0] * 16] * 300 + [None, [0.0] * 16]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id int, v array<double>")
+    index = vector_index.VectorIndex.build(rows, f"{tmp_path}/ix", cells=8, parts=4, train_rows=400)
+    queries = rows.where("id % 20 = 0")
+    exact = search.nearest(rows, queries, 10).cache()
+    assert index.rows.count() == 902
+    whole = vector_index.VectorIndex(spark, f"{tmp_path}/ix").search(queries, 10, probes=8, rescore=902, block=7)
+    a, b = (sorted((r["query"], r["rank"], r["score"], r["id"]) for r in x.collect()) for x in (whole, exact))
+    assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], atol=2e-6)  # vectors are kept in 32 bits
+    assert vector_index.recall(whole, exact) > 0.99
+    few = index.search(queries.where("id < 600"), 10, probes=2, rescore=100)
+    assert vector_index.recall(few, exact.where("query < 600")) > 0.9 and index.share(queries.where("id < 600"), 2) < 0.6
+    assert index.search(queries.limit(0), 10).count() == 0
 
 
 def test_episodes_open_at_gaps_turns_words_and_tools(spark):
