@@ -120,6 +120,9 @@ class VectorIndex:
 
     def _found(self, held: list, queries: DataFrame, k: int, probes: int, rescore: int) -> DataFrame:
         coder, size = self.coder, self.coder.cells.shape[1]
+        if not held:
+            kinds = (f.schema["id"].dataType.simpleString() for f in (queries, self.rows))
+            return self.spark.createDataFrame([], "query {}, id {}, score double, rank int".format(*kinds))
         q = unit_matrix(pa.array([r["v"] for r in held], pa.list_(pa.float64())), size)
         asks, tables, centres = coder.probed(q, probes), coder.tables(q).astype(np.float32), (q @ coder.cells.T).astype(np.float32)
         kind, parts = self.rows.schema["id"].dataType.simpleString(), len(coder.books)

@@ -10,6 +10,7 @@ from docloom.operators import search
 from docloom.operators.chunkers import by_sentence, fixed_overlap
 from docloom.plans.chunking import _DOC_SENTENCES, _windows
 from docloom.plans.common import corpus, digest, table
+from docloom.operators.text_index import TextIndex
 from docloom.operators.vector_index import VectorIndex
 from docloom.shared import cut, fresh_path
 
@@ -85,6 +86,17 @@ def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir, K)
 
 
+def fts_weighted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kept index of two fields, added in two segments: the source's name counts twice as much as the text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("body"))
+    index = TextIndex.create(spark, fresh_path(spark, "words"), ["title", "body"], parts=8)
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    index.add(docs.where(half)).add(docs.where(~half))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat_ws(" ", "text", F.concat(F.lit("src"), F.col("item_id") % 20)).alias("text"))
+    found = index.search(asked, K, [2.0, 1.0])
+    return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
 def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.Postings(table(spark, sf_dir, "documents"), ["doc_id"], "text").match(table(spark, sf_dir, "benchmark"), "item_id", "text")
     return hits.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.sum("score").alias("score"))
@@ -189,7 +201,7 @@ _LEGS = f"{_BM25},{_semantic_sql('doc_id', 'documents', 'text')}, legs AS (SELEC
 QUERIES = {"knn_cosine": _knn("cosine"), "knn_inner_product": _knn("inner_product"), "knn_l2": _knn("l2")}
 QUERIES |= {
     f.__name__: f
-    for f in (knn_where_label, nearest_exact, ann_index, where_source, where_tags, where_metadata, where_metadata_not, where_column_in_like, fts_tokens, fts_bm25_topk, fts_match, semantic_topk, fuse_rrf, fuse_weighted, hybrid_search, fact_search, search_summary)
+    for f in (knn_where_label, nearest_exact, ann_index, where_source, where_tags, where_metadata, where_metadata_not, where_column_in_like, fts_tokens, fts_bm25_topk, fts_weighted_topk, fts_match, semantic_topk, fuse_rrf, fuse_weighted, hybrid_search, fact_search, search_summary)
 }
 SQL = {
     "knn_cosine": _knn_sql(_COSINE),
@@ -203,6 +215,15 @@ SQL = {
     "where_column_in_like": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('es', 'fr') AND source LIKE 'src1%'",
     "fts_tokens": f"SELECT doc_id, count(DISTINCT t) AS n_terms, CAST(count(*) AS BIGINT) AS n_tokens FROM (SELECT doc_id, unnest({_TOKENS}) AS t FROM documents) GROUP BY doc_id",
     "fts_bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM kw WHERE rank <= {K}",
+    "fts_weighted_topk": f"""WITH tok AS (SELECT doc_id, {_TOKENS.replace("text", "coalesce(source, '')")} AS a, {_TOKENS.replace("text", "coalesce(text, '')")} AS b FROM documents),
+st AS (SELECT count(*) AS n, avg(len(a)) AS la, avg(len(b)) AS lb FROM tok),
+tf AS (SELECT doc_id, term, sum(x) AS ta, sum(y) AS tb FROM (SELECT doc_id, unnest(a) AS term, 1 AS x, 0 AS y FROM tok UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM tok) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, unnest(list_distinct(list_filter({_TOKENS.replace("text", "text || ' src' || (item_id % 20)")}, lambda t: length(t) >= 2))) AS term FROM benchmark),
+p AS (SELECT item_id, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, 2.0::DOUBLE * ta / (0.25::DOUBLE + 0.75::DOUBLE * len(a) / la) + tb / (0.25::DOUBLE + 0.75::DOUBLE * len(b) / lb) AS said
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN tok USING (doc_id), st),
+s AS (SELECT item_id, doc_id, round(sum(idf * said / (said + 1.2::DOUBLE)), 6) AS score FROM p GROUP BY item_id, doc_id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= {K}""",
     "fts_match": f"WITH {_BM25} SELECT item_id, count(DISTINCT doc_id) AS n_docs, CAST(count(DISTINCT doc_id) AS DOUBLE) AS score FROM q JOIN tf USING (term) GROUP BY item_id",
     "semantic_topk": f"WITH {_semantic_sql('doc_id', 'documents', 'text')} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM sem WHERE rank <= {K}",
     "fuse_rrf": f"WITH {_LEGS}, r AS (SELECT *, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY item_id, leg ORDER BY score DESC, doc_id)) AS part FROM legs) SELECT item_id, doc_id, round(sum(part), 9) AS score, string_agg(leg, ',' ORDER BY leg) AS legs FROM r GROUP BY item_id, doc_id",

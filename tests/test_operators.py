@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import chunkers, evaluation, framers, graph, html, incremental, ingest, memory, search, tables, vector_index
+from docloom.operators import chunkers, evaluation, framers, graph, html, incremental, ingest, memory, search, tables, text_index, vector_index
 from docloom.plans import searching
 from docloom.sources import comments, files
 from docloom.sources.tables import together
@@ -299,6 +299,38 @@ def test_a_kept_keyword_index_of_any_parts(spark, tmp_path, parts):
     assert sorted(map(tuple, kept.top(queries, "q", "t", 5).collect())) == sorted(map(tuple, own.top(queries, "q", "t", 5).collect()))
 
 
+@pytest.mark.parametrize("parts,bucket_rows", [(1, 2), (16, 8), (5, 1024)])
+def test_text_index(spark, tmp_path, parts, bucket_rows):
+    """BM25F by dictionaries, over one segment and three, before and after they are merged."""
+    chance = np.random.default_rng(4)
+    said = [(i, " ".join(f"w{w}" for w in chance.zipf(1.4, 3) % 40), " ".join(f"w{w}" for w in chance.zipf(1.3, 5 + i % 60) % 40)) for i in range(120)] + [(200, None, None), (201, "w1", None)]
+    rows = spark.createDataFrame(said, "id int, title string, body string")
+    asked = [(i, f"w{i} w{i + 3} w2 nothing") for i in range(15)] + [(90, "unheard"), (91, None)]
+    queries = spark.createDataFrame(asked, "id int, text string")
+    index = text_index.TextIndex.create(spark, f"{tmp_path}/ix", ["title", "body"], parts, bucket_rows)
+    assert index.search(queries, 5).count() == 0
+    for i in range(3):
+        index.add(rows.where(F.col("id") % 3 == i))
+    split = [(i, [(x or "").split() for x in r]) for i, *r in said]
+    average = [sum(len(x[f]) for _, x in split) / len(split) for f in (0, 1)]
+    want = {}
+    for q, text in asked:
+        scores = {}
+        for t in set((text or "").split()):
+            df = sum(t in x[0] + x[1] for _, x in split)
+            for i, x in split:
+                if t in x[0] + x[1]:
+                    said_ = sum(w * x[f].count(t) / (0.25 + 0.75 * len(x[f]) / average[f]) for f, w in ((0, 3.0), (1, 1.0)))
+                    scores[i] = scores.get(i, 0) + np.log(1 + (len(split) - df + 0.5) / (df + 0.5)) * said_ / (said_ + 1.2)
+        best = sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5]
+        want |= {(q, n + 1): s for n, (_, s) in enumerate(best)}
+    for _ in range(2):
+        found = {(r["query"], r["rank"]): r["score"] for r in index.search(queries, 5, [3.0, 1.0]).collect()}
+        assert found.keys() == want.keys() and all(abs(found[x] - want[x]) < 2e-6 for x in want) and index.read_share <= 1
+        index.merge()
+    assert len(ingest.current(spark, f"{tmp_path}/ix").folders) == 1
+
+
 def test_vector_index(spark, tmp_path):
     """Exact where all cells are asked; hot copies, nulls and zeros, queries in blocks."""
     chance = np.random.default_rng(2)
