@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import FILLER_WORDS, normal_url, reduce_filler, slices, token_estimate
 from docloom.operators import extractors
+from docloom.operators.gazetteer import find_names
 from docloom.plans.chunking import _DOC_SENTENCES
 from docloom.plans.common import digest, table
 from docloom.plans.searching import _TOKENS
@@ -59,6 +60,14 @@ def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join("tags", "|").alias("tags"), "metadata")
 
 
+def gazetteer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names: the first two and the first three words of each benchmark item, in all documents."""
+    items = table(spark, sf_dir, "benchmark")
+    names = [items.select(F.substring_index("text", " ", n).alias("name"), F.col("item_id")) for n in (2, 3)]
+    names = names[0].unionByName(names[1]).groupBy("name").agg(F.min("item_id").alias("name_id"))
+    return find_names(_docs(spark, sf_dir), names, ["doc_id"], "text")
+
+
 def char_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(slices(F.col("text"), 1000)).alias("i", "s")).select("doc_id", "i", digest("s").alias("slice_md5"))
 
@@ -82,7 +91,7 @@ def _all(pattern: str) -> str:
 _ENTITY = "[A-Z][a-z]+(?: [A-Z][a-z]+)+"
 _LANGUAGE_COUNTS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in own)}))) AS {lang}" for lang, own in extractors.LANGUAGE_WORDS.items())
 
-QUERIES = {f.__name__: f for f in (reduce_fillers, top_terms, top_terms_tf_idf, rake_keywords, cooccurrence, language_detect, entities, report, code_summary, composite, char_slices, text_sizes, normal_urls)}
+QUERIES = {f.__name__: f for f in (reduce_fillers, top_terms, top_terms_tf_idf, rake_keywords, cooccurrence, language_detect, entities, report, code_summary, composite, gazetteer_names, char_slices, text_sizes, normal_urls)}
 SQL = {
     "reduce_fillers": rf"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]') AND regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') NOT IN ({_FILLERS})), ' ')) AS reduced_md5 FROM documents""",
     "top_terms": f"WITH {_TF} SELECT * FROM (SELECT doc_id, term, tf, CAST(tf AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS INT) AS rank FROM tf) WHERE rank <= 10",
@@ -100,6 +109,15 @@ SELECT doc_id, CASE WHEN m = 0 THEN NULL WHEN de = m THEN 'de' WHEN en = m THEN
        CASE WHEN total > 0 THEN round(m::DOUBLE / total, 6) ELSE 0.0::DOUBLE END AS confidence FROM m""",
     "entities": f"SELECT doc_id, {_all(_ENTITY)} AS entities FROM documents",
     "report": f"SELECT doc_id, {', '.join(f'{_all(p)} AS {k}' for k, p in extractors.REPORT.items())} FROM documents",
+    "gazetteer_names": r"""WITH n AS (SELECT name, min(item_id) AS name_id, length(name) AS size FROM (
+  SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS name, item_id FROM benchmark UNION ALL SELECT array_to_string(string_split(text, ' ')[1:3], ' '), item_id FROM benchmark) WHERE name <> '' GROUP BY name),
+p AS (SELECT doc_id, name_id, name, size, s, unnest(range(1, len(s))) AS i FROM (SELECT doc_id, name_id, name, size, string_split(text, name) AS s FROM documents JOIN n ON contains(text, name))),
+b AS (SELECT doc_id, name_id, size, list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * size AS pos,
+  CASE WHEN s[i] <> '' THEN right(s[i], 1) WHEN i > 1 THEN right(name, 1) ELSE '' END || left(name, 1) AS bef,
+  right(name, 1) || CASE WHEN s[i + 1] <> '' THEN left(s[i + 1], 1) WHEN i + 1 < len(s) THEN left(name, 1) ELSE '' END AS aft FROM p),
+h AS (SELECT doc_id, name_id, CAST(pos AS BIGINT) AS "start", CAST(pos + size AS BIGINT) AS "end" FROM b
+  WHERE NOT regexp_matches(bef, '^[\p{L}\p{N}]{2}$') AND NOT regexp_matches(aft, '^[\p{L}\p{N}]{2}$'))
+SELECT doc_id, name_id, "start", "end" FROM h QUALIFY "end" = max("end") OVER (PARTITION BY doc_id, "start")""",
     "char_slices": "SELECT doc_id, CAST(i AS INT) AS i, md5(substr(text, i * 1000 + 1, 1000)) AS slice_md5 FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS i FROM documents)",
     "text_sizes": "SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS tokens, sha256(text) AS content_hash FROM documents",
     "normal_urls": r"""WITH b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), h AS (SELECT page_id, u, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*') AS head FROM b)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import chunkers, evaluation, graph, html, incremental, ingest, memory, search, tables
+from docloom.operators.gazetteer import find_names
 from docloom.operators.chunkers import fixed_overlap
 from docloom.plans.common import corpus, digest, table
 from docloom.plans.chunking import _DOC_SENTENCES, _SENTENCES, _windows
@@ -214,7 +215,8 @@ def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bakeoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold: the documents whose text holds the passage."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    gold = docs.join(F.broadcast(items.withColumnRenamed("text", "passage")), F.expr("contains(text, passage)")).select("item_id", "doc_id")
+    passages = items.select(F.col("item_id").alias("name_id"), F.col("text").alias("name"))
+    gold = find_names(docs, passages, ["doc_id"], "text", borders=False, longest=False).select(F.col("name_id").alias("item_id"), "doc_id").distinct()
     return evaluation.scores(evaluation.gold_ranks(fts_bm25_topk(spark, sf_dir), gold, "item_id", "doc_id"), (1, 3, 5))
 
 

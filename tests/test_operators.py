@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import chunkers, evaluation, framers, graph, html, incremental, ingest, memory, search, tables, text_index, vector_index
+from docloom.operators import chunkers, evaluation, framers, gazetteer, graph, html, incremental, ingest, memory, search, tables, text_index, vector_index
 from docloom.plans import searching
 from docloom.sources import comments, files
 from docloom.sources.tables import together
@@ -299,6 +299,17 @@ def test_a_kept_keyword_index_of_any_parts(spark, tmp_path, parts):
     assert sorted(map(tuple, kept.top(queries, "q", "t", 5).collect())) == sorted(map(tuple, own.top(queries, "q", "t", 5).collect()))
 
 
+@pytest.mark.parametrize("block", [1, 2_000_000])
+def test_names_in_texts(spark, block):
+    names = spark.createDataFrame([(1, "New York"), (2, "York"), (3, "New York City"), (4, "é b"), (5, "York"), (6, ""), (7, None), (8, "!")], "name_id bigint, name string")
+    rows = spark.createDataFrame([(1, "In New York City, New Yorker and York."), (2, "日é b! é bc"), (3, None), (4, ""), (None, "York")], "doc_id bigint, text string")
+    found = lambda **how: sorted(map(tuple, gazetteer.find_names(rows.where("doc_id IS NOT NULL"), names, ["doc_id"], "text", block_chars=block, **how).collect()))
+    assert found() == [(1, 2, 7, 11), (1, 2, 33, 37), (1, 3, 3, 16), (1, 5, 7, 11), (1, 5, 33, 37), (2, 8, 4, 5)]
+    assert (1, 1, 18, 26) in found(borders=False) and (1, 1, 3, 11) in found(longest=False) and (2, 4, 1, 4) in found(borders=False)
+    assert gazetteer.find_names(rows, names.limit(0), ["doc_id"], "text").count() == 0
+    assert gazetteer.find_names(rows, names, ["doc_id"], "text").where("doc_id IS NULL").count() == 2
+
+
 @pytest.mark.parametrize("parts,bucket_rows", [(1, 2), (16, 8), (5, 1024)])
 def test_text_index(spark, tmp_path, parts, bucket_rows):
     """BM25F by dictionaries, over one segment and three, before and after they are merged."""
