@@ -31,6 +31,7 @@ _WIDTH = 4096
 _ROWS = 512
 _POINTS = 0x110000
 _BITS = 21
+_TIE = 1e-6
 
 
 @functools.cache
@@ -161,12 +162,12 @@ def _compared(rows: DataFrame, held: list, profiles: Profiles) -> DataFrame:
                     grams, owners = profiles.grams(batch.column("text"))
                     if len(grams):
                         vectors = profiles.vectors(grams, owners, n)
-                        # rounded, so that equal prototypes tie whatever the block
-                        cosine = np.round((vectors @ bundles.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float64), 6)
-                        best, some = cosine.argmax(1), np.zeros(n, bool)
+                        cosine = (vectors @ bundles.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float64)
+                        # cosines that differ by less than 32-bit products tell are ties, within a block and across
+                        best, some = (cosine >= cosine.max(1, keepdims=True) - _TIE).argmax(1), np.zeros(n, bool)
                         some[owners] = True
                         top = cosine[np.arange(n), best].clip(-1, 1)
-                        for i in np.flatnonzero(some & (top > score)).tolist():
+                        for i in np.flatnonzero(some & (top > score + _TIE)).tolist():
                             said[i], score[i] = names[best[i]], top[i]
                     yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(said, pa.string()), pa.array(score)], names=["row", "text", "lang_pred", "score"])
 
