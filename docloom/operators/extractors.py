@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,18 +31,32 @@ def top_terms(rows: DataFrame, key: str, text: str, k: int = 10, min_chars: int
 
 def rake(rows: DataFrame, key: str, text: str, k: int = 10, min_chars: int = 3) -> DataFrame:
     """(key, phrase, score, rank): RAKE. Phrases are runs of words between filler words, digits and punctuation; a word's score is the length of the
-    phrases that it is in by the number of its occurrences; a phrase's, the sum of its words'."""
+    phrases that it is in by the number of its occurrences; a phrase's, the sum of its words'. Of equals, the first by name. Each row is scored by
+    itself, where it is read: nothing is shuffled. Null and empty texts have no row."""
     plain = F.lower(F.regexp_replace(F.col(text), "[^\\p{L}'\\- ]+", "|"))
     # filler words become breaks, too
     marked = F.transform(F.split(F.regexp_replace(plain, "\\|", " | "), " +"), lambda w: F.when(w.isin([*FILLER_WORDS, ""]), "|").otherwise(w))
-    runs = F.filter(F.transform(F.split(F.array_join(marked, " "), "\\|"), F.trim), lambda p: p != "")
-    phrase = rows.select(key, F.explode(runs).alias("phrase")).withColumn("n", F.size(F.split("phrase", " +")))
-    phrase = phrase.groupBy(key, "phrase", "n").agg(F.count("*").alias("times"))
-    word = phrase.select(key, "phrase", "n", "times", F.explode(F.split("phrase", " +")).alias("word"))
-    score = word.groupBy(key, "word").agg((F.sum(F.col("n") * F.col("times")) / F.sum("times")).alias("s"))
-    scored = word.join(score, [key, "word"]).groupBy(key, "phrase").agg(F.round(F.sum("s"), 6).alias("score")).where(F.length("phrase") >= min_chars)
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "phrase"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    runs = F.filter(F.transform(F.split(F.array_join(marked, " "), "\\|"), lambda p: F.trim(p)), lambda p: p != "")
+    scored = rows.select(key, F.posexplode(_rake_scores(k, min_chars)(runs)).alias("at", "p"))
+    return scored.select(key, "p.phrase", "p.score", (F.col("at") + 1).alias("rank"))
+
+
+def _rake_scores(k: int, min_chars: int):
+    def best(runs) -> list[dict]:
+        length, times, said = Counter(), Counter(), {}
+        for phrase in runs if runs is not None else ():
+            said[phrase] = phrase.split(" ")
+            for word in said[phrase]:
+                length[word] += len(said[phrase])
+                times[word] += 1
+        total = ((p, math.floor(sum(length[w] / times[w] for w in words) * 1e6 + 0.5) / 1e6) for p, words in said.items() if len(p) >= min_chars)
+        return [{"phrase": p, "score": s} for p, s in heapq.nsmallest(k, total, key=lambda x: (-x[1], x[0]))]
+
+    @F.pandas_udf("array<struct<phrase: string, score: double>>")
+    def of_rows(runs: pd.Series) -> pd.Series:
+        return runs.map(best)
+
+    return of_rows
 
 
 def embedded_phrases(rows: DataFrame, key: str, text: str, k: int = 10, longest: int = 2, dimensions: int = 64) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.shared import cut
+
 
 def resolve_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges from calls (call_id, caller, callee, imports array) to symbols (fqn, name, stem) of that name. One candidate: unique_name, 0.9. Of several,
@@ -24,8 +26,8 @@ def resolve_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def impact(edges: DataFrame, anchors: DataFrame, depth: int = 3, direction: str = "callees", confidence: float = 0.7, kinds: list[str] | None = None) -> DataFrame:
     """(anchor, node, hop, confidence, evidence) of the nodes within so many hops of each anchor: the least hop, and the largest confidence
-    of the edges that lead there with its evidence. Each hop is a join of the frontier's distinct nodes with the edges, so paths that meet are not
-    walked twice for the next hop."""
+    of the edges that lead there with its evidence. Each hop joins the nodes that the one before reached first with the edges, so paths that meet
+    and cycles are walked once, and the walk ends where nothing new is found. A hop is a table: it is not computed again within the next."""
     if not 1 <= depth <= 10:
         raise ValueError("depth must be from 1 to 10")
     if direction not in ("callees", "callers"):
@@ -34,13 +36,18 @@ def impact(edges: DataFrame, anchors: DataFrame, depth: int = 3, direction: str
     usable = edges.where(F.col("confidence") >= confidence)
     usable = usable.where(F.col("kind").isin(kinds)) if kinds else usable
     usable = usable.select(F.col(near).alias("at"), F.col(far).alias("node"), "confidence", "evidence")
-    front = anchors.select("anchor", F.col("anchor").alias("at"))
-    found = None
+    front = anchors.select("anchor", F.col("anchor").alias("at")).distinct()
+    seen, found = front, None
     for hop in range(1, depth + 1):
         best = F.max(F.struct("confidence", "evidence")).alias("x")
         step = front.join(usable, "at").groupBy("anchor", "node").agg(best).withColumn("hop", F.lit(hop))
+        step = cut(step, "hop") if hop < depth else step
         found = step if found is None else found.unionByName(step)
-        front = step.select("anchor", F.col("node").alias("at"))
+        if hop < depth:
+            front = step.select("anchor", F.col("node").alias("at")).join(seen, ["anchor", "at"], "left_anti")
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
     return found.groupBy("anchor", "node").agg(F.min("hop").alias("hop"), F.max("x").alias("x")).select("anchor", "node", "hop", "x.confidence", "x.evidence")
 
 

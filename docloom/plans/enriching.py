@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import FILLER_WORDS, normal_url, reduce_filler, slices, token_estimate
-from docloom.operators import extractors
+from docloom.operators import extractors, hints
 from docloom.operators.gazetteer import find_names
 from docloom.plans.chunking import _DOC_SENTENCES
 from docloom.plans.common import digest, table
@@ -33,6 +33,11 @@ def rake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extractors.rake(_docs(spark, sf_dir), "doc_id", "text")
 
 
+def query_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that the documents use as they use those of each benchmark item."""
+    return hints.query_hints(hints.term_vectors(_docs(spark, sf_dir), "text"), table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return extractors.cooccurrence(docs, "doc_id", "text", extractors.top_terms(docs, "doc_id", "text"))
@@ -91,13 +96,37 @@ def _all(pattern: str) -> str:
 _ENTITY = "[A-Z][a-z]+(?: [A-Z][a-z]+)+"
 _LANGUAGE_COUNTS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in own)}))) AS {lang}" for lang, own in extractors.LANGUAGE_WORDS.items())
 
-QUERIES = {f.__name__: f for f in (reduce_fillers, top_terms, top_terms_tf_idf, rake_keywords, cooccurrence, language_detect, entities, report, code_summary, composite, gazetteer_names, char_slices, text_sizes, normal_urls)}
+_RANDOM = "('0x' || substr(md5(b || '#' || j), {}))::BIGINT"
+
+QUERIES = {f.__name__: f for f in (reduce_fillers, top_terms, top_terms_tf_idf, rake_keywords, query_hints, cooccurrence, language_detect, entities, report, code_summary, composite, gazetteer_names, char_slices, text_sizes, normal_urls)}
 SQL = {
     "reduce_fillers": rf"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]') AND regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') NOT IN ({_FILLERS})), ' ')) AS reduced_md5 FROM documents""",
     "top_terms": f"WITH {_TF} SELECT * FROM (SELECT doc_id, term, tf, CAST(tf AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS INT) AS rank FROM tf) WHERE rank <= 10",
     "top_terms_tf_idf": f"""WITH {_TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT doc_id, term, tf, round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df), 6) AS score FROM tf JOIN df USING (term))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS INT) AS rank FROM s) WHERE rank <= 10""",
+    "rake_keywords": rf"""WITH w AS (SELECT doc_id, regexp_split_to_array(replace(lower(regexp_replace(text, '[^\p{{L}}''\- ]+', '|', 'g')), '|', ' | '), ' +') AS w FROM documents),
+r AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(array_to_string(list_transform(w, lambda x: CASE WHEN x IN ({_FILLERS}, '') THEN '|' ELSE x END), ' '), '|'), lambda p: trim(p)), lambda p: p <> '')) AS phrase FROM w),
+p AS (SELECT doc_id, phrase, string_split(phrase, ' ') AS words, count(*) AS times FROM r GROUP BY ALL),
+o AS (SELECT doc_id, phrase, len(words) AS n, times, unnest(words) AS word FROM p),
+s AS (SELECT doc_id, word, sum(n * times)::DOUBLE / sum(times) AS s FROM o GROUP BY ALL),
+t AS (SELECT doc_id, phrase, round(sum(s), 6) AS score FROM o JOIN s USING (doc_id, word) WHERE length(phrase) >= 3 GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS INT) AS rank FROM t) WHERE rank <= 10""",
+    "query_hints": f"""WITH l AS (SELECT doc_id, list_filter({_TOKENS}, lambda x: length(x) >= 3 AND x NOT IN ({_FILLERS})) AS t FROM documents),
+n AS (SELECT doc_id, unnest(t) AS a, unnest(range(len(t))) AS i FROM l),
+o AS (SELECT a, unnest([lead(a, 1) OVER w, lead(a, 2) OVER w, lead(a, 3) OVER w, lead(a, 4) OVER w]) AS b FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM o UNION ALL SELECT b, a FROM o) WHERE a <> b GROUP BY ALL),
+m AS (SELECT a, sum(n) AS m FROM c GROUP BY a), k AS (SELECT * FROM m WHERE m >= 5),
+w AS (SELECT c.a, c.b, floor(1000 * ln(n::DOUBLE * (SELECT sum(m) FROM m) / (x.m::DOUBLE * y.m)))::BIGINT AS w FROM c JOIN k x ON c.a = x.a JOIN k y ON c.b = y.a),
+r AS (SELECT b, {_RANDOM.format("1, 8")} % 128 AS dim, CASE WHEN {_RANDOM.format("9, 1")} % 2 = 0 THEN 1 ELSE -1 END AS x FROM (SELECT DISTINCT b, unnest(range(4)) AS j FROM w)),
+v AS (SELECT a, dim, sum(w * x)::DOUBLE AS x FROM w JOIN r USING (b) WHERE w > 0 GROUP BY ALL HAVING sum(w * x) <> 0),
+u AS MATERIALIZED (SELECT a, list(coalesce(x / s, 0.0::DOUBLE) ORDER BY dim)::DOUBLE[128] AS v FROM (SELECT a, sqrt(sum(x * x)) AS s, unnest(range(128)) AS dim FROM v GROUP BY a) LEFT JOIN v USING (a, dim) GROUP BY a),
+q AS (SELECT item_id, unnest(list_distinct(list_filter({_TOKENS}, lambda x: length(x) >= 2))) AS term FROM benchmark),
+y AS MATERIALIZED (SELECT a, v FROM u WHERE a IN (SELECT term FROM q)),
+e AS (SELECT y.a AS term, u.a AS hint, round(array_inner_product(y.v, u.v), 6) AS score FROM u JOIN y ON array_inner_product(y.v, u.v) >= 0.1999 WHERE y.a <> u.a),
+f AS (SELECT * FROM e WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC, hint) <= 5),
+h AS (SELECT item_id, hint, round(sum(score), 6) AS score, count(*) AS n_terms FROM q JOIN f USING (term) GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, hint) AS INT) AS rank FROM h ANTI JOIN q ON q.item_id = h.item_id AND q.term = h.hint QUALIFY rank <= 10""",
     "cooccurrence": f"""WITH {_TF}, top AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS r FROM tf) WHERE r <= 10),
 s AS (SELECT doc_id, unnest(range(0, len(s))) AS i, unnest(s) AS text FROM (SELECT doc_id, {_DOC_SENTENCES} AS s FROM documents)),
 h AS (SELECT DISTINCT doc_id, i, term FROM (SELECT doc_id, i, unnest({_TOKENS}) AS term FROM s) JOIN top USING (doc_id, term)),

@@ -1,15 +1,20 @@
 """Small cases of the operators, with edge cases."""
 
+import hashlib
 import io
+import math
 import os
+import random
+import re
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import chunkers, evaluation, framers, gazetteer, graph, html, incremental, ingest, memory, search, tables, text_index, vector_index
+from docloom.operators import chunkers, evaluation, extractors, framers, gazetteer, graph, hints, html, incremental, ingest, memory, search, tables, text_index, vector_index
 from docloom.plans import searching
 from docloom.sources import comments, files
 from docloom.sources.tables import together
@@ -386,3 +391,73 @@ def test_staging_is_pruned_and_edges_are_upserted(spark):
     before = spark.createDataFrame([("p", "calls", "a", "b", 0.5, "old"), ("p", "calls", "a", "c", 0.9, "old")], edge)
     fresh = spark.createDataFrame([("p", "calls", "a", "b", 0.7, "x"), ("p", "calls", "a", "b", 0.9, "y")], edge)
     assert sorted((r["dst_node_id"], r["evidence"]) for r in graph.upsert_edges(before, fresh).collect()) == [("b", "y"), ("c", "old")]
+
+
+def test_hints_are_the_terms_of_like_neighbours(spark):
+    rng = random.Random(5)
+    words = [f"w{i}x" for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["the same same of w1x", "", None, "w0x w1x " * 900]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for piece in (4096, 7):
+        count = Counter()
+        for t in texts:
+            kept = [w for w in re.findall("[a-z0-9]+", t or "") if len(w) >= 3 and w not in ("the",)]
+            for i in range(len(kept)):
+                for j in range(i + 1, min(i + 3, len(kept))):
+                    if kept[i] != kept[j]:
+                        count[tuple(sorted((kept[i], kept[j])))] += 1
+        found = {(r["a"], r["b"]): r["n"] for r in hints.neighbour_counts(rows, "text", 2, piece=piece).collect()}
+        assert found == count
+    margin = Counter()
+    for (a, b), n in count.items():
+        margin[a] += n
+        margin[b] += n
+    total, vector = sum(margin.values()), {}
+    for pair, n in count.items():
+        for a, b in (pair, pair[::-1]):
+            w = math.floor(1000 * math.log(n * total / (margin[a] * margin[b])))
+            for j in range(3 if w > 0 else 0):
+                h = hashlib.md5(f"{b}#{j}".encode()).hexdigest()
+                vector.setdefault(a, [0] * 16)[int(h[:8], 16) % 16] += w * (1 if int(h[8], 16) % 2 == 0 else -1)
+    vector = {t: v for t, v in vector.items() if any(v)}
+    kept = hints.term_vectors(rows, "text", 2, 16, 3, 1).cache()
+    assert {r["term"]: r["embedding"] for r in kept.collect()} == vector and len(vector) > 5
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    asked = spark.createDataFrame([("w1x",), ("w1x",), ("unheard",), (None,)], "term string")
+    want = sorted(((-round(cosine(vector["w1x"], v), 6), t) for t, v in vector.items() if t != "w1x" and cosine(vector["w1x"], v) >= 0), key=lambda x: x)[:3]
+    assert [(r["term"], -r["score"], r["hint"]) for r in hints.expansions(kept, asked, 3, 0.0).orderBy("rank").collect()] == [("w1x", *x) for x in want]
+    queries = spark.createDataFrame([(1, "W1x, w2x"), (2, "unheard"), (3, None)], "q int, text string")
+    out = hints.query_hints(kept, queries, "q", "text", floor=0.0).collect()
+    assert {r["q"] for r in out} == {1} and not {r["hint"] for r in out} & {"w1x", "w2x"}
+    assert hints.query_hints(hints.term_vectors(rows.limit(0), "text"), queries, "q", "text").count() == 0
+
+
+def test_walks_take_the_least_hop_round_cycles(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(14), rng.randrange(14), rng.randrange(1, 9) / 10, f"e{i}", "calls") for i in range(40)] + [(0, 0, 0.9, "loop", "calls")]
+    rows = spark.createDataFrame(edges, "src int, dst int, confidence double, evidence string, kind string")
+    anchors = [0, 0, 5, 99]
+    want = {}
+    for a in set(anchors):
+        front, seen = {a}, {a}
+        for hop in range(1, 6):
+            reached = set()
+            for src, dst, c, e, _ in edges:
+                if src in front and c >= 0.3:
+                    old = want.get((a, dst))
+                    want[a, dst] = (old[0] if old else hop, max(old[1] if old else (0, ""), (c, e)))
+                    reached.add(dst)
+            front = reached - seen
+            seen |= front
+    found = graph.impact(rows, spark.createDataFrame([(a,) for a in anchors], "anchor int"), 5, "callees", 0.3)
+    assert {(r["anchor"], r["node"]): (r["hop"], (r["confidence"], r["evidence"])) for r in found.collect()} == want and want
+
+
+def test_rake_scores_each_row_by_itself(spark):
+    rows = spark.createDataFrame([(1, "Deep learning of deep nets; learning, deep learning"), (2, None), (3, ""), (4, "of the")], "id int, text string")
+    found = [(r["id"], r["rank"], r["phrase"], r["score"]) for r in extractors.rake(rows, "id", "text").orderBy("id", "rank").collect()]
+    # deep: 3 times in phrases of 2; learning: 2 times of 2 and once of 1; nets: once of 2
+    assert found == [(1, 1, "deep nets", 4.0), (1, 2, "deep learning", 3.666667), (1, 3, "learning", 1.666667)]
