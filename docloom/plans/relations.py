@@ -202,6 +202,25 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: streams.sessions(s, "ts", "user_id", "2 hours"))
 
 
+def stream_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries of seven and a half days each; every tenth event comes with the one after its own."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    own = F.least(F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / 648000), F.lit(3))
+    dealt = events.withColumn("delivery", own + (F.col("event_id") % 10 == 0).cast("int"))
+    base = fresh_path(spark, "deliveries")
+    for n in range(5):
+        dealt.where(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", dealt.rdd.getNumPartitions()).parquet(f"{base}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+    revisions = streams.revised_sessions(stream, "ts", "user_id", "2 hours", "31 days")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STATE_STORE)
+    try:
+        streams.run_available(revisions, f"{base}/out", f"{base}/state")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return streams.latest_sessions(spark.read.schema(revisions.schema).parquet(f"{base}/out"), "user_id")
+
+
 def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of sentences brought up to two states of the corpus: in the second, documents are gone, new, changed and the same."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
@@ -257,7 +276,7 @@ QUERIES |= {
     f.__name__: f
     for f in (
         src_table_where, src_json_corpus, src_html_text, src_html_title_links, crawl, impact_of_kind, resolve_names, upsert_write_once, delete_orphans, compact_latest, delete_documents, foreign_sources, promote_metadata, documents_rollup, stage_dedup,
-        session_docs, due_sessions, extracted_facts, superseded_facts, rebuilt_sessions, read_consolidated, confidence_floor, cursor_changes, prune_deleted, keyset_after, high_water, watermark_window, stream_dedup, stream_windows, stream_sessions, ingest_twice, bakeoff_scores, leaderboard, eval_plan,
+        session_docs, due_sessions, extracted_facts, superseded_facts, rebuilt_sessions, read_consolidated, confidence_floor, cursor_changes, prune_deleted, keyset_after, high_water, watermark_window, stream_dedup, stream_windows, stream_sessions, stream_late_sessions, ingest_twice, bakeoff_scores, leaderboard, eval_plan,
     )
 }
 _FACT_SENTENCES = r"list_filter(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(^|\n)\[[^\]\n]*\][ ]*', '\1', 'g'), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 4)"
@@ -314,6 +333,9 @@ SELECT "start", "start" + INTERVAL 6 HOUR AS "end", event_type, n, total FROM w
 e AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
 s AS (SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n_events FROM e GROUP BY user_id, k)
 SELECT * FROM s WHERE "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    "stream_late_sessions": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+e AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS "start", max(ts) AS "last", count(*) AS n_events FROM e GROUP BY user_id, k""",
     "bakeoff_scores": f"""WITH {_BM25}, g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 h AS (SELECT g.item_id, min(rank) AS r FROM g LEFT JOIN (SELECT * FROM kw WHERE rank <= {K}) k USING (item_id, doc_id) GROUP BY g.item_id)
 SELECT count(*) AS n_queries, {', '.join(f"round(avg(coalesce(r <= {k}, false)::INT::DOUBLE), 6) AS recall_{k}" for k in (1, 3, 5))}, {', '.join(f"round(avg(CASE WHEN r <= {k} THEN 1 / log2(r + 1) ELSE 0.0::DOUBLE END), 6) AS ndcg_{k}" for k in (1, 3, 5))}, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM h""",

@@ -1,9 +1,16 @@
-"""Streams of events: duplicates, windows and sessions, with watermarks."""
+"""Streams of events: duplicates, windows, sessions and their revisions, with watermarks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: The state store that timers and maps of state need; to be set as spark.sql.streaming.stateStore.providerClass.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_events(spark: SparkSession, path: str, schema, ts: str = "ts") -> DataFrame:
@@ -36,3 +43,73 @@ def rebuild_sessions(stream: DataFrame, session: str, checkpoint: str, rebuild)
     """For each batch, calls rebuild(sessions, epoch) with the distinct sessions that got events, late ones included."""
     call = lambda batch, epoch: rebuild(batch.select(session).distinct(), epoch)
     stream.writeStream.foreachBatch(call).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class _OpenSessions(StatefulProcessor):
+    """State of a key: its open sessions (first: last, n), each with a timer for when the watermark passes its gap, and a count of revisions."""
+
+    def __init__(self, by: str, gap_us: int):
+        self.by, self.gap = by, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "first bigint", "last bigint, n bigint")
+        self.revision = handle.getValueState("revision", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        now = dict(before)
+        for pdf in rows:
+            counts = pdf["us"].value_counts()
+            spans = sorted([(first, last, n) for first, (last, n) in now.items()] + [(int(at), int(at), int(n)) for at, n in counts.items()])
+            now, first = {}, None
+            for start, last, n in spans:
+                if first is not None and start < now[first][0] + self.gap:
+                    now[first] = (max(now[first][0], last), now[first][1] + n)
+                else:
+                    first = start
+                    now[first] = (last, n)
+        revision = (self.revision.get()[0] if self.revision.exists() else 0) + 1
+        self.revision.update((revision,))
+        out = [(key[0], first, *now.get(first, (first, 0)), revision) for first in sorted({*before, *now}) if before.get(first) != now.get(first)]
+        for _, first, last, n, _ in out:
+            if n:
+                self.open.updateValue((first,), (last, n))
+                self.handle.registerTimer((last + self.gap) // 1000 + 1)
+            else:
+                self.open.removeKey((first,))
+        if out:
+            yield pd.DataFrame(out, columns=[self.by, "first_us", "last_us", "n_events", "revision"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [(k[0], v[0]) for k, v in self.open.iterator()]
+        for first, last in held:
+            if last + self.gap <= passed:
+                self.open.removeKey((first,))
+        # a session with an earlier revision's start cannot come again: its events would be dropped as late
+        if all(last + self.gap <= passed for _, last in held):
+            self.revision.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def revised_sessions(events: DataFrame, ts: str, by: str, gap: str, late: str = "1 hour") -> DataFrame:
+    """Sessions as they grow: (by, start, last, n_events, revision) for each session that a batch changed. A late event, up to `late` behind the
+    newest, extends a session or joins two: the joined one comes with a higher revision, and the one that it took in with n_events = 0.
+    :func:`latest_sessions` keeps what holds. State is that of sessions whose gap the watermark has not passed; the events of a batch are taken in
+    as they stream by, so a key with many is never held whole. Events without a time are left out. Needs :data:`STATE_STORE`."""
+    kind = events.schema[by].dataType.simpleString()
+    gap_us = events.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {gap})").head()[0]
+    asked = events.where(F.col(ts).isNotNull()).select(F.col(by).alias("k"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).withWatermark("ts", late)
+    schema = f"{by} {kind}, first_us bigint, last_us bigint, n_events bigint, revision bigint"
+    found = asked.groupBy("k").transformWithStateInPandas(_OpenSessions(by, gap_us), schema, "Append", "EventTime")
+    return found.select(by, F.timestamp_micros("first_us").alias("start"), F.timestamp_micros("last_us").alias("last"), "n_events", "revision")
+
+
+def latest_sessions(revisions: DataFrame, by: str) -> DataFrame:
+    """(by, start, last, n_events): of each session the last revision; those that were taken in by others are gone."""
+    newest = revisions.groupBy(by, "start").agg(F.max_by(F.struct("last", "n_events"), "revision").alias("x"))
+    return newest.select(by, "start", "x.*").where("n_events > 0")

@@ -18,6 +18,7 @@ from docloom.operators import chunkers, evaluation, extractors, framers, gazette
 from docloom.plans import searching
 from docloom.sources import comments, files
 from docloom.sources.tables import together
+from docloom.streaming import events as streams
 
 
 def docs(spark, *contents):
@@ -461,3 +462,26 @@ def test_rake_scores_each_row_by_itself(spark):
     found = [(r["id"], r["rank"], r["phrase"], r["score"]) for r in extractors.rake(rows, "id", "text").orderBy("id", "rank").collect()]
     # deep: 3 times in phrases of 2; learning: 2 times of 2 and once of 1; nets: once of 2
     assert found == [(1, 1, "deep nets", 4.0), (1, 2, "deep learning", 3.666667), (1, 3, "learning", 1.666667)]
+
+
+def test_late_events_revise_sessions(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STATE_STORE)
+    schema = "who string, at timestamp, n int"
+
+    def deliver(*events):
+        rows = spark.createDataFrame([(who, at and f"2024-01-01 {at}", 0) for who, at in events], "who string, at string, n int").withColumn("at", F.col("at").cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streams.revised_sessions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "at", "who", "2 hours", "4 hours")
+        streams.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+        kept = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+        held = [(r["who"], f"{r['start']:%H:%M}", f"{r['last']:%H:%M}", r["n_events"]) for r in streams.latest_sessions(kept, "who").collect()]
+        return sorted(held, key=str)
+
+    first = deliver(("a", "03:00:00"), ("a", "00:00:00"), ("a", "00:30:00"), ("b", "01:00:00"), ("b", "01:00:00"), ("a", None), (None, "02:00:00"))
+    assert first == [("a", "00:00", "00:30", 2), ("a", "03:00", "03:00", 1), ("b", "01:00", "01:00", 2), (None, "02:00", "02:00", 1)]
+    # one that is late joins two sessions, one of another day's hours opens a new one
+    second = deliver(("a", "01:45:00"), ("b", "09:00:00"))
+    assert [x for x in second if x[0] in ("a", "b")] == [("a", "00:00", "03:00", 4), ("b", "01:00", "01:00", 2), ("b", "09:00", "09:00", 1)]
+    # the watermark is at 05:00: what is older is dropped, closed sessions stay as they were
+    third = deliver(("a", "04:30:00"), ("b", "07:30:00"))
+    assert [x for x in third if x[0] in ("a", "b")] == [("a", "00:00", "03:00", 4), ("b", "01:00", "01:00", 2), ("b", "07:30", "09:00", 2)]
