@@ -43,11 +43,12 @@ def term_vectors(rows: DataFrame, text: str, window: int = 4, dimensions: int =
     random = F.array(*[F.struct(bucket(entry(j), dimensions).alias("dim"), sign(entry(j)).cast("long").alias("x")) for j in range(nonzero)])
     weighed = both.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("m").alias("mb"), random.alias("random")), "b").crossJoin(F.broadcast(total))
     w = F.floor(1000 * F.log(F.col("n").cast("double") * F.col("total") / (F.col("m").cast("double") * F.col("mb"))))
-    parts = weighed.select("a", "m", "random", w.alias("w")).where("w > 0").select("a", "m", "w", F.explode("random").alias("r"))
+    # shuffled once, a row for each pair; the sums need no other exchange
+    parts = weighed.select("a", "m", "random", w.alias("w")).where("w > 0").repartition("a").select("a", "m", "w", F.explode("random").alias("r"))
     cells = parts.groupBy("a", "m", "r.dim").agg(F.sum(F.col("w") * F.col("r.x")).alias("x")).where("x != 0")
     listed = cells.groupBy("a", "m").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("c"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0)).cast("double"))
-    return listed.select(F.col("a").alias("term"), "m", vector.alias("embedding"))
+    return cut(listed.select(F.col("a").alias("term"), "m", vector.alias("embedding")), "term_vectors")
 
 
 def expansions(vectors: DataFrame, asked: DataFrame, k: int = 5, floor: float = 0.2) -> DataFrame:
