@@ -75,9 +75,12 @@ def language_of_content(content: Column, least: int = 3, margin: int = 2, longes
     found = F.array_distinct(F.regexp_extract_all(content, F.lit(every), F.lit(1)))
     first = F.regexp_extract(content, r"^\s*(#![^\r\n]*)", 1)
 
+    def begins(pattern: str):
+        return lambda s: s.rlike(f"(?md)^(?:{pattern})")
+
     def pick(x: Column) -> Column:
         def weight(*names: str) -> Column:
-            marks = [F.when(F.exists(x, lambda s, p=p: s.rlike(f"(?md)^(?:{p})")), w).otherwise(0) for name, w, p in MARKERS if name in names]
+            marks = [F.when(F.exists(x, begins(p)), w).otherwise(0) for name, w, p in MARKERS if name in names]
             return sum(marks[1:], marks[0])
 
         def entry(name: str, of: Column) -> Column:
