@@ -60,7 +60,7 @@ x AS (SELECT 'ns::' || doc_id || '::' || (row_number() OVER (PARTITION BY doc_id
   min(f) FILTER (NOT late) OVER (PARTITION BY user_id, event_type ORDER BY f RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS known FROM e)
 SELECT id, effective_from, effective_to, effective_to IS NOT NULL AS retracted, CAST(CASE WHEN effective_to IS NULL THEN 0 WHEN known IS NOT NULL AND NOT late THEN 1 ELSE 2 END AS INT) AS retracted_day FROM x""",
     "memory_records": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
-n AS (SELECT conv_id, unnest([role, md5(text)]) AS name, unnest([2 * k, 2 * k + 1]) AS at FROM t WHERE role <> '' AND text IS NOT NULL), f AS (SELECT conv_id, name, min(at) AS at FROM n GROUP BY ALL), g AS (SELECT conv_id, string_agg(name, ' ' ORDER BY at) AS entities FROM f GROUP BY conv_id)
+n AS (SELECT conv_id, unnest([role, md5(text)]) AS name, unnest([2 * k, 2 * k + 1]) AS pos FROM t WHERE role <> '' AND text IS NOT NULL), f AS (SELECT conv_id, name, min(pos) AS pos FROM n GROUP BY ALL), g AS (SELECT conv_id, string_agg(name, ' ' ORDER BY pos) AS entities FROM f GROUP BY conv_id)
 SELECT 'memory:chat:' || conv_id AS source_id, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY k)) AS text_md5, CAST(count(*) AS INT) AS n_chunks, CAST(count(*) FILTER (role <> '' AND text IS NOT NULL) AS INT) AS n_relationships, coalesce(any_value(entities), '') AS entities
 FROM t LEFT JOIN g USING (conv_id) GROUP BY conv_id""",
 }
