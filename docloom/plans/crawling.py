@@ -9,6 +9,7 @@ from docloom.operators import frontier, html
 from docloom.operators.code_language import LANGUAGES, MARKERS, language_of_content
 from docloom.plans.common import table
 from docloom.plans.relations import _LINKS
+from docloom.shared import cut
 
 DEPTH, PER_SITE = 4, 100
 #: Robots texts by the length of a site's name: the texts, and their rules for this crawl, (allow, bytes, pattern), as SQL is told them.
@@ -30,7 +31,8 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.join(pages.select("page_id", F.col("url").alias("to")), "page_id").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("j", "to"))).alias("to"))
     told = pages.select("page_id", "url", F.when(F.length("html") % 11 == 0, 404).otherwise(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), F.md5(F.col("html").cast("binary")).alias("etag"))
     told = told.join(out, F.col("page_id") == F.col("at"), "left").select("url", "status", "content_type", "etag", F.coalesce("to.to", F.array().cast("array<string>")).alias("links"))
-    responses = told.groupBy("url").agg(F.min(F.struct("status", "content_type", "etag", "links")).alias("r")).select("url", "r.*")
+    # a table: the pages are read and their links told once, not at each depth
+    responses = cut(told.groupBy("url").agg(F.min(F.struct("status", "content_type", "etag", "links")).alias("r")).select("url", "r.*"), "responses")
     sites = pages.select(frontier.site("url").alias("site")).where("site != ''").distinct()
     text = F.array(*[F.lit(t) for t, _ in _ROBOTS])[F.length("site") % len(_ROBOTS)]
     kept = responses.select("url", F.when(F.length("url") % 2 == 0, F.col("etag")).otherwise("old").alias("etag"), F.slice("links", 1, 2).alias("links"))
