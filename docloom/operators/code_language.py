@@ -22,7 +22,7 @@ MARKERS = (
     ("java", 3, r"^[ \t]*package[ \t]+[\w.]+[ \t]*;"),
     ("go", 3, r"^package[ \t]+\w+[ \t]*$"),
     ("go", 3, r"^func[ \t]+(?:\([^)\n]*\)[ \t]*)?\w+\("),
-    ("go", 2, r"\w[ \t]*:=[ \t]"),
+    ("go", 2, r":=[ \t]"),
     ("go", 2, r"^type[ \t]+\w+[ \t]+(?:struct|interface)\b"),
     ("go", 1, r"\bfmt\.[A-Z]"),
     ("rust", 3, r"\bfn[ \t]+\w+[ \t]*[<(]"),
@@ -64,6 +64,17 @@ INTERPRETERS = {"python": "python", "node": "javascript", "ruby": "ruby"}
 LANGUAGES = ("c", "cpp", "csharp", "go", "java", "javascript", "python", "ruby", "rust", "typescript")
 
 
+def _alternatives() -> str:
+    """All markers as one pattern, sorted by where they can begin, so that most places of a text are passed by after three looks: at lines' beginnings, with
+    or without indentation, at the first letters of words, and at signs."""
+    heads = {"^[ \\t]*": "^[ \\t]*", "^": "^", "\\b": "\\b(?=[A-Za-z])", "": ""}
+    groups: dict[str, list[str]] = {head: [] for head in heads}
+    for _, _, pattern in MARKERS:
+        head = next(h for h in heads if pattern.startswith(h))
+        groups[head].append(pattern.removeprefix(head))
+    return "|".join(f"{heads[head]}(?:{'|'.join(rest)})" for head, rest in groups.items())
+
+
 def language_of_content(content: Column, least: int = 3, margin: int = 2, longest_line: int = 2000) -> Column:
     """The language that a text is written in, else null: the first line's interpreter, or the language whose markers weigh most, each counted once,
     where that is `least` or more and `margin` more than the next. Null, too, for texts that say they are generated and those with a line of more
@@ -71,7 +82,7 @@ def language_of_content(content: Column, least: int = 3, margin: int = 2, longes
 
     The whole text is gone through once, by one pattern of all markers that takes no text, so that they may overlap. What it finds, each once, is short:
     that is told apart by the single patterns."""
-    every = "(?md)(?=(" + "|".join(pattern for _, _, pattern in MARKERS) + "))"
+    every = f"(?md)(?=({_alternatives()}))"
     found = F.array_distinct(F.regexp_extract_all(content, F.lit(every), F.lit(1)))
     first = F.regexp_extract(content, r"^\s*(#![^\r\n]*)", 1)
 
