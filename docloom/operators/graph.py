@@ -12,16 +12,42 @@ from docloom.shared import cut
 def resolve_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges from calls (call_id, caller, callee, imports array) to symbols (fqn, name, stem) of that name. One candidate: unique_name, 0.9. Of several,
     exactly one in an imported file: import_resolved, 0.9; else all of them: ambiguous_name, 0.5. None: no edge."""
-    pairs = calls.join(symbols, F.col("callee") == F.col("name"))
+    low = lambda s: F.lower(s)
+    known = symbols.where("name IS NOT NULL")
+    names = known.groupBy(F.col("name").alias("callee")).agg(F.count("*").alias("n"), F.count("stem").alias("n_stems"))
+    files = known.where("stem IS NOT NULL").groupBy(F.col("name").alias("callee"), low(F.col("stem")).alias("file")).agg(F.count("*").alias("m"))
+    asked = calls.join(names, "callee")
+    # a null among the imports leaves open whether a file is one of them
+    open_ = F.exists("imports", lambda s: s.isNull())
+    each = asked.select("call_id", "caller", "callee", "n", "n_stems", open_.alias("open"), F.posexplode_outer(F.array_distinct(F.filter(F.transform("imports", low), lambda s: s.isNotNull()))).alias("at", "file"), F.col("imports").isNotNull().alias("told"))
+    each = each.join(files, ["callee", "file"], "left").withColumn("first", F.coalesce(F.col("at"), F.lit(0)) == 0)
+    # candidates are counted, not listed
     w = W.partitionBy("call_id")
-    pairs = pairs.withColumn("n", F.count("*").over(w)).withColumn("imported", F.array_contains(F.transform("imports", F.lower), F.lower("stem")))
-    pairs = pairs.withColumn("n_imported", F.sum(F.col("imported").cast("int")).over(w))
-    pairs = pairs.where((F.col("n") == 1) | (F.col("n_imported") != 1) | F.col("imported"))
-    how = F.when(F.col("n") == 1, "unique_name").when(F.col("n_imported") == 1, "import_resolved").otherwise("ambiguous_name")
-    edges = pairs.select("call_id", F.col("caller").alias("src"), F.col("fqn").alias("dst"), how.alias("resolution"))
-    edges = edges.withColumn("confidence", F.when(F.col("resolution") == "ambiguous_name", 0.5).otherwise(0.9))
-    first = F.row_number().over(W.partitionBy("src", "dst").orderBy("call_id", F.desc("confidence")))
-    return edges.withColumn("r", first).where("r = 1").drop("r", "call_id")
+    told = F.max((F.col("told") & ~F.col("open") & (F.col("n_stems") > 0)) | F.col("m").isNotNull()).over(w)
+    each = each.select("*", F.sum(F.when(F.col("first"), F.col("n"))).over(w).alias("all"), F.coalesce(F.sum("m").over(w), F.lit(0)).alias("imported"), told.alias("sure"))
+    how = F.when(F.col("all") == 1, "unique_name").when(F.col("imported") == 1, "import_resolved").otherwise("ambiguous_name")
+    each = each.withColumn("resolution", how).where(F.when(F.col("resolution") == "import_resolved", F.col("m") == 1).otherwise(F.col("first") & ((F.col("all") == 1) | F.col("sure"))))
+    # calls of one caller with the same candidates make one edge each, that of the first call
+    file = F.when(F.col("resolution") == "import_resolved", F.col("file"))
+    first = each.groupBy("caller", "callee", file.alias("file"), "resolution").agg(F.min(F.struct("call_id")).alias("call"))
+    first = cut(first.withColumn("confidence", F.when(F.col("resolution") == "ambiguous_name", 0.5).otherwise(0.9)), "calls")
+    whole, of_file = first.where("file IS NULL"), first.where("file IS NOT NULL")
+    sides = known.select(F.col("name").alias("callee"), "fqn", low(F.col("stem")).alias("file"))
+    found = _dealt(whole, sides.select("callee", "fqn"), names.select("callee", "n")).select("caller", "fqn", "call", "confidence", "resolution")
+    found = found.unionByName(of_file.join(sides, ["callee", "file"]).select("caller", "fqn", "call", "confidence", "resolution"))
+    best = F.min(F.struct("call", (-F.col("confidence")).alias("rest"), "confidence", "resolution")).alias("x")
+    return found.groupBy(F.col("caller").alias("src"), F.col("fqn").alias("dst")).agg(best).select("src", "dst", "x.resolution", "x.confidence")
+
+
+def _dealt(calls: DataFrame, symbols: DataFrame, names: DataFrame, block: int = 1024) -> DataFrame:
+    """calls joined with symbols by callee. A name of many calls and many symbols is a grid of blocks of about `block` by `block`, not one task."""
+    counts = names.join(calls.groupBy("callee").agg(F.count("*").alias("k")), "callee")
+    grid = counts.select("callee", F.ceil(F.col("k") / block).cast("int").alias("ks"), F.ceil(F.col("n") / block).cast("int").alias("ns"))
+    at = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = calls.join(grid, "callee").withColumn("kb", at("caller", "ks")).withColumn("nb", every("ns")).drop("ks", "ns")
+    right = symbols.join(grid, "callee").withColumn("nb", at("fqn", "ns")).withColumn("kb", every("ks")).drop("ks", "ns")
+    return left.join(right, ["callee", "kb", "nb"])
 
 
 def impact(edges: DataFrame, anchors: DataFrame, depth: int = 3, direction: str = "callees", confidence: float = 0.7, kinds: list[str] | None = None) -> DataFrame:

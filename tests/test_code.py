@@ -1,6 +1,7 @@
 """Symbols, comments, phrases, summaries, links and files of more kinds, with edge cases."""
 
 import io
+import random
 import zipfile
 from urllib.parse import urljoin
 
@@ -168,3 +169,24 @@ def test_sheets_keep_blank_cells_and_bombs_are_not_read(monkeypatch):
     assert files.parse(zipped(content=ods), "ods")[0] == "a\t\t\tb\tb"
     monkeypatch.setattr(files, "MOST_INFLATED", 100)
     assert files.parse(zipped(content=ods), "ods")[2] == "ValueError: too large when inflated"
+
+
+def test_resolve_names_counts_candidates_and_lists_no_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    symbols = [(f"s{i % 50}", f"n{rng.choice([0, 0, 0, *range(8)])}", rng.choice(["A", "b", "C", None])) for i in range(60)]
+    calls = [(rng.randrange(60), f"c{rng.randrange(4)}", f"n{rng.randrange(10)}", rng.choice([None, [], ["a", "A"], ["B", None], ["c", "x"], [None]])) for _ in range(70)]
+    pairs = [(i, c, f, None if imports is None or stem is None else True if stem.lower() in [x.lower() for x in imports if x] else None if None in imports else False) for i, c, e, imports in calls for f, n, stem in symbols if n == e]
+    want = {}
+    for i, c, f, imported in pairs:
+        own = [p[3] for p in pairs if p[0] == i]
+        m = None if all(x is None for x in own) else sum(x is True for x in own)
+        if len(own) == 1 or m is not None and m != 1 or imported:
+            how = ("unique_name", 0.9) if len(own) == 1 else ("import_resolved", 0.9) if m == 1 else ("ambiguous_name", 0.5)
+            want[c, f] = min(want.get((c, f), (i, -how[1], how)), (i, -how[1], how))
+    asked = []
+    dealt = graph._dealt
+    monkeypatch.setattr(graph, "_dealt", lambda calls, *a: asked.append(calls.count()) or dealt(calls, *a, 2))
+    frames = spark.createDataFrame(calls, "call_id int, caller string, callee string, imports array<string>"), spark.createDataFrame(symbols, "fqn string, name string, stem string")
+    found = graph.resolve_names(*frames).collect()
+    assert {(r["src"], r["dst"]): (r["resolution"], r["confidence"]) for r in found} == {k: v[2] for k, v in want.items()} and len(found) == len(want)
+    assert {v[2][0] for v in want.values()} >= {"import_resolved", "ambiguous_name"} and asked[0] <= 4 * 10 * 2 < len(pairs)
