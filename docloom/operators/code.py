@@ -1,17 +1,19 @@
 """Source code of ten languages as symbols, calls and base classes.
 
 Definitions are told by a pattern for each language, and where they end by indentation; there is no parser, so code whose indentation
-does not follow its nesting is told wrongly. Lines stream by, sorted, with a stack of the open definitions as the only state."""
+does not follow its nesting is told wrongly. Lines stream by where their file is read; what is held is one file and a stack of its open definitions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions.text import node_id, qualified_name
 from docloom.operators import graph
-from docloom.operators.fold import fold
 
 #: Extensions of the languages.
 EXTENSIONS = {
@@ -57,22 +59,56 @@ def _by_language(of) -> Column:
     return out
 
 
-def _open_definitions():
+def _around(indent: list[int], name: list[str], blank: list[bool], bracket: list[bool], closes: list[bool]) -> Iterator[int]:
     """For each line, in order, the line of the innermost definition that it is in; of a line that defines, of the one around it; else -1."""
     stack: list[tuple[int, int]] = []
-
-    def step(row) -> int:
-        if not row.blank:
-            while stack and row.indent <= stack[-1][0] and not (row.bracket and row.indent == stack[-1][0]):
+    for line, (deep, said, empty, inner, end) in enumerate(zip(indent, name, blank, bracket, closes, strict=True)):
+        if not empty:
+            while stack and deep <= stack[-1][0] and not (inner and deep == stack[-1][0]):
                 stack.pop()
-        at = stack[-1][1] if stack else -1
-        if row.name:
-            stack.append((row.indent, row.line))
-        elif row.closes and stack and row.indent == stack[-1][0]:
+        yield stack[-1][1] if stack else -1
+        if said:
+            stack.append((deep, line))
+        elif end and stack and deep == stack[-1][0]:
             stack.pop()
-        return at
 
-    return step
+
+_LINE = ["text", "kind", "name", "indent", "blank", "bracket", "closes"]
+
+
+def _definitions(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of files, each file's in order from line 0, as rows of their definitions. What is held is one file."""
+
+    def rows(file: dict[str, list]) -> list[dict]:
+        around, own = list(_around(*[file[c] for c in ("indent", "name", "blank", "bracket", "closes")])), {}
+        for line, at in enumerate(around):
+            own.setdefault(line if file["name"][line] else at, []).append(line)
+        out = []
+        for at, lines in sorted(own.items()):
+            text = "\n".join(file["text"][i] for i in lines)
+            if not text.strip(" \t\n\x0b\f\r"):
+                continue
+            written, known = [i for i in lines if not file["blank"][i]], at >= 0
+            scope = file["name"][around[at]] if known and around[at] >= 0 else None
+            out.append({"seq_num": len(out), "kind": file["kind"][at] if known else None, "name": file["name"][at] if known else None, "scope": scope, "first": written[0], "last": written[-1], "text": text})
+        return [x | {"source_path": file["path"], "language": file["language"]} for x in out]
+
+    file, found = None, []
+    for batch in of:
+        column = {c: batch.column(c).to_pylist() for c in _LINE}
+        starts = np.flatnonzero(batch.column("line").to_numpy() == 0).tolist()
+        end = starts[0] if starts else len(batch)
+        for c in _LINE if end else ():  # the file goes on
+            file[c] += column[c][:end]
+        for lo, hi in zip(starts, [*starts, len(batch)][1:], strict=True):
+            found += rows(file) if file else []
+            file = {c: column[c][lo:hi] for c in _LINE} | {"path": batch.column("source_path")[lo].as_py(), "language": batch.column("language")[lo].as_py()}
+        yield pa.RecordBatch.from_pylist(found, _FOUND)
+        found = []
+    yield pa.RecordBatch.from_pylist(rows(file) if file else [], _FOUND)
+
+
+_FOUND = pa.schema([("source_path", pa.string()), ("language", pa.string()), ("seq_num", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("scope", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.string())])
 
 
 def symbols(files: DataFrame, path: str = "source_path", content: str = "content") -> DataFrame:
@@ -93,27 +129,20 @@ def symbols(files: DataFrame, path: str = "source_path", content: str = "content
         text.rlike(r"^\s*(?:[{})\]]|end\b)").alias("bracket"),
         text.rlike(r"^\s*(?:\}|end\b)").alias("closes"),
     )
-    lines = fold(lines, ["source_path"], ["line"], _open_definitions, "around")
-    lines = lines.withColumn("own", F.when(F.col("name") != "", F.col("line")).otherwise(F.col("around")))
-    said = F.sort_array(F.collect_list(F.struct("line", "text")))
-    written = F.when(~F.col("blank"), F.col("line"))
-    head = F.min(F.when(F.col("name") != "", F.struct("kind", "name", "around"))).alias("head")
-    found = lines.groupBy("source_path", "language", "own").agg(head, F.min(written).alias("first"), F.max(written).alias("last"), said.alias("lines"))
-    found = found.withColumn("text", F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), "^\\n+|\\s+$", "")).where("text != ''")
-    outer = found.where("head is not null").select("source_path", F.col("own").alias("around"), F.col("head.name").alias("scope"))
-    found = found.withColumn("around", F.col("head.around")).join(outer, ["source_path", "around"], "left")
-    named = F.concat_ws(".", "scope", "head.name")
+    # a file's lines follow each other where the file was read: nothing is shuffled or sorted
+    found = lines.mapInArrow(_definitions, "source_path string, language string, seq_num int, kind string, name string, scope string, first int, last int, text string")
+    named = F.concat_ws(".", "scope", "name")
     return found.select(
         "source_path",
         "language",
-        (F.row_number().over(W.partitionBy("source_path").orderBy("own")) - 1).alias("seq_num"),
-        F.coalesce("head.kind", F.lit("module")).alias("kind"),
-        F.col("head.name").alias("name"),
+        "seq_num",
+        F.coalesce("kind", F.lit("module")).alias("kind"),
+        "name",
         "scope",
-        F.when(F.col("head").isNotNull(), qualified_name(F.col("source_path"), named)).alias("fqn"),
+        F.when(F.col("name").isNotNull(), qualified_name(F.col("source_path"), named)).alias("fqn"),
         (F.col("first") + 1).alias("first_line"),
         (F.col("last") + 1).alias("last_line"),
-        "text",
+        F.regexp_replace("text", "^\\n+|\\s+$", "").alias("text"),
     )
 
 

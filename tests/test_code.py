@@ -190,3 +190,13 @@ def test_resolve_names_counts_candidates_and_lists_no_pairs(spark, monkeypatch):
     found = graph.resolve_names(*frames).collect()
     assert {(r["src"], r["dst"]): (r["resolution"], r["confidence"]) for r in found} == {k: v[2] for k, v in want.items()} and len(found) == len(want)
     assert {v[2][0] for v in want.values()} >= {"import_resolved", "ambiguous_name"} and asked[0] <= 4 * 10 * 2 < len(pairs)
+
+
+def test_symbols_shuffle_no_lines(spark):
+    body = "import os\n\n" + "".join(f"class C{i}:\n    x = 1\n\n    def m{i}(self):\n        return m(1)\n\n" for i in range(5000))
+    rows = spark.createDataFrame([("a/b.py", body), ("a/c.py", "x = 1\n"), ("a/d.py", " \n"), ("a/e.py", body[:70])], "source_path string, content string").coalesce(1)
+    found = code.symbols(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in found.select("source_path", "seq_num", "kind", "name", "scope", "first_line", "last_line").collect()]
+    assert len(got) == 10001 + 1 + 3 and got[10000] == ("a/b.py", 10000, "function", "m4999", "C4999", 6 * 4999 + 6, 6 * 4999 + 7)
+    assert got[10001] == ("a/c.py", 0, "module", None, None, 1, 1) and [g[3] for g in got[10002:]] == [None, "C0", "m0"]
