@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors
-from docloom.functions.text import first_sentences, query_tokens, tokens
+from docloom.functions.text import TOKEN, first_sentences, query_tokens, tokens
 from docloom.shared import cut
 
+#: Of the largest matrix of rows and terms.
+CELLS = 2_000_000
+
 
 def where(rows: DataFrame, **conditions) -> DataFrame:
     """rows for which all hold: source=v; tags=[...] (any, in either case); metadata={path: v} and metadata_not={path: v} (a path that is
@@ -65,10 +70,11 @@ def semantic_join(
     row_text: str,
     query_text: str,
     dimensions: int = 64,
+    unique: bool = False,
 ) -> DataFrame:
     """For each query, its k best rows by cosine of hashed vectors (query_key, row_key, score, rank). Vectors are made once for each
-    text, and blocks of them are compared with blocks of the queries'."""
-    a = vectors.hashed_vectors(rows, row_key, row_text, dimensions).select(F.struct(*row_key).alias("id"), F.col("embedding").alias("v"))
+    text, and blocks of them are compared with blocks of the queries'. unique: row_key doesn't repeat, so no vector is shuffled."""
+    a = vectors.hashed_vectors(rows, row_key, row_text, dimensions, unique).select(F.struct(*row_key).alias("id"), F.col("embedding").alias("v"))
     q = vectors.hashed_vectors(queries, [query_key], query_text, dimensions).select(F.col(query_key).alias("id"), F.col("embedding").alias("v"))
     return _named(nearest(a, q, k, sharing=True), row_key, query_key)
 
@@ -80,10 +86,11 @@ def top_k(scored: DataFrame, by: list[str], k: int, keys: list[str]) -> DataFram
 
 class Postings:
     """The keyword index of a table of texts: term frequencies, lengths, document frequencies. Made of texts, or kept by write() and
-    opened by read(); a kept index is laid out by term, so that a search reads the files of its terms only."""
+    opened by read(); a kept index is laid out by term, so that a search reads the files of its terms only. unique: keys don't repeat, so
+    that a search counts the terms of a text where it is; else texts of equal keys are shuffled, to count as one."""
 
-    def __init__(self, rows: DataFrame | None, keys: list[str], text: str | None, kept: str | None = None):
-        self.keys, self.rows, self.text, self.kept = keys, rows, text, kept
+    def __init__(self, rows: DataFrame | None, keys: list[str], text: str | None, kept: str | None = None, unique: bool = False):
+        self.keys, self.rows, self.text, self.kept, self.unique = keys, rows, text, kept, unique
 
     @property
     def tf(self) -> DataFrame:
@@ -115,6 +122,8 @@ class Postings:
         q = cut(queries.select(F.col(query_key).alias("query"), F.explode(query_tokens(F.col(query_text))).alias("term")), "terms")
         terms = cut(q.select("term").distinct(), "wanted")
         n = terms.count()
+        if self.unique and not self.kept and n <= 100_000:
+            return q, cut(self._counted(terms), "postings")
         known = terms.select("term", F.lit(True).alias("known"))
         known = F.broadcast(known) if n <= 1_000_000 else known
         if self.kept:
@@ -130,6 +139,29 @@ class Postings:
         listed = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))  # nulls are left out
         return q, cut(tf.groupBy(*self.keys).agg(F.sum("tf").alias("len"), listed.alias("terms")), "postings")
 
+    def _counted(self, terms: DataFrame) -> DataFrame:
+        """(keys, len, terms) of each row, where it is: nothing is shuffled. The queries' terms are sent to all tasks."""
+        wanted, keys = self.rows.sparkSession.sparkContext.broadcast([r["term"] for r in terms.collect()]), self.keys
+
+        def count(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code, names, token = {t: i for i, t in enumerate(wanted.value)}, pa.array(wanted.value, pa.string()), re.compile(TOKEN)
+            for batch in of:
+                sizes, edges, term, tf = [], [0], [], []
+                for text in batch.column("_text"):
+                    found = token.findall(text.as_py() or "")
+                    times = Counter(map(code.get, found))
+                    times.pop(None, None)
+                    sizes.append(len(found))
+                    term += times.keys()
+                    tf += times.values()
+                    edges.append(len(term))
+                each = pa.StructArray.from_arrays([names.take(pa.array(term, pa.int32())), pa.array(tf, pa.int64())], names=["term", "tf"])
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), each)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(sizes, pa.int64()), lists], names=[*keys, "len", "terms"])
+
+        texts = self.rows.select(*keys, F.lower(self.text).alias("_text"))
+        return texts.mapInArrow(count, f"{vectors.kinds(self.rows, keys)}, len bigint, terms array<struct<term: string, tf: bigint>>")
+
     def top(self, queries: DataFrame, query_key: str, query_text: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(query_key, keys, score, rank): the k best rows of each query by BM25 of any of its tokens. Blocks of rows meet blocks of queries,
         so a term that most rows have makes no pairs of rows and queries."""
@@ -142,18 +174,20 @@ class Postings:
         asked = q.join(df, "term").groupBy(F.col("query").alias("id")).agg(each)
 
         def bm25(x: dict, y: dict) -> np.ndarray:
-            owner = lambda lists: np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            wanted, held = y["terms"].flatten(), x["terms"].flatten()
-            term, code = np.unique(np.asarray(wanted.field("term").to_numpy(zero_copy_only=False), str), return_inverse=True)
-            weight = np.zeros((len(term), len(y["id"])))
-            weight[code, owner(y["terms"])] = wanted.field("idf").to_numpy(zero_copy_only=False)
-            at = pc.index_in(held.field("term"), value_set=pa.array(term.tolist(), pa.string())).to_numpy(zero_copy_only=False)
-            some = ~np.isnan(at.astype(float))
-            row, tf = owner(x["terms"])[some], held.field("tf").to_numpy(zero_copy_only=False)[some]
-            size = x["len"].to_numpy(zero_copy_only=False)[row]
-            part = np.zeros((len(x["id"]), len(term)))
-            part[row, at[some].astype(int)] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / average))
-            scores = weight.T @ part.T
+            term, owner, code = _terms_of(y["terms"])
+            weight = np.zeros((len(y["id"]), len(term)))
+            weight[owner, code] = y["terms"].flatten().field("idf").to_numpy(zero_copy_only=False)
+            scores = np.zeros((len(y["id"]), len(x["id"])))
+            # so many rows at a time that their matrix stays small
+            step = max(1, CELLS // max(1, len(term)))
+            for at in range(0, len(x["id"]), step):
+                lists = x["terms"].slice(at, step)
+                row, column, held = _cells_of(lists, term)
+                tf = held.field("tf").to_numpy(zero_copy_only=False)
+                size = x["len"].slice(at, step).to_numpy(zero_copy_only=False)[row]
+                part = np.zeros((len(lists), len(term)))
+                part[row, column] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / average))
+                scores[:, at : at + step] = weight @ part.T
             return np.where(scores > 0, scores, -np.inf)
 
         a = blocks(rows.where("size(terms) > 0").select(F.struct(*self.keys).alias("id"), "len", "terms"), 1024)
@@ -173,9 +207,30 @@ class Postings:
         return hits.groupBy(query_key, *self.keys).agg(F.round(F.sum(part), 6).alias("score"))
 
     def match(self, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
-        """The degraded mode: 1.0 for each text with any of the query's tokens."""
-        q = queries.select(query_key, F.explode(query_tokens(F.col(query_text))).alias("term"))
-        return self.tf.join(q, "term").select(query_key, *self.keys).distinct().withColumn("score", F.lit(1.0))
+        """The degraded mode: 1.0 for each text with any of the query's tokens. Blocks of rows meet blocks of queries, so that each text is
+        told once for a query, and its tokens are not shuffled."""
+        q, rows = self._wanted(queries, query_key, query_text)
+        asked = q.groupBy(F.col("query").alias("q_id")).agg(F.collect_list(F.struct("term")).alias("q_terms"))
+        a = blocks(rows.where("size(terms) > 0").select(F.struct(*self.keys).alias("id"), "terms"), 1024)
+        kinds = asked.schema["q_id"].dataType.simpleString(), a.schema["id"].dataType.elementType.simpleString()
+
+        def meet(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in of:
+                for r in batch.to_struct_array():
+                    term, owner, code = _terms_of(r["q_terms"].values)
+                    wanted = np.zeros((len(r["q_id"]), len(term)), np.float32)
+                    wanted[owner, code] = 1
+                    step = max(1, CELLS // max(1, len(term)))
+                    for at in range(0, len(r["id"]), step):
+                        lists = r["terms"].values.slice(at, step)
+                        row, column, _ = _cells_of(lists, term)
+                        part = np.zeros((len(lists), len(term)), np.float32)
+                        part[row, column] = 1
+                        query, row = np.nonzero(wanted @ part.T)
+                        yield pa.RecordBatch.from_arrays([r["q_id"].values.take(pa.array(query)), r["id"].values.take(pa.array(row + at))], names=["query", "id"])
+
+        found = a.crossJoin(F.broadcast(cut(blocks(asked, 256), "queries"))).mapInArrow(meet, f"query {kinds[0]}, id {kinds[1]}")
+        return found.select(F.col("query").alias(query_key), *[F.col(f"id.{c}").alias(c) for c in self.keys], F.lit(1.0).alias("score"))
 
 
 def fuse_rrf(legs: dict[str, DataFrame], by: list[str], keys: list[str], rrf_k: int = 60) -> DataFrame:
@@ -195,12 +250,13 @@ def fuse_weighted(legs: dict[str, DataFrame], by: list[str], keys: list[str], we
     return functools.reduce(DataFrame.unionByName, scaled).groupBy(*by, *keys).agg(F.round(F.sum("part"), 6).alias("score"), F.array_join(F.sort_array(F.collect_set("leg")), ",").alias("legs"))
 
 
-def hybrid_search(rows: DataFrame, queries: DataFrame, k: int, row_key: list[str], query_key: str, row_text: str, query_text: str, fusion: str = "rrf", candidate_multiplier: int = 3, **how) -> DataFrame:
-    """The k best rows for each query by both legs, each of which brings candidate_multiplier times k. rows should be cheap to read twice."""
+def hybrid_search(rows: DataFrame, queries: DataFrame, k: int, row_key: list[str], query_key: str, row_text: str, query_text: str, fusion: str = "rrf", candidate_multiplier: int = 3, unique: bool = False, **how) -> DataFrame:
+    """The k best rows for each query by both legs, each of which brings candidate_multiplier times k. rows should be cheap to read twice.
+    unique: row_key doesn't repeat."""
     n = max(candidate_multiplier * k, k)
     legs = {
-        "keyword": Postings(rows, row_key, row_text).top(queries, query_key, query_text, n).drop("rank"),
-        "semantic": semantic_join(rows, queries, n, row_key, query_key, row_text, query_text).drop("rank"),
+        "keyword": Postings(rows, row_key, row_text, unique=unique).top(queries, query_key, query_text, n).drop("rank"),
+        "semantic": semantic_join(rows, queries, n, row_key, query_key, row_text, query_text, unique=unique).drop("rank"),
     }
     if fusion not in ("rrf", "weighted"):
         raise ValueError(f"no such fusion: {fusion}")
@@ -218,11 +274,13 @@ def fact_search(
     query_text: str,
     floor: float = 0.0,
     summary_length: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """The k best facts (doc_id, fact_key, fact, source_chunk_seq, confidence) for each query by hybrid search, without those of a
     confidence below the floor, each with its source chunk (doc_id, seq_num, original_content), if there is one, and its summary."""
-    hits = hybrid_search(facts, queries, k, fact_key, query_key, "fact", query_text).drop("legs")
-    found = confident(hits.join(facts, fact_key), floor)
+    # few: as tables they are known to be small, so that facts and chunks are not shuffled to meet them
+    hits = cut(hybrid_search(facts, queries, k, fact_key, query_key, "fact", query_text, unique=unique).drop("legs"), "hits")
+    found = cut(confident(hits.join(facts, fact_key), floor), "found")
     source = chunks.select(F.col("doc_id").alias("_doc"), F.col("seq_num").alias("chunk_seq"), F.col("original_content").alias("chunk_text"))
     out = found.join(source, (F.col("doc_id") == F.col("_doc")) & (F.col("source_chunk_seq") == F.col("chunk_seq")), "left").drop("_doc")
     return out.withColumn("summary", first_sentences(F.col("chunk_text"), summary_length)) if summary_length else out
@@ -265,6 +323,24 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(pack, ", ".join(f"`{c}` array<{kind}>" for c, kind in kinds.items()))
 
 
+def _terms_of(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of lists of structs with a term; whose each term is, and which it is."""
+    named = lists.flatten().field("term").dictionary_encode()
+    return named.dictionary, _owners(lists), named.indices.to_numpy()
+
+
+def _cells_of(lists: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Row and column of those of the lists' terms that are among these, and what the lists say of them."""
+    held = lists.flatten()
+    at = pc.index_in(held.field("term"), value_set=terms)
+    some = at.is_valid()
+    return _owners(lists)[some.to_numpy(zero_copy_only=False)], at.drop_null().to_numpy(), held.filter(some)
+
+
+def _owners(lists: pa.ListArray) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+
+
 def _order(ids: pa.Array) -> np.ndarray:
     """Row numbers in the order of ids, which may be of several columns."""
     if not pa.types.is_struct(ids.type):
@@ -288,17 +364,24 @@ def _best_of_blocks(a: DataFrame, q: DataFrame, score: Callable[[dict, dict], np
                 y = {c[2:]: batch.column(c)[r].values for c in theirs}
                 scores = np.round(score(x, y), 6) + 0.0
                 order = _order(x["id"])
-                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                found = np.take_along_axis(scores, best, 1).ravel()
-                keep = np.isfinite(found)
-                query = np.repeat(np.arange(len(scores)), best.shape[1])[keep]
-                columns = [y["id"].take(pa.array(query)), x["id"].take(pa.array(best.ravel()[keep])), pa.array(found[keep])]
+                query, at = _best(scores[:, order], k)
+                columns = [y["id"].take(pa.array(query)), x["id"].take(pa.array(order[at])), pa.array(scores[query, order[at]])]
                 yield pa.RecordBatch.from_arrays(columns, names=["query", "id", "score"])
 
     scored = a.crossJoin(q.toDF(*theirs)).mapInArrow(meet, f"query {asked}, id {kind}, score double")
     return top_k(scored, ["query"], k, ["id"])
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest of each row, of equals the first; without sorting. Minus infinity is no score."""
+    if k < scores.shape[1]:
+        least = np.partition(scores, -k, axis=1)[:, -k, None]
+        above, same = scores > least, scores == least
+        keep = above | (same & (np.cumsum(same, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        return np.nonzero(keep & np.isfinite(scores))
+    return np.nonzero(np.isfinite(scores))
+
+
 def unit_matrix(vectors: pa.Array, size: int | None = None) -> np.ndarray:
     """Unit vectors; zeros for one that is null, has a null in it, has no length or (where a size is named) another size, so that it scores 0."""
     out = _matrix(vectors)
@@ -328,7 +411,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, row_block: int = 8192,
         a, q = _matrix(x["v"]), _matrix(y["v"])
         # vectors of other dimensions have no cosine
         scores = q @ a.T if a.shape[1] == q.shape[1] else np.zeros((len(q), len(a)))
-        return np.where((q != 0).astype(float) @ (a != 0).astype(float).T > 0, scores, -np.inf) if sharing else scores
+        return np.where((q != 0).astype(np.float32) @ (a != 0).astype(np.float32).T > 0, scores, -np.inf) if sharing else scores
 
     return _best_of_blocks(blocks(rows, row_block), cut(blocks(queries, query_block), "queries"), cosine, k)
 

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from docloom.operators import text_index
+from docloom.operators import search, text_index
 
 
 def _shuffled(spark, run) -> tuple[int, object]:
@@ -37,3 +37,16 @@ def test_a_segment_is_made_without_a_shuffle_of_terms(spark, tmp_path, texts):
     assert shuffled < 20_000
     asked = spark.createDataFrame([(i, f"w{i:04} w{i + 1:04}") for i in range(40)], "id int, text string")
     assert index.search(asked, 3).groupBy("query").count().where("count = 3").count() == 40
+
+
+def test_texts_are_searched_without_a_shuffle_of_terms(spark, texts):
+    asked = spark.createDataFrame([(i, " ".join(f"w{j:04}" for j in range(20 * i, 20 * i + 20))) for i in range(40)] + [(99, None), (98, "nothing")], "q int, text string")
+    texts.count()
+    own, plain = (search.Postings(texts, ["id"], "text", unique=u) for u in (True, False))
+    shuffled, found = _shuffled(spark, lambda: own.match(asked, "q", "text").collect())
+    assert shuffled < 20_000
+    tokens = {r["id"]: set(r["text"].split()) for r in texts.collect()}
+    assert sorted((r["q"], r["id"]) for r in found) == sorted((r["q"], i) for r in asked.collect() if r["text"] for i, said in tokens.items() if said & set(r["text"].split()))
+    assert sorted(own.top(asked, "q", "text", 5).collect()) == sorted(plain.top(asked, "q", "text", 5).collect())
+    shuffled, _ = _shuffled(spark, lambda: own.top(asked, "q", "text", 5).collect())
+    assert shuffled < 120_000
