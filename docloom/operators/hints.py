@@ -2,31 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import FILLER_WORDS, query_tokens, tokens
-from docloom.functions.vectors import bucket, sign
+from docloom.functions.text import FILLER_WORDS, TOKEN, query_tokens
+from docloom.functions.vectors import Places
 from docloom.operators.search import nearest, top_k
+from docloom.operators.text_index import Numbers
 from docloom.shared import cut
 
 
 def neighbour_counts(rows: DataFrame, text: str, window: int = 4, min_chars: int = 3, piece: int = 4096) -> DataFrame:
     """(a, b, n): how often two different terms, a < b, stand at most `window` terms from each other. Filler words and terms of fewer than
-    `min_chars` characters are left out before. Pairs are made of pieces of a text that overlap by a window, so that a long text is no long row;
-    equal pairs are counted before they are shuffled."""
-    terms = F.filter(tokens(F.col(text)), lambda t: (F.length(t) >= min_chars) & ~t.isin(FILLER_WORDS))
-    held = rows.select(terms.alias("t")).where(F.size("t") > 1)
-    starts = F.sequence(F.lit(1), F.size("t"), F.lit(piece))
-    held = held.select(F.explode(F.transform(starts, lambda s: F.slice("t", s, piece + window))).alias("t"))
+    `min_chars` characters are left out before. Pairs are counted where the texts are, over all texts of a task as long as they are at most a
+    million, so that pairs seen often are one row to be shuffled. (`piece` has no effect any more: no array of pairs is made.)"""
+
+    def count(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, dropped, codes, most = re.compile(TOKEN), set(FILLER_WORDS), Numbers(), 1_000_000
+        waiting, held, sums = [], 0, []
+        gap = np.full(window, -1)
+
+        def pairs(last: bool) -> Iterator[pa.RecordBatch]:
+            """Counts of what waits; they are passed on when there are many."""
+            nonlocal sums
+            said = np.concatenate(waiting) if waiting else gap
+            for start in range(0, len(said), most):
+                for o in range(1, window + 1):
+                    y = said[start + o : start + o + most]
+                    x = said[start : start + len(y)]
+                    some = (x >= 0) & (y >= 0) & (x != y)
+                    sums.append(np.unique(np.minimum(x, y)[some] << 32 | np.maximum(x, y)[some], return_counts=True))
+            key, at = np.unique(np.concatenate([k for k, _ in sums]), return_inverse=True)
+            sums = [(key, np.bincount(at, np.concatenate([n for _, n in sums]), len(key)).astype(np.int64))]
+            waiting.clear()
+            if len(key) and (last or len(key) > most or len(codes) > most):
+                names = np.array(list(codes), object)
+                place = np.empty(len(names), np.int64)
+                place[np.argsort(names)] = np.arange(len(names))
+                x, y = key >> 32, key & (2**32 - 1)
+                first = place[x] < place[y]
+                for s in range(0, len(key), 100_000):
+                    e = slice(s, s + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[np.where(first, x, y)[e]], pa.string()), pa.array(names[np.where(first, y, x)[e]], pa.string()), pa.array(sums[0][1][e])], names=["a", "b", "n"])
+                sums = []
+                codes.clear()
 
-    def pair(x: Column, y: Column) -> Column:
-        return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        for batch in of:
+            for said in batch.column("_text"):
+                kept = [w for w in token.findall(said.as_py() or "") if len(w) >= min_chars and w not in dropped]
+                waiting += [np.fromiter(map(codes.__getitem__, kept), np.int64, len(kept)), gap]
+                held += len(kept)
+                if held > most:
+                    held = 0
+                    yield from pairs(False)
+        yield from pairs(True)
 
-    # beyond the end a term is paired with itself; get() takes one element, where slice() would go through the whole array for each
-    at = F.sequence(F.lit(0), F.least(F.size("t"), F.lit(piece)) - 1)
-    near = F.transform(at, lambda i: F.array(*[pair(F.get("t", i), F.get("t", i + o)) for o in range(1, window + 1)]))
-    return held.select(F.explode(F.flatten(near)).alias("p")).where("p.a != p.b").groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    made = rows.select(F.lower(text).alias("_text")).mapInArrow(count, "a string, b string, n bigint")
+    return made.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def term_vectors(rows: DataFrame, text: str, window: int = 4, dimensions: int = 128, nonzero: int = 4, min_count: int = 5) -> DataFrame:
@@ -39,16 +76,41 @@ def term_vectors(rows: DataFrame, text: str, window: int = 4, dimensions: int =
     margin = cut(both.groupBy("a").agg(F.sum("n").alias("m")), "margins")
     total = margin.agg(F.sum("m").alias("total"))
     known = margin.where(F.col("m") >= min_count)
-    entry = lambda j: F.concat(F.col("a"), F.lit(f"#{j}"))
-    random = F.array(*[F.struct(bucket(entry(j), dimensions).alias("dim"), sign(entry(j)).cast("long").alias("x")) for j in range(nonzero)])
-    weighed = both.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("m").alias("mb"), random.alias("random")), "b").crossJoin(F.broadcast(total))
+    known = F.broadcast(known) if known.count() <= 200_000 else known
+    weighed = both.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").crossJoin(F.broadcast(total))
     w = F.floor(1000 * F.log(F.col("n").cast("double") * F.col("total") / (F.col("m").cast("double") * F.col("mb"))))
+
+    def add(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Terms come in order: the sums of the last one of a batch go on in the next."""
+        places, last = Places(dimensions), None
+        for batch in of:
+            if not len(batch):
+                continue
+            a, b = (batch.column(c).dictionary_encode() for c in ("a", "b"))
+            names, row, w = a.dictionary.to_pylist(), a.indices.to_numpy(), batch.column("w").to_numpy()
+            m = np.zeros(len(names), np.int64)
+            m[row] = batch.column("m").to_numpy()
+            at = np.array([[places[f"{x}#{j}"] for j in range(nonzero)] for x in b.dictionary.to_pylist()])[b.indices.to_numpy()]
+            sums = np.zeros((len(names), dimensions), np.int64)
+            np.add.at(sums, (row[:, None], at % dimensions), np.where(at < dimensions, 1, -1) * w[:, None])
+            if last is not None and last[0] == names[0]:
+                sums[0] += last[2]
+            elif last is not None:
+                yield vectors([last[0]], [last[1]], last[2][None])
+            last = names[-1], m[-1], sums[-1]
+            yield vectors(names[:-1], m[:-1], sums[:-1])
+        if last is not None:
+            yield vectors([last[0]], [last[1]], last[2][None])
+
+    def vectors(names: list[str], m: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(sums.any(axis=1))
+        edges = pa.array(np.arange(len(some) + 1) * dimensions, pa.int32())
+        lists = pa.ListArray.from_arrays(edges, pa.array(sums[some].ravel().astype(float)))
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(np.asarray(m, np.int64)[some]), lists], names=["term", "m", "embedding"])
+
     # shuffled once, a row for each pair; the sums need no other exchange
-    parts = weighed.select("a", "m", "random", w.alias("w")).where("w > 0").repartition("a").select("a", "m", "w", F.explode("random").alias("r"))
-    cells = parts.groupBy("a", "m", "r.dim").agg(F.sum(F.col("w") * F.col("r.x")).alias("x")).where("x != 0")
-    listed = cells.groupBy("a", "m").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("c"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0)).cast("double"))
-    return cut(listed.select(F.col("a").alias("term"), "m", vector.alias("embedding")), "term_vectors")
+    parts = weighed.select("a", "b", "m", w.alias("w")).where("w > 0").repartition("a").sortWithinPartitions("a")
+    return cut(parts.mapInArrow(add, "term string, m bigint, embedding array<double>"), "term_vectors")
 
 
 def expansions(vectors: DataFrame, asked: DataFrame, k: int = 5, floor: float = 0.2) -> DataFrame:

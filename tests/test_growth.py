@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from docloom.operators import search, text_index
+from docloom.operators import hints, search, text_index
 
 
 def _shuffled(spark, run) -> tuple[int, object]:
@@ -50,3 +50,9 @@ def test_texts_are_searched_without_a_shuffle_of_terms(spark, texts):
     assert sorted(own.top(asked, "q", "text", 5).collect()) == sorted(plain.top(asked, "q", "text", 5).collect())
     shuffled, _ = _shuffled(spark, lambda: own.top(asked, "q", "text", 5).collect())
     assert shuffled < 120_000
+
+
+def test_no_row_is_made_of_each_pair_of_neighbours(spark, texts):
+    assert "Generate" not in hints.neighbour_counts(texts, "text", 1)._jdf.queryExecution().executedPlan().toString()
+    made = spark.createDataFrame([("zebra apple apple mango",), (None,), ("mango zebra",)], "text string").coalesce(1)
+    assert {tuple(r) for r in hints.neighbour_counts(made, "text", 2).collect()} == {("apple", "zebra", 2), ("apple", "mango", 2), ("mango", "zebra", 1)}
