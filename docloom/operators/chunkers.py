@@ -6,15 +6,18 @@ unless the chunker is about sentences that were told apart before."""
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import first_sentences, sentences, slices, words
-from docloom.functions.vectors import hashed_parts
+from docloom.functions.text import TOKEN, first_sentences, sentences, slices, words
+from docloom.functions.vectors import Places
 from docloom.operators.fold import fold
 
 
@@ -140,24 +143,49 @@ def if_oversize(chunks: DataFrame, id: str = "doc_id", ceiling: int = 2000) -> D
 
 def semantic(docs: DataFrame, id: str = "doc_id", content: str = "content", percentile: float = 0.95, min_sentences: int = 3, max_chars: int = 2000, dimensions: int = 64) -> DataFrame:
     """Chunks of sentences that break where the hashed vectors of two in a row are as far apart as the document's percentile, once a
-    chunk has min_sentences; or where a sentence would not fit in max_chars."""
-    rows = by_sentence(docs, id, content).select(id, F.col("seq_num").alias("i"), F.col("original_content").alias("s"))
-    parts = hashed_parts(rows, [id, "i"], "s", dimensions)
-    ahead = parts.select(F.col(id), (F.col("i") - 1).alias("i"), "dim", F.col("x").alias("y"))
-    like = parts.join(ahead, [id, "i", "dim"]).groupBy(id, "i").agg(F.sum(F.col("x") * F.col("y")).alias("like"))
-    last = F.max("i").over(W.partitionBy(id))
-    far = rows.withColumn("last", last).join(like, [id, "i"], "left").withColumn("d", F.when(F.col("i") < F.col("last"), 1 - F.coalesce("like", F.lit(0.0))))
-    far = far.withColumn("limit", F.percentile("d", F.lit(percentile)).over(W.partitionBy(id)))
-    turn = F.struct("i", "s", F.coalesce(F.col("d") >= F.col("limit"), F.lit(False)).alias("gap"))
-    lists = far.groupBy(id).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    zero = F.struct(F.lit("").alias("buf"), F.lit(0).alias("n"), F.lit(False).alias("gap"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        full = (s["n"] > 0) & (s["gap"] & (s["n"] >= min_sentences) | (F.length(s["buf"]) + 1 + F.length(t["s"]) > max_chars))
-        buf = F.when(full | (s["n"] == 0), t["s"]).otherwise(F.concat(s["buf"], F.lit(" "), t["s"]))
-        return F.struct(buf.alias("buf"), (F.when(full, 0).otherwise(s["n"]) + 1).alias("n"), t["gap"].alias("gap"), F.when(full, F.concat(s["out"], F.array(s["buf"]))).otherwise(s["out"]).alias("out"))
-
-    return _explode(lists, id, F.aggregate("turns", zero, step, lambda s: F.concat(s["out"], F.array(s["buf"]))))
+    chunk has min_sentences; or where a sentence would not fit in max_chars. Each text is gone through where it is; nothing is shuffled."""
+    kind = docs.schema[id].dataType.simpleString()
+
+    def run(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, token = Places(dimensions), re.compile(TOKEN)
+        for batch in of:
+            made = []
+            for said, low in zip(batch.column("s"), batch.column("low"), strict=True):
+                gaps = far([token.findall(x) for x in low.as_py()], places)
+                made.append(joined(said.as_py(), gaps))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.list_(pa.string()))], names=["id", "chunks"])
+
+    def far(words: list[list[str]], places: Places) -> list[bool]:
+        """Whether each sentence is as far from the next as the percentile of all such distances, or farther."""
+        n, row = len(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
+        if n < 2:
+            return [False] * n
+        at = np.fromiter((places[w] for said in words for w in said), np.int64, len(row))
+        both = np.bincount(row * 2 * dimensions + at, minlength=n * 2 * dimensions).reshape(n, 2, dimensions)
+        parts = (both[:, 0] - both[:, 1]).astype(float)
+        size = (parts * parts).sum(axis=1)
+        unit = parts / np.sqrt(np.where(size > 0, size, 1))[:, None]
+        # added up in the order of dimensions
+        d = 1 - np.cumsum(unit[:-1] * unit[1:], axis=1)[:, -1]
+        ordered, place = np.sort(d), (n - 2) * percentile
+        below, above = int(np.floor(place)), int(np.ceil(place))
+        limit = ordered[below] if ordered[below] == ordered[above] else (above - place) * ordered[below] + (place - below) * ordered[above]
+        return [*(d >= limit).tolist(), False]
+
+    def joined(said: list[str], gaps: list[bool]) -> list[str]:
+        out, buf, length, gap = [], [], 0, False
+        for s, after in zip(said, gaps, strict=True):
+            if buf and (gap and len(buf) >= min_sentences or length + 1 + len(s) > max_chars):
+                out.append(" ".join(buf))
+                buf = []
+            length = length + 1 + len(s) if buf else len(s)
+            buf.append(s)
+            gap = after
+        return [*out, " ".join(buf)]
+
+    said = docs.select(F.col(id).alias("id"), sentences(F.col(content)).alias("s")).where(F.size("s") > 0)
+    chunks = said.withColumn("low", F.transform("s", lambda s: F.lower(s))).mapInArrow(run, f"id {kind}, chunks array<string>")
+    return _explode(chunks.withColumnRenamed("id", id), id, F.col("chunks"))
 
 
 def facts(text: Column, max_chars: int = 1200) -> Column:

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from docloom.operators import hints, search, text_index
+from docloom.operators import chunkers, hints, search, text_index
 
 
 def _shuffled(spark, run) -> tuple[int, object]:
@@ -56,3 +56,15 @@ def test_no_row_is_made_of_each_pair_of_neighbours(spark, texts):
     assert "Generate" not in hints.neighbour_counts(texts, "text", 1)._jdf.queryExecution().executedPlan().toString()
     made = spark.createDataFrame([("zebra apple apple mango",), (None,), ("mango zebra",)], "text string").coalesce(1)
     assert {tuple(r) for r in hints.neighbour_counts(made, "text", 2).collect()} == {("apple", "zebra", 2), ("apple", "mango", 2), ("mango", "zebra", 1)}
+
+
+def test_semantic_chunks_are_made_without_a_shuffle(spark):
+    said = "One two three. Four five six. Four five six. Red green blue. Red green. Blue."
+    rows = spark.createDataFrame([(1, said), (2, ""), (3, None), (4, "Alone here."), (5, " ".join([said] * 9))], "doc_id bigint, content string").repartition(3).cache()
+    rows.count()
+    shuffled, found = _shuffled(spark, lambda: chunkers.semantic(rows, min_sentences=1, max_chars=200).collect())
+    texts = {}
+    for r in sorted(found, key=lambda r: (r["doc_id"], r["seq_num"])):
+        texts.setdefault(r["doc_id"], []).append(r["original_content"])
+    assert shuffled == 0 and set(texts) == {1, 4, 5} and texts[4] == ["Alone here."]
+    assert " ".join(texts[1]) == said and " ".join(texts[5]) == " ".join([said] * 9) and max(map(len, texts[5])) <= 200
