@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.operators import chunkers, hints, search, text_index
+from docloom.functions import batches
+from docloom.functions.text import sentences, tokens
+from docloom.operators import chunkers, hints, search, summaries, text_index
 
 
 def _shuffled(spark, run) -> tuple[int, object]:
@@ -68,3 +73,33 @@ def test_semantic_chunks_are_made_without_a_shuffle(spark):
         texts.setdefault(r["doc_id"], []).append(r["original_content"])
     assert shuffled == 0 and set(texts) == {1, 4, 5} and texts[4] == ["Alone here."]
     assert " ".join(texts[1]) == said and " ".join(texts[5]) == " ".join([said] * 9) and max(map(len, texts[5])) <= 200
+
+
+def test_tokens_of_batches_are_those_of_the_function(spark):
+    said = ["a-b", "-c", "d-", "-e", None, "", "f--g h-i-j", "KKelvin İstanbul straße École", "x" * 40 + "-9", "---", "z"]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", F.lower("t").alias("t"), tokens(F.col("t")).alias("w")).orderBy("i").collect()
+    for texts in (pa.array([r["t"] for r in rows]), pa.array(["no", *[r["t"] for r in rows]]).slice(1)):
+        text, code, names = batches.token_codes(texts)
+        assert names.to_pylist() == sorted({t for r in rows for t in r["w"] or ()})
+        assert [(i, names[c].as_py()) for i, c in zip(text.tolist(), code.tolist(), strict=True)] == [(r["i"], t) for r in rows for t in r["w"] or ()]
+    assert [len(x) for x in batches.token_codes(pa.array([None, "", "-"]))] == [0, 0, 0]
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * n for n in (5, 50, 5, 5, 0, 3)]})
+    assert [len(b) for b in batches.sized(iter([batch.slice(1), batch]), "t", 10)] == [1, 3, 1, 1, 1, 3, 1]
+
+
+@pytest.mark.parametrize("rare", [False, True])
+def test_many_texts_are_walked_at_once(rare):
+    chance = np.random.default_rng(5)
+    sizes, per = [4, 9, 5], 3
+    term = [chance.integers(0, 7, n * per) for n in sizes]
+    alone = [summaries.centrality(np.zeros(n, int), np.repeat(np.arange(n), per), t, rare, 0.85, 50) for n, t in zip(sizes, term, strict=True)]
+    text = np.repeat(np.arange(3), sizes)
+    assert np.array_equal(summaries.centrality(text, np.repeat(np.arange(len(text)), per), np.concatenate(term), rare, 0.85, 50), np.concatenate(alone))
+
+
+def test_summaries_of_batches(spark, texts):
+    rows = texts.select("id", F.regexp_replace("text", "(\\w+ \\w+ \\w+ \\w+)", "$1.").alias("content")).union(spark.createDataFrame([(900, None), (901, "One. Two."), (902, "- . - . - . - . -")], "id bigint, content string"))
+    found = {r["id"]: r["summary"] for r in summaries.central_sentences(rows, "id", n=3).collect()}
+    said = {r["id"]: r["s"] for r in rows.select("id", sentences(F.coalesce("content", F.lit(""))).alias("s")).collect()}
+    assert len(found) == 603 and (found[900], found[901], found[902]) == ("", "One. Two.", "- . - . - .")
+    assert all(summary.count(".") == 3 and all(f"{s.strip()}." in said[i] for s in summary.split(".") if s) for i, summary in found.items() if i < 600)
