@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The state store that timers and maps of state need; to be set as spark.sql.streaming.stateStore.providerClass.
+#: The state store that keeps much state on disk; to be set as spark.sql.streaming.stateStore.providerClass.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,67 +46,54 @@ def rebuild_sessions(stream: DataFrame, session: str, checkpoint: str, rebuild)
     stream.writeStream.foreachBatch(call).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-class _OpenSessions(StatefulProcessor):
-    """State of a key: its open sessions (first: last, n), each with a timer for when the watermark passes its gap, and a count of revisions."""
+def _revise(by: str, gap: int):
+    """State of a key: its open sessions (first, last, n) as integers, and a count of revisions. It comes and goes with the key's events, in the same
+    batches: no call is made for a session. One timer, for the first gap that the watermark passes."""
 
-    def __init__(self, by: str, gap_us: int):
-        self.by, self.gap = by, gap_us
+    def kept(state: GroupState, held: np.ndarray, revision: int) -> None:
+        state.update((held.tobytes(), revision))
+        state.setTimeoutTimestamp(max((int(held[:, 1].min()) + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "first bigint", "last bigint, n bigint")
-        self.revision = handle.getValueState("revision", "n bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
-        now = dict(before)
-        for pdf in rows:
-            counts = pdf["us"].value_counts()
-            spans = sorted([(first, last, n) for first, (last, n) in now.items()] + [(int(at), int(at), int(n)) for at, n in counts.items()])
-            now, first = {}, None
-            for start, last, n in spans:
-                if first is not None and start < now[first][0] + self.gap:
-                    now[first] = (max(now[first][0], last), now[first][1] + n)
-                else:
-                    first = start
-                    now[first] = (last, n)
-        revision = (self.revision.get()[0] if self.revision.exists() else 0) + 1
-        self.revision.update((revision,))
-        out = [(key[0], first, *now.get(first, (first, 0)), revision) for first in sorted({*before, *now}) if before.get(first) != now.get(first)]
-        for _, first, last, n, _ in out:
-            if n:
-                self.open.updateValue((first,), (last, n))
-                self.handle.registerTimer((last + self.gap) // 1000 + 1)
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, revision = (np.frombuffer(state.get[0], np.int64).reshape(-1, 3), state.get[1]) if state.exists else (np.zeros((0, 3), np.int64), 0)
+        if state.hasTimedOut:
+            open_ = before[before[:, 1] + gap > state.getCurrentWatermarkMs() * 1000]
+            # a session with an earlier revision's start cannot come again: its events would be dropped as late
+            if len(open_):
+                kept(state, open_, revision)
             else:
-                self.open.removeKey((first,))
+                state.remove()
+            return
+        now = before
+        for pdf in rows:
+            at, n = np.unique(pdf["us"].to_numpy(np.int64), return_counts=True)
+            first, last, n = np.concatenate((now, np.stack((at, at, n), axis=1))).T
+            order = np.argsort(first, kind="stable")
+            first, last, n = first[order], np.maximum.accumulate(last[order]), n[order]
+            starts = np.flatnonzero(np.concatenate(([True], first[1:] >= last[:-1] + gap)))
+            now = np.stack((first[starts], np.append(last[starts[1:] - 1], last[-1]), np.add.reduceat(n, starts)), axis=1)
+        kept(state, now, revision + 1)
+        held = {tuple(x) for x in before.tolist()}
+        out = [x for x in map(tuple, now.tolist()) if x not in held]
+        still = set(now[:, 0].tolist())
+        out += [(first, first, 0) for first in before[:, 0].tolist() if first not in still]
         if out:
-            yield pd.DataFrame(out, columns=[self.by, "first_us", "last_us", "n_events", "revision"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [(k[0], v[0]) for k, v in self.open.iterator()]
-        for first, last in held:
-            if last + self.gap <= passed:
-                self.open.removeKey((first,))
-        # a session with an earlier revision's start cannot come again: its events would be dropped as late
-        if all(last + self.gap <= passed for _, last in held):
-            self.revision.clear()
-        return iter(())
+            first, last, n = zip(*sorted(out), strict=True)
+            yield pd.DataFrame({by: pd.Series([None if pd.isna(key[0]) else key[0]] * len(out), dtype=object), "first_us": first, "last_us": last, "n_events": n, "revision": revision + 1})
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def revised_sessions(events: DataFrame, ts: str, by: str, gap: str, late: str = "1 hour") -> DataFrame:
     """Sessions as they grow: (by, start, last, n_events, revision) for each session that a batch changed. A late event, up to `late` behind the
     newest, extends a session or joins two: the joined one comes with a higher revision, and the one that it took in with n_events = 0.
     :func:`latest_sessions` keeps what holds. State is that of sessions whose gap the watermark has not passed; the events of a batch are taken in
-    as they stream by, so a key with many is never held whole. Events without a time are left out. Needs :data:`STATE_STORE`."""
+    as they stream by, so a key with many is never held whole. Events without a time are left out. :data:`STATE_STORE` keeps the state of many keys out of memory."""
     kind = events.schema[by].dataType.simpleString()
     gap_us = events.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {gap})").head()[0]
     asked = events.where(F.col(ts).isNotNull()).select(F.col(by).alias("k"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).withWatermark("ts", late)
-    schema = f"{by} {kind}, first_us bigint, last_us bigint, n_events bigint, revision bigint"
-    found = asked.groupBy("k").transformWithStateInPandas(_OpenSessions(by, gap_us), schema, "Append", "EventTime")
+    schema = f"`{by}` {kind}, first_us bigint, last_us bigint, n_events bigint, revision bigint"
+    found = asked.groupBy("k").applyInPandasWithState(_revise(by, gap_us), schema, "open binary, revision bigint", "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(by, F.timestamp_micros("first_us").alias("start"), F.timestamp_micros("last_us").alias("last"), "n_events", "revision")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions import batches
 from docloom.functions.text import sentences, tokens
 from docloom.operators import chunkers, extractors, hints, search, summaries, text_index
+from docloom.streaming import events as streams
 
 
 def _shuffled(spark, run) -> tuple[int, object]:
@@ -133,3 +134,25 @@ def test_pairs_of_own_terms_are_counted_where_the_text_is(spark, texts):
     plain = extractors.cooccurrence(made, "id", "text", extractors.top_terms(made, "id", "text", 4), 5, 2)
     assert shuffled == 0 and sorted(found) == sorted(plain.collect()) and len(found) > 2000
     assert [tuple(r) for r in found if r["id"] > 600] == [(903, "blue", "red", 3, 1)]
+
+
+def test_sessions_come_with_the_events_of_their_key(spark, tmp_path):
+    chance, held = random.Random(11), []
+    for batch in range(3):
+        new = [(chance.choice([1, 2, None]), chance.randrange(0, 200_000)) for _ in range(60)]
+        held += new
+        rows = spark.createDataFrame(new, "who bigint, s bigint").select("who", F.timestamp_seconds(F.col("s") + 100_000).alias("at"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        # a state store in memory, with no calls for maps and timers, is enough
+        stream = streams.revised_sessions(spark.readStream.schema("who bigint, at timestamp").parquet(f"{tmp_path}/in"), "at", "who", "20 minutes", "90 days")
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+        streams.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+        revisions = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+        found = streams.latest_sessions(revisions, "who").select("who", F.unix_seconds("start").alias("a"), F.unix_seconds("last").alias("b"), "n_events").collect()
+        want = []
+        for who in (1, 2, None):
+            times = sorted(t + 100_000 for w, t in held if w == who)
+            starts = [i for i, t in enumerate(times) if not i or t >= times[i - 1] + 1200]
+            want += [(who, times[i], times[j - 1], j - i) for i, j in zip(starts, [*starts[1:], len(times)], strict=True)]
+        assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert revisions.where("n_events = 0").count() and revisions.agg(F.max("revision")).first()[0] == 3
