@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import FILLER_WORDS, sentences, tokens
+from docloom.functions.batches import best, lists, sized, telling, token_codes
+from docloom.functions.text import sentences
+from docloom.functions.vectors import kinds
 from docloom.shared import cut
 
 #: Columns of the memory table beside a chunk's own.
@@ -24,21 +27,30 @@ def salient_facts(rows: DataFrame, keys: list[str], content: str, max_facts: int
     """(keys, fact_seq, support_span, confidence): the sentences of a text whose words, without filler words, are most frequent in it on average, in
     thousandths rounded down; of equals, the earlier. They keep the text's order, and the first is the most confident: 1 - i / n to three places.
     Sentences without such a word are none. Each row is scored where it is read."""
-    said = sentences(F.coalesce(F.col(content), F.lit("")))
-    kept = F.transform(said, lambda s: F.filter(tokens(s), lambda t: (F.length(t) >= 2) & ~t.isin(FILLER_WORDS)))
 
-    @F.pandas_udf("array<int>")
-    def chosen(lists: pd.Series) -> pd.Series:
-        def best(of) -> list[int]:
-            count = Counter(t for s in of for t in s)
-            score = {i: 1000 * sum(count[t] for t in s) // len(s) for i, s in enumerate(of) if len(s)}
-            return sorted(sorted(score, key=lambda i: (-score[i], i))[:max_facts])
-
-        return lists.map(best)
-
-    told = rows.select(*keys, said.alias("_said"), chosen(kept).alias("_at"))
-    told = told.select(*keys, F.size("_at").alias("_n"), F.posexplode(F.transform("_at", lambda i: F.get("_said", i))).alias("fact_seq", "support_span"))
-    return told.select(*keys, "fact_seq", "support_span", F.round(1 - F.col("fact_seq") / F.col("_n"), 3).alias("confidence"))
+    def choose(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(of, "_said"):
+            sizes, said = lists(batch.column("_said"))
+            sentence, code, names = token_codes(batch.column("_low").flatten())
+            kept = telling(names, 2)[code] if len(code) else np.zeros(0, bool)
+            sentence, code = sentence[kept], code[kept]
+            text = np.repeat(np.arange(len(batch)), sizes)
+            _, own, times = np.unique(text[sentence] * max(len(names), 1) + code, return_inverse=True, return_counts=True)
+            n = np.bincount(sentence, minlength=len(said))
+            some = np.flatnonzero(n)
+            score = 1000 * np.bincount(sentence, times[own], len(said)).astype(np.int64)[some] // n[some]
+            chosen = np.sort(some[best(text[some], max_facts, -score, some)[0]])
+            row = text[chosen]
+            columns = [*[batch.column(c).take(pa.array(row)) for c in names_of], pa.array(np.bincount(row, minlength=len(batch))[row].astype(np.int32))]
+            seq = np.arange(len(row)) - np.searchsorted(row, row)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seq.astype(np.int32)), said.take(pa.array(chosen))], names=[*names_of, "_n", "_seq", "_span"])
+
+    names_of = [f"_key{i}" for i in range(len(keys))]
+    said = rows.select(*[F.col(k).alias(c) for k, c in zip(keys, names_of, strict=True)], sentences(F.coalesce(F.col(content), F.lit(""))).alias("_said"))
+    said = said.select("*", F.transform("_said", F.lower).alias("_low"))
+    told = said.mapInArrow(choose, f"{kinds(said, names_of)}, _n int, _seq int, _span string")
+    confidence = F.round(1 - F.col("_seq") / F.col("_n"), 3)
+    return told.select(*[F.col(c).alias(k) for k, c in zip(keys, names_of, strict=True)], F.col("_seq").alias("fact_seq"), F.col("_span").alias("support_span"), confidence.alias("confidence"))
 
 
 def next_start(rows: DataFrame, by: list[str], start: str, span: str = "DAY") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import batches
 from docloom.functions.text import sentences, tokens
-from docloom.operators import chunkers, extractors, hints, search, summaries, text_index
+from docloom.operators import chunkers, extractors, hints, memory_store, search, summaries, text_index
 from docloom.streaming import events as streams
 
 
@@ -156,3 +156,22 @@ def test_sessions_come_with_the_events_of_their_key(spark, tmp_path):
             want += [(who, times[i], times[j - 1], j - i) for i, j in zip(starts, [*starts[1:], len(times)], strict=True)]
         assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
     assert revisions.where("n_events = 0").count() and revisions.agg(F.max("revision")).first()[0] == 3
+
+
+def test_salient_facts_make_no_lists_of_words_in_python(spark, texts):
+    few = F.regexp_replace(F.regexp_replace("text", "w\\d(\\d)\\d\\d", "w0$1"), "(\\w+ \\w+ \\w+ \\w+)", "$1.")
+    made = texts.select("id", few.alias("text")).union(spark.createDataFrame([(900, None), (901, "a. The of. I"), (902, ""), (None, "One. Two two-one. One")], "id bigint, text string")).withColumn("_n", F.lit("clash"))
+    found = memory_store.salient_facts(made, ["id", "_n"], "text", 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["fact_seq"]):
+        got.setdefault(r["id"], []).append((r["fact_seq"], r["support_span"], r["confidence"], r["_n"]))
+    want = {}
+    for r in made.select("id", sentences(F.col("text")).alias("s"), F.transform(sentences(F.col("text")), tokens).alias("w")).collect():
+        words = [[t for t in w if len(t) >= 2 and t not in ("the", "of")] for w in r["w"] or ()]
+        score = {i: 1000 * sum(sum(x.count(t) for x in words) for t in w) // len(w) for i, w in enumerate(words) if w}
+        top = sorted(sorted(score, key=lambda i: (-score[i], i))[:3])
+        if top:
+            want[r["id"]] = [(k, r["s"][i], round(1 - k / len(top), 3), "clash") for k, i in enumerate(top)]
+    assert got == want and len(want) == 601
