@@ -50,6 +50,12 @@ def _dealt(calls: DataFrame, symbols: DataFrame, names: DataFrame, block: int =
     return left.join(right, ["callee", "kb", "nb"])
 
 
+def _side(rows: DataFrame, n: int, most: int = 20_000) -> DataFrame:
+    """rows, n of them, as a side of a join: sent to all tasks if they are few. A larger table is shuffled, and never goes by way of the driver,
+    however small its files are."""
+    return F.broadcast(rows) if n <= most else rows.hint("merge")
+
+
 def impact(edges: DataFrame, anchors: DataFrame, depth: int = 3, direction: str = "callees", confidence: float = 0.7, kinds: list[str] | None = None) -> DataFrame:
     """(anchor, node, hop, confidence, evidence) of the nodes within so many hops of each anchor: the least hop, and the largest confidence
     of the edges that lead there with its evidence. Each hop joins the nodes that the one before reached first with the edges, so paths that meet
@@ -62,18 +68,20 @@ def impact(edges: DataFrame, anchors: DataFrame, depth: int = 3, direction: str
     usable = edges.where(F.col("confidence") >= confidence)
     usable = usable.where(F.col("kind").isin(kinds)) if kinds else usable
     usable = usable.select(F.col(near).alias("at"), F.col(far).alias("node"), "confidence", "evidence")
-    front = anchors.select("anchor", F.col("anchor").alias("at")).distinct()
-    seen, found = front, None
+    front = cut(anchors.select("anchor", F.col("anchor").alias("at")).distinct(), "front")
+    n = front.count()
+    seen, n_seen, found = front, n, None
     for hop in range(1, depth + 1):
         best = F.max(F.struct("confidence", "evidence")).alias("x")
-        step = front.join(usable, "at").groupBy("anchor", "node").agg(best).withColumn("hop", F.lit(hop))
+        step = usable.join(_side(front, n), "at").groupBy("anchor", "node").agg(best).withColumn("hop", F.lit(hop))
         step = cut(step, "hop") if hop < depth else step
         found = step if found is None else found.unionByName(step)
         if hop < depth:
-            front = step.select("anchor", F.col("node").alias("at")).join(seen, ["anchor", "at"], "left_anti")
-            if front.isEmpty():
+            front = cut(step.select("anchor", F.col("node").alias("at")).join(_side(seen, n_seen), ["anchor", "at"], "left_anti"), "front")
+            n = front.count()
+            if not n:
                 break
-            seen = seen.unionByName(front)
+            seen, n_seen = seen.unionByName(front), n_seen + n
     return found.groupBy("anchor", "node").agg(F.min("hop").alias("hop"), F.max("x").alias("x")).select("anchor", "node", "hop", "x.confidence", "x.evidence")
 
 

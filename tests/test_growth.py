@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import batches
 from docloom.functions.text import sentences, tokens
-from docloom.operators import chunkers, extractors, hints, memory_store, search, summaries, text_index
+from docloom.operators import chunkers, extractors, graph, hints, memory_store, search, summaries, text_index
 from docloom.streaming import events as streams
 
 
@@ -175,3 +175,17 @@ def test_salient_facts_make_no_lists_of_words_in_python(spark, texts):
         if top:
             want[r["id"]] = [(k, r["s"][i], round(1 - k / len(top), 3), "clash") for k, i in enumerate(top)]
     assert got == want and len(want) == 601
+
+
+def test_large_tables_of_a_walk_do_not_go_by_way_of_the_driver(spark, monkeypatch):
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, what))
+    rows = spark.range(1, 25_001)
+    edges = rows.select(F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst"), F.lit(0.9).alias("confidence"), F.lit("e").alias("evidence")).where("dst > 0")
+    walk = lambda anchors: graph.impact(edges, anchors.select(F.col("id").alias("anchor")), 3)
+    many = walk(rows)
+    plans.append(many._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in plan for plan in plans) and many.count() == sum(a.bit_length() > h for a in range(1, 25_001) for h in (1, 2, 3))
+    plans.clear()
+    assert sorted((r["anchor"], r["node"], r["hop"]) for r in walk(rows.where("id IN (9, 1, 4)")).collect()) == [(4, 1, 2), (4, 2, 1), (9, 1, 3), (9, 2, 2), (9, 4, 1)]
+    assert any("Broadcast" in plan for plan in plans)
