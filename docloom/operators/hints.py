@@ -2,115 +2,275 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import FILLER_WORDS, TOKEN, query_tokens
+from docloom.functions.batches import sized, telling, token_codes
+from docloom.functions.text import query_tokens
 from docloom.functions.vectors import Places
 from docloom.operators.search import nearest, top_k
-from docloom.operators.text_index import Numbers
 from docloom.shared import cut
 
+#: So many tokens are counted at once, and so many pairs are dealt to one bucket of terms.
+TOKENS, PAIRS = 2_000_000, 8_000_000
+#: Pairs of an owner and another term, a row for each bucket and task, or more: the owners' names, how many pairs each has, the other terms' names
+#: and buckets, which of them each pair has, and how often.
+_DEALT = "p int, owner binary, size binary, other binary, to binary, at binary, n binary"
+#: The same, where the other terms have a margin and places instead of names.
+_KNOWN = "p int, owner binary, size binary, m binary, places binary, at binary, n binary"
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Natural numbers in as few bytes each as the largest needs, which is told first."""
+    kind = np.min_scalar_type(int(numbers.max()) if len(numbers) else 0)
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
+def _named(names: pa.Array) -> bytes:
+    """Names without a line break, as lines."""
+    return "\n".join(names.to_pylist()).encode()
+
+
+def _names(data: bytes) -> pa.Array:
+    text = np.frombuffer(data, np.uint8)
+    breaks = np.flatnonzero(text == ord("\n"))
+    ends = np.concatenate(([0], breaks - np.arange(len(breaks)), [len(text) - len(breaks)]))
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(text[text != ord("\n")]))
+
+
+def _sorted(codes: np.ndarray) -> np.ndarray:
+    """The order of codes under 2 ** 31, stable, by 16 bits at a time."""
+    order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def _dealt(owner: np.ndarray, other: np.ndarray, n: np.ndarray, owners: pa.Array, buckets: np.ndarray, told: dict[str, Callable[[np.ndarray], bytes]]) -> Iterator[pa.RecordBatch]:
+    """Pairs as rows for each owner's bucket. told: columns of the other terms, made for those that a row has."""
+    by = _sorted(buckets)
+    place = np.empty(len(by), np.int32)
+    place[by] = np.arange(len(by))
+    owner = place[owner]
+    sizes = np.bincount(owner, minlength=len(by))
+    order = _sorted(owner)
+    del owner
+    other, n = other[order], n[order]
+    del order
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    of, starts = np.unique(buckets[by], return_index=True)
+    some, number = np.zeros(int(other.max(initial=0)) + 1, bool), np.zeros(int(other.max(initial=0)) + 1, np.int64)
+    for p, lo, hi in zip(of.tolist(), starts, [*starts[1:], len(by)], strict=True):
+        e = slice(edges[lo], edges[hi])
+        if e.start == e.stop:
+            continue
+        own = lo + np.flatnonzero(sizes[lo:hi])
+        some[other[e]] = True
+        held = np.flatnonzero(some)
+        some[held] = False
+        number[held] = np.arange(len(held))
+        row = {"p": p, "owner": _named(owners.take(pa.array(by[own]))), "size": _narrow(sizes[own]), **{k: f(held) for k, f in told.items()}, "at": _narrow(number[other[e]]), "n": _narrow(n[e])}
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if k == "p" else pa.binary()) for k, v in row.items()], names=list(row))
+
+
+def _said(rows: DataFrame, text: str, min_chars: int, make: Callable[[Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """make(...) of the texts of each task, about a MB at a time: which text each token is of, which name it has, and the names. Filler words and tokens of
+    fewer than `min_chars` characters are left out."""
+
+    def read(of: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        for batch in sized(of, "_text"):
+            own, code, names = token_codes(batch.column("_text"))
+            kept = telling(names, min_chars)
+            some = kept[code] if len(code) else np.zeros(0, bool)
+            yield own[some], (np.cumsum(kept) - 1)[code[some]], names.filter(pa.array(kept))
+
+    return rows.select(F.lower(text).alias("_text")).mapInArrow(lambda of: make(read(of)), schema)
+
+
+def _meetings(rows: DataFrame, text: str, window: int, min_chars: int) -> int:
+    """How often any two different terms stand in a window."""
+
+    def count(of: Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for own, code, _ in of:
+            for o in range(1, min(window, len(code) - 1) + 1):
+                n += int(((own[o:] == own[:-o]) & (code[o:] != code[:-o])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return _said(rows, text, min_chars, count, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def _dealt_pairs(rows: DataFrame, text: str, window: int, min_chars: int, parts: int) -> DataFrame:
+    """Pairs of terms, counted where the texts are, `TOKENS` tokens at a time, and dealt out by each of the two. What is shuffled is a row for each bucket
+    of terms, with numbers for terms, and a term's name once a row."""
+
+    def count(of: Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for each in of:
+            waiting.append(each)
+            held += len(each[1])
+            if held >= TOKENS:
+                yield from pairs(waiting)
+                waiting, held = [], 0
+        if held:
+            yield from pairs(waiting)
+
+    def pairs(waiting: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        names = pa.concat_arrays([n for _, _, n in waiting]).dictionary_encode()
+        at = names.indices.to_numpy().astype(np.int64)
+        names = names.dictionary
+        keys, start = [], 0
+        for own, code, some in waiting:
+            code = at[start : start + len(some)][code]
+            start += len(some)
+            for o in range(1, min(window, len(code) - 1) + 1):
+                x, y = code[:-o], code[o:]
+                met = (own[:-o] == own[o:]) & (x != y)
+                keys.append(np.minimum(x, y)[met] << 32 | np.maximum(x, y)[met])
+        waiting.clear()
+        key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+        del keys
+        x, y, n = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)
+        del key
+        bucket = np.fromiter((zlib.crc32(w.encode()) % parts for w in names.to_pylist()), np.int64, len(names))
+        told = {"other": lambda held: _named(names.take(pa.array(held))), "to": lambda held: _narrow(bucket[held])}
+        yield from _dealt(np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((n, n)), names, bucket, told)
+
+    return _said(rows, text, min_chars, count, _DEALT).repartitionById(parts, F.col("p"))
+
+
+def _counted(of: Iterator[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a bucket added up: names of owners, of other terms, the buckets of these; which owner and other term each pair has, and how often. Pairs
+    are added up whenever many wait."""
+    owners = others = pa.array([], pa.large_string())
+    to, key, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting, held = [], 0
+
+    def merge() -> None:
+        nonlocal owners, others, to, key, n, held
+        own, all_ = (pa.concat_arrays([known, *[_names(r[c]) for r in waiting]]).dictionary_encode() for known, c in ((owners, "owner"), (others, "other")))
+        # names that were known before keep their numbers
+        at_own, at_all = (x.indices.to_numpy().astype(np.int64)[len(known) :] for x, known in ((own, owners), (all_, others)))
+        fresh = np.zeros(len(all_.dictionary), np.int64)
+        fresh[: len(to)] = to
+        fresh[at_all] = np.concatenate([_wide(r["to"]) for r in waiting])
+        keys, times, i, j = [key], [n], 0, 0  # a pair's number is of 64 bits, how often it is seen too
+        for r in waiting:
+            size, at, k = _wide(r["size"]), _wide(r["at"]), _wide(r["n"])
+            last = int(at.max()) + 1
+            keys.append(np.repeat(at_own[i : i + len(size)], size) << 32 | at_all[j : j + last][at])
+            times.append(k)
+            i, j = i + len(size), j + last
+        waiting.clear()
+        keys, times = np.concatenate(keys), np.concatenate(times)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        owners, others, to, key, n, held = own.dictionary, all_.dictionary, fresh, keys[first], np.add.reduceat(times[order], first), 0
+
+    for batch in of:
+        for i in range(len(batch)):
+            waiting.append({c: batch.column(c)[i].as_py() for c in ("owner", "size", "other", "to", "at", "n")})
+            held += len(waiting[-1]["at"])
+            if held > PAIRS:
+                merge()
+    if waiting:
+        merge()
+    return owners, others, to, (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), n
+
+
+def _parts(rows: DataFrame, meetings: int) -> int:
+    """How many buckets of terms: as many as keep a bucket's pairs few, whatever the size of the table."""
+    return max(2 * rows.sparkSession.sparkContext.defaultParallelism, 2 * meetings // PAIRS)
+
 
 def neighbour_counts(rows: DataFrame, text: str, window: int = 4, min_chars: int = 3, piece: int = 4096) -> DataFrame:
     """(a, b, n): how often two different terms, a < b, stand at most `window` terms from each other. Filler words and terms of fewer than
-    `min_chars` characters are left out before. Pairs are counted where the texts are, over all texts of a task as long as they are at most a
-    million, so that pairs seen often are one row to be shuffled. (`piece` has no effect any more: no array of pairs is made.)"""
-
-    def count(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, dropped, codes, most = re.compile(TOKEN), set(FILLER_WORDS), Numbers(), 1_000_000
-        waiting, held, sums = [], 0, []
-        gap = np.full(window, -1)
-
-        def pairs(last: bool) -> Iterator[pa.RecordBatch]:
-            """Counts of what waits; they are passed on when there are many."""
-            nonlocal sums
-            said = np.concatenate(waiting) if waiting else gap
-            for start in range(0, len(said), most):
-                for o in range(1, window + 1):
-                    y = said[start + o : start + o + most]
-                    x = said[start : start + len(y)]
-                    some = (x >= 0) & (y >= 0) & (x != y)
-                    sums.append(np.unique(np.minimum(x, y)[some] << 32 | np.maximum(x, y)[some], return_counts=True))
-            key, at = np.unique(np.concatenate([k for k, _ in sums]), return_inverse=True)
-            sums = [(key, np.bincount(at, np.concatenate([n for _, n in sums]), len(key)).astype(np.int64))]
-            waiting.clear()
-            if len(key) and (last or len(key) > most or len(codes) > most):
-                names = np.array(list(codes), object)
-                place = np.empty(len(names), np.int64)
-                place[np.argsort(names)] = np.arange(len(names))
-                x, y = key >> 32, key & (2**32 - 1)
-                first = place[x] < place[y]
-                for s in range(0, len(key), 100_000):
-                    e = slice(s, s + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[np.where(first, x, y)[e]], pa.string()), pa.array(names[np.where(first, y, x)[e]], pa.string()), pa.array(sums[0][1][e])], names=["a", "b", "n"])
-                sums = []
-                codes.clear()
+    `min_chars` characters are left out before. Pairs are counted where the texts are, many texts at once, and added up by buckets of
+    terms. (`piece` has no effect any more: no array of pairs is made.)"""
 
-        for batch in of:
-            for said in batch.column("_text"):
-                kept = [w for w in token.findall(said.as_py() or "") if len(w) >= min_chars and w not in dropped]
-                waiting += [np.fromiter(map(codes.__getitem__, kept), np.int64, len(kept)), gap]
-                held += len(kept)
-                if held > most:
-                    held = 0
-                    yield from pairs(False)
-        yield from pairs(True)
+    def add(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, others, _, own, other, n = _counted(of)
+        names = pa.concat_arrays([owners, others])
+        place = np.empty(len(names), np.int64)
+        place[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        first = np.flatnonzero(place[own] < place[len(owners) + other])
+        # of equal names none is before the other; a pair's terms differ
+        for s in range(0, len(first), 100_000):
+            e = first[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([owners.take(pa.array(own[e])).cast(pa.string()), others.take(pa.array(other[e])).cast(pa.string()), pa.array(n[e])], names=["a", "b", "n"])
 
-    made = rows.select(F.lower(text).alias("_text")).mapInArrow(count, "a string, b string, n bigint")
-    return made.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return _dealt_pairs(rows, text, window, min_chars, _parts(rows, _meetings(rows, text, window, min_chars))).mapInArrow(add, "a string, b string, n bigint")
 
 
 def term_vectors(rows: DataFrame, text: str, window: int = 4, dimensions: int = 128, nonzero: int = 4, min_count: int = 5) -> DataFrame:
     """(term, m, embedding): a vector for each term with at least `min_count` neighbours (m). Each term has a sparse random vector, `nonzero` signs
     in dimensions by its hash; a term's embedding is the sum of its neighbours' random vectors, weighed by positive pointwise mutual
     information in thousandths. So no matrix of terms by terms is made, and the sums are of integers: the same for any partitions.
-    Terms that no neighbour says anything of, as where all weights are 0, have no row."""
-    pairs = cut(neighbour_counts(rows, text, window), "neighbours")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    margin = cut(both.groupBy("a").agg(F.sum("n").alias("m")), "margins")
-    total = margin.agg(F.sum("m").alias("total"))
-    known = margin.where(F.col("m") >= min_count)
-    known = F.broadcast(known) if known.count() <= 200_000 else known
-    weighed = both.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").crossJoin(F.broadcast(total))
-    w = F.floor(1000 * F.log(F.col("n").cast("double") * F.col("total") / (F.col("m").cast("double") * F.col("mb"))))
+    Terms that no neighbour says anything of, as where all weights are 0, have no row.
+
+    Pairs are dealt out twice: to the bucket of the one term, where their number and that term's margin are known, and with these and its places to the bucket
+    of the other, where its vector is summed. No pair is a row, and no table of terms is sent to all tasks."""
+    meetings = _meetings(rows, text, window, 3)
+    parts, total = _parts(rows, meetings), 2 * meetings
+
+    def know(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, others, to, own, other, n = _counted(of)
+        if not len(n):
+            return
+        places = Places(dimensions)
+        at = np.array([[places[f"{t}#{j}"] for j in range(nonzero)] for t in owners.to_pylist()])
+        m = np.bincount(own, n, len(owners)).astype(np.int64)
+        yield from _dealt(other, own, n, others, to, {"m": lambda held: _narrow(m[held]), "places": lambda held: _narrow(at[held].ravel())})
 
     def add(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Terms come in order: the sums of the last one of a batch go on in the next."""
-        places, last = Places(dimensions), None
+        named, sizes, at, ns, ms, places, held = [], [], [], [], [], [], 0
         for batch in of:
-            if not len(batch):
-                continue
-            a, b = (batch.column(c).dictionary_encode() for c in ("a", "b"))
-            names, row, w = a.dictionary.to_pylist(), a.indices.to_numpy(), batch.column("w").to_numpy()
-            m = np.zeros(len(names), np.int64)
-            m[row] = batch.column("m").to_numpy()
-            at = np.array([[places[f"{x}#{j}"] for j in range(nonzero)] for x in b.dictionary.to_pylist()])[b.indices.to_numpy()]
-            sums = np.zeros((len(names), dimensions), np.int64)
-            np.add.at(sums, (row[:, None], at % dimensions), np.where(at < dimensions, 1, -1) * w[:, None])
-            if last is not None and last[0] == names[0]:
-                sums[0] += last[2]
-            elif last is not None:
-                yield vectors([last[0]], [last[1]], last[2][None])
-            last = names[-1], m[-1], sums[-1]
-            yield vectors(names[:-1], m[:-1], sums[:-1])
-        if last is not None:
-            yield vectors([last[0]], [last[1]], last[2][None])
-
-    def vectors(names: list[str], m: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        some = np.flatnonzero(sums.any(axis=1))
-        edges = pa.array(np.arange(len(some) + 1) * dimensions, pa.int32())
-        lists = pa.ListArray.from_arrays(edges, pa.array(sums[some].ravel().astype(float)))
-        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(np.asarray(m, np.int64)[some]), lists], names=["term", "m", "embedding"])
-
-    # shuffled once, a row for each pair; the sums need no other exchange
-    parts = weighed.select("a", "b", "m", w.alias("w")).where("w > 0").repartition("a").sortWithinPartitions("a")
-    return cut(parts.mapInArrow(add, "term string, m bigint, embedding array<double>"), "term_vectors")
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_py() for c in ("owner", "size", "m", "places", "at", "n")}
+                named.append(_names(row["owner"]))
+                sizes.append(_wide(row["size"]).astype(np.int32))
+                ms.append(_wide(row["m"]))
+                places.append(_wide(row["places"]).astype(np.int32))
+                at.append((_wide(row["at"]) + held).astype(np.int32))
+                ns.append(_wide(row["n"]))
+                held += len(ms[-1])
+        if not held:
+            return
+        names = pa.concat_arrays(named).dictionary_encode()
+        own = np.repeat(names.indices.to_numpy().astype(np.int32), np.concatenate(sizes))
+        names, at, n, mb, place = names.dictionary, np.concatenate(at), np.concatenate(ns), np.concatenate(ms), np.concatenate(places).reshape(-1, nonzero)
+        del named, sizes, ns, ms, places
+        m = np.bincount(own, n, len(names)).astype(np.int64)
+        some = (m[own] >= min_count) & (mb[at] >= min_count)
+        own, at, n = own[some], at[some], n[some]
+        order = _sorted(own)
+        own, at, n = own[order], at[order], n[order]
+        for lo in range(0, len(names), 8192):
+            hi = min(lo + 8192, len(names))
+            e = slice(*np.searchsorted(own, (lo, hi)))
+            w = np.floor(1000 * np.log(n[e].astype(float) * total / (m[own[e]].astype(float) * mb[at[e]])))
+            here = np.flatnonzero(w > 0)
+            w, row, which = w[here], (own[e][here] - lo).astype(np.int64) * dimensions, place[at[e][here]]
+            sums = np.zeros((hi - lo) * dimensions)
+            for j in range(nonzero):
+                sums += np.bincount(row + which[:, j] % dimensions, np.where(which[:, j] < dimensions, w, -w), len(sums))
+            sums = sums.reshape(-1, dimensions)
+            said = np.flatnonzero(sums.any(axis=1))
+            edges = pa.array(np.arange(len(said) + 1) * dimensions, pa.int32())
+            lists = pa.ListArray.from_arrays(edges, pa.array(sums[said].ravel()))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(lo + said)).cast(pa.string()), pa.array(m[lo + said]), lists], names=["term", "m", "embedding"])
+
+    known = _dealt_pairs(rows, text, window, 3, parts).mapInArrow(know, _KNOWN).repartitionById(parts, F.col("p"))
+    return cut(known.mapInArrow(add, "term string, m bigint, embedding array<double>"), "term_vectors")
 
 
 def expansions(vectors: DataFrame, asked: DataFrame, k: int = 5, floor: float = 0.2) -> DataFrame:
@@ -119,7 +279,7 @@ def expansions(vectors: DataFrame, asked: DataFrame, k: int = 5, floor: float =
     at = vectors.select(F.col("term").alias("id"), F.col("embedding").alias("v"))
     queries = at.join(asked.select(F.col("term").alias("id")).distinct(), "id", "left_semi")
     # one more, as a term is nearest to itself; where others are as near, it may come after them
-    found = nearest(at, queries, k + 1).where(F.col("query") != F.col("id")).where(F.col("score") >= floor)
+    found = nearest(at, queries, k + 1, least=floor).where(F.col("query") != F.col("id"))
     return top_k(found.select(F.col("query").alias("term"), F.col("id").alias("hint"), "score"), ["term"], k, ["hint"])
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors
+from docloom.functions.batches import best as first_of
 from docloom.functions.text import TOKEN, first_sentences, query_tokens, tokens
 from docloom.shared import cut
 
@@ -296,8 +297,8 @@ def summarize_hits(hits: DataFrame, by: list[str], text: str, n: int = 3) -> Dat
     return out.select(*by, F.array_join(F.transform("p", lambda x: x["s"]), "\n\n").alias("summary"), F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("chars_before"))
 
 
-def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Up to so many rows in one: a list for each column."""
+def blocks(rows: DataFrame, most: int, units: str = "") -> DataFrame:
+    """Up to so many rows in one: a list for each column. units: a column of vectors that becomes the bytes of a matrix of unit vectors."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def pack(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +308,7 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
             whole = pa.Table.from_batches(waiting).combine_chunks()
             edges = pa.array([0, whole.num_rows], pa.int32())
             columns = [c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() for c in whole.columns]
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edges, c) for c in columns], names=list(kinds))
+            return pa.RecordBatch.from_arrays([pa.array([_matrix(c).tobytes()], pa.binary()) if n == units else pa.ListArray.from_arrays(edges, c) for n, c in zip(kinds, columns, strict=True)], names=list(kinds))
 
         for whole in of:
             while len(whole):
@@ -320,7 +321,7 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
         if waiting:
             yield block()
 
-    return rows.mapInArrow(pack, ", ".join(f"`{c}` array<{kind}>" for c, kind in kinds.items()))
+    return rows.mapInArrow(pack, ", ".join(f"`{c}` binary" if c == units else f"`{c}` array<{kind}>" for c, kind in kinds.items()))
 
 
 def _terms_of(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -400,23 +401,81 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, row_block: int = 8192, query_block: int = 512, sharing: bool = False) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, row_block: int = 8192, query_block: int = 8192, sharing: bool = False, least: float = -np.inf) -> DataFrame:
     """(query, id, score, rank): for each query (id, v) the k rows (id, v) nearest by cosine: the exact scan, of all rows and queries, for few
     queries and for measuring an index (vector_index) against. Ties by id; ids are not null and do not repeat. sharing: only rows that have a dimension in common with the query.
+    least: only scores of so much.
 
     Signs of random planes do not part vectors that are far from each other: for a recall of 0.9 they leave three quarters of all
-    pairs, each found about four times. So blocks of vectors meet blocks of queries."""
+    pairs, each found about four times. So blocks of vectors meet blocks of queries. Products of single precision tell which cells may be among the k best of
+    those that the task has seen, by more than their largest error; only these are computed in full and ranked."""
+    a, few = blocks(rows.select("id", "v"), row_block, "v"), cut(queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v")), "asked")
+    # whole blocks, however many parts the queries come in: each block of rows is sent once for each of them
+    parts = max(1, -(-few.count() // query_block))
+    q = cut(blocks(few.coalesce(parts), query_block, "q_v").withColumn("q_number", F.monotonically_increasing_id()), "queries")
+    kind, asked = a.schema["id"].dataType.elementType.simpleString(), q.schema["q_id"].dataType.elementType.simpleString()
 
-    def cosine(x: dict, y: dict) -> np.ndarray:
-        a, q = _matrix(x["v"]), _matrix(y["v"])
-        # vectors of other dimensions have no cosine
-        scores = q @ a.T if a.shape[1] == q.shape[1] else np.zeros((len(q), len(a)))
-        return np.where((q != 0).astype(np.float32) @ (a != 0).astype(np.float32).T > 0, scores, -np.inf) if sharing else scores
-
-    return _best_of_blocks(blocks(rows, row_block), cut(blocks(queries, query_block), "queries"), cosine, k)
-
-
-def ann_join(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, row_block: int = 8192, query_block: int = 512) -> DataFrame:
+    def meet(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # of a block of queries, the k best scores so far
+        for batch in of:
+            for r in range(len(batch)):
+                ids, theirs, number = batch.column("id")[r].values, batch.column("q_id")[r].values, batch.column("q_number")[r].as_py()
+                x, y = (np.frombuffer(batch.column(c)[r].as_buffer()).reshape(len(i), -1) for c, i in (("v", ids), ("q_v", theirs)))
+                order = _order(ids)
+                x = x[order]
+                if not (finite := np.isfinite(x).all(axis=1)).all():
+                    x, order = x[finite], order[finite]
+                if x.shape[1] != y.shape[1]:  # vectors of other dimensions have no cosine
+                    x, y = np.zeros((len(x), 1)), np.zeros((len(y), 1))
+                if len(held) >= 64:
+                    held.clear()
+                best = held.setdefault(number, np.full((len(y), k), -np.inf))
+                single = x.astype(np.float32)
+                step = max(1, CELLS // 2 // max(len(x), 1))
+                for s in range(0, len(y), step):
+                    query, at, score = _nearest(x, single, y[s : s + step], best[s : s + step], k, sharing, least)
+                    yield pa.RecordBatch.from_arrays([theirs.take(pa.array(s + query)), ids.take(pa.array(order[at])), pa.array(score)], names=["query", "id", "score"])
+
+    # few blocks of queries are sent to all tasks, whatever their bytes
+    found = a.crossJoin(F.broadcast(q) if parts <= 16 else q).mapInArrow(meet, f"query {asked}, id {kind}, score double")
+    return top_k(found, ["query"], k, ["id"])
+
+
+def _nearest(x: np.ndarray, single: np.ndarray, y: np.ndarray, best: np.ndarray, k: int, sharing: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of those rows x (single: in single precision) that may be among the k nearest of queries y, where `best` are the scores of the k best so far, in order; it
+    is brought up to date. Rows are in the order of their ids."""
+    near = y.astype(np.float32) @ single.T
+    slack = 2e-6 + 2e-7 * x.shape[1]
+    floor = np.maximum(best[:, 0], least) - slack
+    new = np.flatnonzero(best[:, 0] == -np.inf)
+    if len(new) and near.shape[1] > k:
+        kth = np.partition(near[new], -k, axis=1)[:, -k]
+        # a product that is surely not 0 is of rows that share a dimension
+        floor[new] = np.maximum(floor[new], np.where(kth > 2 * slack, kth - 2 * slack, -np.inf) if sharing else kth - 2 * slack)
+    may = near >= floor[:, None]
+    if sharing and len(open_ := np.flatnonzero(floor == -np.inf)):
+        may[open_] &= (y[open_] != 0).astype(np.float32) @ (x != 0).astype(np.float32).T > 0
+    query, at = np.divmod(np.flatnonzero(may), max(len(x), 1))
+    score = np.empty(len(query))
+    step = max(1, CELLS // max(x.shape[1], 1))
+    for s in range(0, len(query), step):
+        u, v = y[query[s : s + step]], x[at[s : s + step]]
+        score[s : s + step] = np.einsum("ij,ij->i", u, v)
+        if sharing:
+            score[s : s + step][~((u != 0) & (v != 0)).any(axis=1)] = -np.inf
+    score = np.round(score, 6) + 0.0
+    kept = np.flatnonzero(np.isfinite(score) & (score >= least))
+    query, at, score = query[kept], at[kept], score[kept]
+    which, place = first_of(query, k, -score, at)
+    query, at, score = query[which], at[which], score[which]
+    fresh = np.full((len(y), k), -np.inf)
+    fresh[query, place] = score
+    best[:] = np.sort(np.concatenate((best, fresh), axis=1), axis=1)[:, -k:]
+    kept = score >= best[query, 0]
+    return query[kept], at[kept], score[kept]
+
+
+def ann_join(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, row_block: int = 8192, query_block: int = 8192) -> DataFrame:
     """For each query (key, embedding), its k nearest rows: (query, key, score, rank)."""
     a, q = (x.select(F.col(key).alias("id"), F.col(embedding).alias("v")) for x in (rows, queries))
     return nearest(a, q, k, row_block, query_block).withColumnRenamed("id", key)

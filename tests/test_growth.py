@@ -64,6 +64,38 @@ def test_no_row_is_made_of_each_pair_of_neighbours(spark, texts):
     assert {tuple(r) for r in hints.neighbour_counts(made, "text", 2).collect()} == {("apple", "zebra", 2), ("apple", "mango", 2), ("mango", "zebra", 1)}
 
 
+def test_neighbours_are_dealt_out_in_blocks(spark, texts, monkeypatch):
+    texts.count()
+    kept = lambda rows: {r["term"]: (r["m"], r["embedding"]) for r in hints.term_vectors(rows, "text").collect()}
+    shuffled, vectors = _shuffled(spark, lambda: kept(texts))
+    assert len(vectors) == 900 and shuffled < 2_500_000  # more than 200,000 pairs go each way, twice
+    monkeypatch.setattr(hints, "PAIRS", 20_000)
+    assert hints._parts(texts, 10**6) == 100 and kept(texts.repartition(3)) == vectors
+    rows = hints._dealt_pairs(texts.repartition(24), "text", 4, 3, 1).toArrow().to_batches()
+    assert sum(len(b) for b in rows) == 24  # so many are added up that pairs are added up more than once
+    owners, others, to, own, other, n = hints._counted(iter(rows))
+    assert len(owners) == len(others) == 900 and not to.any() and n.sum() == 2 * hints._meetings(texts, "text", 4, 3)
+    assert len(set(zip(own.tolist(), other.tolist(), strict=True))) == len(n)
+
+
+@pytest.mark.parametrize("sharing", [False, True])
+def test_the_exact_scan_is_that_of_all_cells(spark, sharing):
+    chance = np.random.default_rng(4)
+    x = chance.normal(size=(500, 12)) * (chance.random((500, 12)) < 0.3)
+    x[50:90], x[200:260], x[-1] = x[50], 0, 1e-9
+    y = np.concatenate((x[::9], np.zeros((2, 12)), np.eye(12)))
+    rows, queries = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id int, v array<double>").repartition(3, "id") for m in (x, y))
+    unit = lambda m: m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) > 0, size, 1)
+    scores = np.round(unit(y) @ unit(x).T, 6)
+    if sharing:
+        scores[((y[:, None] != 0) & (x[None] != 0)).sum(axis=2) == 0] = -np.inf
+    for least in (-np.inf, 0.5):
+        want = [(q, int(i)) for q in range(len(y)) for i in np.lexsort((np.arange(len(x)), -scores[q]))[:7] if np.isfinite(scores[q, i]) and scores[q, i] >= least]
+        for block in (8192, 16):
+            found = search.nearest(rows, queries, 7, block, 20, sharing, least).orderBy("query", "rank").collect()
+            assert [(r["query"], r["id"]) for r in found] == want
+
+
 def test_semantic_chunks_are_made_without_a_shuffle(spark):
     said = "One two three. Four five six. Four five six. Red green blue. Red green. Blue."
     rows = spark.createDataFrame([(1, said), (2, ""), (3, None), (4, "Alone here."), (5, " ".join([said] * 9))], "doc_id bigint, content string").repartition(3).cache()
