@@ -38,7 +38,7 @@ def _wide(data: bytes) -> np.ndarray:
 
 def _named(names: pa.Array) -> bytes:
     """Names without a line break, as lines."""
-    return "\n".join(names.to_pylist()).encode()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.scalar("\n", names.type)).cast(pa.large_binary())[0].as_py()
 
 
 def _names(data: bytes) -> pa.Array:
