@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.batches import sized, telling, token_codes
+from docloom.functions.batches import sized, strings, telling, token_codes
 from docloom.functions.text import query_tokens
-from docloom.functions.vectors import Places
+from docloom.functions.vectors import places_of
 from docloom.operators.search import nearest, top_k
 from docloom.shared import cut
 
@@ -140,7 +140,7 @@ def _dealt_pairs(rows: DataFrame, text: str, window: int, min_chars: int, parts:
         del keys
         x, y, n = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)
         del key
-        bucket = np.fromiter((zlib.crc32(w.encode()) % parts for w in names.to_pylist()), np.int64, len(names))
+        bucket = np.fromiter((zlib.crc32(w.encode()) % parts for w in strings(names)), np.int64, len(names))
         told = {"other": lambda held: _named(names.take(pa.array(held))), "to": lambda held: _narrow(bucket[held])}
         yield from _dealt(np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((n, n)), names, bucket, told)
 
@@ -226,8 +226,7 @@ def term_vectors(rows: DataFrame, text: str, window: int = 4, dimensions: int =
         owners, others, to, own, other, n = _counted(of)
         if not len(n):
             return
-        places = Places(dimensions)
-        at = np.array([[places[f"{t}#{j}"] for j in range(nonzero)] for t in owners.to_pylist()])
+        at = np.stack([places_of(owners, dimensions, f"#{j}".encode()) for j in range(nonzero)], axis=1)
         m = np.bincount(own, n, len(owners)).astype(np.int64)
         yield from _dealt(other, own, n, others, to, {"m": lambda held: _narrow(m[held]), "places": lambda held: _narrow(at[held].ravel())})
 
