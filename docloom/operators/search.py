@@ -410,8 +410,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, row_block: int = 8192,
     pairs, each found about four times. So blocks of vectors meet blocks of queries. Products of single precision tell which cells may be among the k best of
     those that the task has seen, by more than their largest error; only these are computed in full and ranked."""
     a, few = blocks(rows.select("id", "v"), row_block, "v"), cut(queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v")), "asked")
-    # whole blocks, however many parts the queries come in: each block of rows is sent once for each of them
-    parts = max(1, -(-few.count() // query_block))
+    n, size = few.agg(F.count("*"), F.max(F.size("q_v"))).first()
+    # blocks of 8 MB at most, and whole, however many parts the queries come in: each block of rows is sent once for each of them
+    query_block = max(1, min(query_block, (1 << 20) // max(1, size or 1)))
+    parts = max(1, -(-n // query_block))
     q = cut(blocks(few.coalesce(parts), query_block, "q_v").withColumn("q_number", F.monotonically_increasing_id()), "queries")
     kind, asked = a.schema["id"].dataType.elementType.simpleString(), q.schema["q_id"].dataType.elementType.simpleString()
 
@@ -436,8 +438,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, row_block: int = 8192,
                     query, at, score = _nearest(x, single, y[s : s + step], best[s : s + step], k, sharing, least)
                     yield pa.RecordBatch.from_arrays([theirs.take(pa.array(s + query)), ids.take(pa.array(order[at])), pa.array(score)], names=["query", "id", "score"])
 
-    # few blocks of queries are sent to all tasks, whatever their bytes
-    found = a.crossJoin(F.broadcast(q) if parts <= 16 else q).mapInArrow(meet, f"query {asked}, id {kind}, score double")
+    # few blocks of queries, 32 MB at most, are sent to all tasks
+    found = a.crossJoin(F.broadcast(q) if parts <= 4 else q).mapInArrow(meet, f"query {asked}, id {kind}, score double")
     return top_k(found, ["query"], k, ["id"])
 
 
