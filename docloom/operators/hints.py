@@ -26,23 +26,36 @@ _DEALT = "p int, owner binary, size binary, other binary, to binary, at binary,
 _KNOWN = "p int, owner binary, size binary, m binary, places binary, at binary, n binary"
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8) + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], _size(data), codec="zstd", asbytes=True)
+
+
+def _size(data: bytes) -> int:
+    return int.from_bytes(data[:8])
+
+
 def _narrow(numbers: np.ndarray) -> bytes:
     """Natural numbers in as few bytes each as the largest needs, which is told first."""
     kind = np.min_scalar_type(int(numbers.max()) if len(numbers) else 0)
-    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+    return _packed(bytes([kind.itemsize]) + numbers.astype(kind).tobytes())
 
 
 def _wide(data: bytes) -> np.ndarray:
+    data = _unpacked(data)
     return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
 
 
 def _named(names: pa.Array) -> bytes:
     """Names without a line break, as lines."""
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.scalar("\n", names.type)).cast(pa.large_binary())[0].as_py()
+    return _packed(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.scalar("\n", names.type)).cast(pa.large_binary())[0].as_py())
 
 
 def _names(data: bytes) -> pa.Array:
-    text = np.frombuffer(data, np.uint8)
+    text = np.frombuffer(_unpacked(data), np.uint8)
     breaks = np.flatnonzero(text == ord("\n"))
     ends = np.concatenate(([0], breaks - np.arange(len(breaks)), [len(text) - len(breaks)]))
     return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(text[text != ord("\n")]))
@@ -179,7 +192,7 @@ def _counted(of: Iterator[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, np.ndarr
     for batch in of:
         for i in range(len(batch)):
             waiting.append({c: batch.column(c)[i].as_py() for c in ("owner", "size", "other", "to", "at", "n")})
-            held += len(waiting[-1]["at"])
+            held += _size(waiting[-1]["at"])
             if held > PAIRS:
                 merge()
     if waiting:
